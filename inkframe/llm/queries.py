@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, warc, wordpiece
+from . import bpe, jaccard, sharding, warc, wordpiece
 from .scratch import shared_dir, table
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"), percent=75, n=5)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = wordpiece.counter(public_tokenizers.path("piece_bpe_32k.model"))
     return table(spark, sf_dir, "documents").select("doc_id", count("text").alias("c")).select("doc_id", "c.*")
@@ -40,6 +44,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_token_counts": op5_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_warc": op9_warc,
