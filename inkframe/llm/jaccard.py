@@ -290,10 +290,12 @@ def similar(df: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id"
     labels = components(edges)
     drop(edges)
     own = features.where("kind = 0").select("id", "n", "p1", "p2")
-    # copies of a set share its class: their smallest document is a node if anything links to the set
-    linked = own.where("n > 0 and id is not null")
-    first = linked.groupBy("p1", "p2", "n").agg(F.min("id").alias("node")).join(labels, "node", "left")
-    first = save(first.select("p1", "p2", "n", F.coalesce("label", "node").alias("component")), "shingle-classes")
+    # copies of a set share its class; any of them may be the one that took part, and any the smallest
+    linked = own.where("n > 0 and id is not null").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    first = save(linked.groupBy("p1", "p2", "n").agg(F.min("id").alias("least"), F.min("label").alias("label")), "shingle-classes")
+    lowest = save(first.where("label is not null").groupBy("label").agg(F.min("least").alias("lowest")), "shingle-lowest")
+    first = first.join(lowest, "label", "left").select("p1", "p2", "n", F.least("label", "lowest", "least").alias("component"))
+    first = save(first, "shingle-classes")
     out = own.join(first, ["p1", "p2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
