@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, sharding, suffix, warc, wordpiece
+from . import ann, bpe, decontaminate, jaccard, langid, sharding, suffix, urls, warc, wordpiece
 from .scratch import shared_dir, table
 
 
@@ -28,6 +28,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"), percent=75, n=5)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = wordpiece.counter(public_tokenizers.path("piece_bpe_32k.model"))
     return table(spark, sf_dir, "documents").select("doc_id", count("text").alias("c")).select("doc_id", "c.*")
@@ -41,6 +45,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(decode("ids"), 256).alias("decoded_sha256"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -59,10 +71,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_id": op2_language_id,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_url_filter": op4_url_filter,
     "op5_token_counts": op5_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_decontamination": op7_decontamination,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": urls.oracle()}
