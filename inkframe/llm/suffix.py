@@ -21,29 +21,33 @@ the table sends a row a chunk.
 
 Null text: empty. Texts shorter than ``length`` are kept. Null ids have no order: such rows are kept whole
 and make no other row lose anything. Rows with the same id never count against each other. Repeated rows
-are rows of their own. Further columns are dropped; an empty table gives no rows.
+are rows of their own. Further columns are dropped unless the caller keeps them; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .hashing import mix, parts, powers, prefix_hashes
 from .scratch import save, setting
 
 #: Bytes of text in a chunk, and in a bucket.
-CHUNK, BUCKET = 1_000_000, 2_000_000
-_LOW = np.uint64(0xFFFFFFFF)
+CHUNK, BUCKET = 2_000_000, 1_000_000
+_LOW, _NONE = np.uint64(0xFFFFFFFF), np.uint32(0xFFFFFFFF)
+#: Bytes whose hashes are made together, so that they stay in a processor's cache.
+_STEP = 32_768
 #: Odd multipliers of the seeds' hashes.
 _ODD = np.random.default_rng(50).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_CHUNKS = "chunk long, ids binary, nulls binary, offsets binary, text binary, n_bytes long"
+_CHUNKS = "chunk long, ids binary, nulls binary, offsets binary, text binary, others binary, n_bytes long"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -52,42 +56,39 @@ def seed_size(length: int) -> int:
     return max(8, length // 2 // 8 * 8, -(-(length - 63) // 8) * 8)
 
 
-def _starts(offsets: np.ndarray, nulls: np.ndarray, length: int) -> np.ndarray:
-    """Where strings of the length start, in documents that take part."""
-    edge = np.zeros(int(offsets[-1]) + 1, np.int32)
-    last = np.where(nulls, offsets[:-1], np.maximum(offsets[:-1], offsets[1:] - length + 1))
-    np.add.at(edge, last, 1)
-    np.add.at(edge, offsets[1:], -1)
-    return np.flatnonzero(np.cumsum(edge[:-1]) == 0)
-
-
-def seeds(text: np.ndarray, offsets: np.ndarray, nulls: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of each seed: its place, the first and last start of its strings, its hash and its document's number."""
-    starts = _starts(offsets, nulls, length)
-    if not len(starts):
-        return *(np.empty(0, np.int64),) * 3, np.empty(0, np.uint64), np.empty(0, np.int64)
-    k = seed_size(length)
-    m, w = len(text) - k + 1, length - k + 1
+def _seed_hashes(text: np.ndarray, at: slice | np.ndarray, k: int) -> np.ndarray:
+    """Of the k bytes from each of these places on."""
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
     eight = np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,))  # the 8 bytes from each byte on
-    h = eight[:m] * _ODD[0]
+    h = eight[at] * _ODD[0]
     for j in range(1, k // 8):
-        h += eight[8 * j : 8 * j + m] * _ODD[j]
+        h += eight[8 * j :][at] * _ODD[j]
     h ^= h >> np.uint64(32)
     h *= _ODD[-1]
-    least = (h & ~_LOW) | np.arange(m, dtype=np.uint64)
-    size = 1
-    while 2 * size <= w:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    if size < w:
-        least = np.minimum(least[: size - w], least[w - size :])
-    place = (least[starts] & _LOW).astype(np.int64)
-    new = np.ones(len(place), bool)
-    new[1:] = place[1:] != place[:-1]
-    at = np.flatnonzero(new)
-    place = place[at]
-    return place, starts[at], starts[np.append(at[1:], len(starts)) - 1], h[place], np.searchsorted(offsets, place, "right") - 1
+    return h
+
+
+def seeds(text: np.ndarray, offsets: np.ndarray, nulls: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of each seed: its place, the first and last start of its strings, its hash and its document's number."""
+    k = seed_size(length)
+    w, n = length - k + 1, max(0, len(text) - length + 1)
+    place = np.full(n + 1, _NONE, np.uint32)  # of the seed of the string at each byte
+    for a in range(0, n, _STEP):
+        z = min(n, a + _STEP)
+        least = _seed_hashes(text[a : z + length - 1], slice(0, z - a + w - 1), k) & ~_LOW
+        least |= np.arange(a, a + len(least), dtype=np.uint64)
+        size = 1
+        while 2 * size <= w:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        place[a:z] = (np.minimum(least[: size - w], least[w - size :]) if size < w else least) & _LOW
+    for a, z, null in zip(offsets[:-1].tolist(), offsets[1:].tolist(), nulls.tolist(), strict=True):  # strings that would cross an end
+        place[a if null else max(a, z - length + 1) : z] = _NONE
+    at = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    stop = np.append(at[1:], n + 1) - 1
+    kept = place[at] != _NONE
+    first, place = at[kept], place[at[kept]].astype(np.int64)
+    return place, first, stop[kept], _seed_hashes(text, place, k), np.searchsorted(offsets, place, "right") - 1
 
 
 class Chunk:
@@ -100,7 +101,7 @@ class Chunk:
         self.id = self.ids[doc]
         # distinct leading bits of the hashes: bits for the bucket and 32 more
         entry = self.hash >> np.uint64(32 - bits)
-        order = np.argsort(entry, kind="stable")
+        order = np.argsort(entry)
         entry = entry[order]
         new = np.ones(len(entry), bool)
         new[1:] = entry[1:] != entry[:-1]
@@ -127,30 +128,31 @@ class Chunk:
         self.heads = np.flatnonzero(self.same == np.arange(len(kept)))
 
 
-def _rows(text: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-    """The bytes of each range as a row, filled with zeros."""
-    wide = int(np.max(size)) if np.ndim(size) else size
-    at = start[:, None] + np.arange(wide)
-    rows = text[np.minimum(at, len(text) - 1)]
-    if np.ndim(size):
-        rows[np.arange(wide) >= np.asarray(size)[:, None]] = 0
-    return rows
+def _eights(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Each range of 8 bytes at least, as 8-byte words that cover it: the last ones overlap."""
+    words = np.ndarray((max(0, len(text) - 7),), "<u8", text, strides=(1,))
+    for j in range(0, int(np.max(size, initial=0)), 8):
+        yield words[start + np.minimum(j, size - 8)]
 
 
 def classes(text: np.ndarray, start: np.ndarray, size: np.ndarray, seed_at: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each range, the number of the one with the smallest id among those with the same bytes and the seed at the same place."""
     if not len(start):
         return np.empty(0, np.int64)
-    p, down = prefix_hashes(text), powers(len(text) + 1)[1]
-    key = mix((p[start + size] - p[start]) * down[start] + _ODD[1] * (size * 256 + seed_at).astype(np.uint64))
-    head = _heads(key, ids)
-    for a in range(0, len(start), 50_000):
-        s = slice(a, a + 50_000)
-        equal = (_rows(text, start[s], size[s]) == _rows(text, start[head[s]], size[s])).all(axis=1) & (size[s] == size[head[s]])
-        key[s][~equal] = mix(key[s][~equal] + np.arange(a + 1, a + 1 + int((~equal).sum()), dtype=np.uint64))  # a collision: classes of their own
-        if not equal.all():
-            head = _heads(key, ids)
-    return head
+    key = (size * 256 + seed_at).astype(np.uint64)
+    for j, word in enumerate(_eights(text, start, size)):
+        key += word * _ODD[j % 60]
+        key ^= key >> np.uint64(29)
+    key = mix(key)
+    while True:
+        head = _heads(key, ids)
+        i = np.flatnonzero(head != np.arange(len(head)))
+        same = size[i] == size[head[i]]
+        for x, y in zip(_eights(text, start[i], size[i]), _eights(text, start[head[i]], size[head[i]]), strict=False):
+            same &= x == y
+        if same.all():
+            return head
+        key[i[~same]] = mix(key[i[~same]] + i[~same].astype(np.uint64))  # collisions: classes of their own
 
 
 def _heads(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -219,26 +221,30 @@ class Suffixes:
         at = np.flatnonzero(same)
         for a in range(0, len(at), 100_000):
             i = at[a : a + 100_000]
-            same[i] = (_rows(self.text, x[i], self.length) == _rows(self.text, y[i], self.length)).all(axis=1)
+            n = np.full(len(i), self.length)
+            for a_, b_ in zip(_eights(self.text, x[i], n), _eights(self.text, y[i], n), strict=True):
+                same[i] &= a_ == b_
         return same
 
 
-def covered(text: np.ndarray, size: np.ndarray, seed_at: np.ndarray, hashes: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+def covered(text: np.ndarray, size: np.ndarray, seed_at: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """For the texts around seeds, one after the other in text: a mask of the strings that have a smaller id elsewhere."""
     start = np.cumsum(size) - size
     head = classes(text, start, size, seed_at, ids)
     strings = size - length + 1
     mask = np.zeros(len(size), np.uint64)
     r = np.flatnonzero(head == np.arange(len(head)))
-    _, group, n = np.unique(hashes[r], return_inverse=True, return_counts=True)
+    _, group, n = np.unique(_seed_hashes(text, (start + seed_at)[r], seed_size(length)), return_inverse=True, return_counts=True)
     keep = n[group] > 1
     r, group = r[keep], group[keep]
     if len(r):
         of = np.repeat(np.arange(len(r)), strings[r])
         j = np.arange(len(of)) - np.repeat(np.cumsum(strings[r]) - strings[r], strings[r])
-        suffix = start[r][of] + j
+        own_size = size[r]
+        own_start = np.cumsum(own_size) - own_size
+        suffix = own_start[of] + j
         cell = group[of] * 64 + seed_at[r][of] - j
-        s = Suffixes(text, length)
+        s = Suffixes(text[np.repeat(start[r] - own_start, own_size) + np.arange(own_size.sum())], length)
         order = s.sort(cell, suffix)
         new = np.ones(len(order), bool)
         same_cell = np.flatnonzero(cell[order][1:] == cell[order][:-1])
@@ -267,7 +273,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nulls, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
         for rows, text, offsets in parts(ids, texts, CHUNK):
             s = slice(rows[0], rows[-1] + 1)
-            yield _batch(_CHUNKS, [(n, ids[s].tobytes(), nulls[s].tobytes(), offsets.astype(np.int64).tobytes(), text.tobytes(), len(text))])
+            others = pa.BufferOutputStream()
+            with pa.ipc.new_stream(others, pa.schema(list(batch.schema)[2:])) as out:
+                out.write_batch(batch.select(batch.schema.names[2:]).slice(rows[0], len(rows)))
+            yield _batch(_CHUNKS, [(n, ids[s].tobytes(), nulls[s].tobytes(), offsets.astype(np.int64).tobytes(), text.tobytes(), others.getvalue().to_pybytes(), len(text))])
             n += 1
 
 
@@ -283,7 +292,7 @@ _SEEDS, _MARKS = "bucket int, chunk long, entries binary, several binary", "chun
 
 def _send_seeds(length: int, bits: int):
     def run(batches):
-        for chunk, ids, nulls, offsets, text, _ in _rows_of(batches):
+        for chunk, ids, nulls, offsets, text in _rows_of(batches):
             c = Chunk(ids, nulls, offsets, text, length, bits)
             low = (c.entry & _LOW).astype(np.uint32)
             cuts = [(int(b), slice(c.cut[b], c.cut[b + 1])) for b in c.buckets()]
@@ -307,27 +316,30 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(_MARKS, out)
 
 
-_AROUND, _MASKS = "bucket int, chunk long, nth binary, ids binary, hashes binary, sizes binary, seeds binary, text binary", "chunk long, bucket int, bits binary, nth binary"
+_AROUND, _MASKS = "bucket int, chunk long, n int, around binary", "chunk long, bucket int, bits binary, nth binary"
 
 
 def _send_text(length: int, bits: int):
     def run(batches):
-        for chunk, ids, nulls, offsets, text, _, marks in _rows_of(batches):
+        for chunk, ids, nulls, offsets, text, marks in _rows_of(batches):
             c = Chunk(ids, nulls, offsets, text, length, bits)
             c.candidates([(m["bucket"], m["bits"]) for m in marks])
             h = c.heads
             if not len(h):
                 continue
+            zstd = zstandard.ZstdCompressor(level=1)
             bucket = (c.hash[h] >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            cut = [*np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist(), len(order)]
+            i = h[order]
+            size = c.size[i]
+            ends = np.concatenate(([0], np.cumsum(size)))
+            around = c.text[np.repeat(c.first[i] - ends[:-1], size) + np.arange(ends[-1])]
+            columns = [c.id[i], order.astype(np.int32), size.astype(np.uint16), (c.place - c.first)[i].astype(np.uint8)]
             out = []
-            for a, z in zip(cut, [*cut[1:], len(order)], strict=True):
-                nth = order[a:z]
-                i = h[nth]
-                size = c.size[i]
-                at = np.repeat(c.first[i] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                out.append((int(bucket[nth[0]]), chunk, nth.astype(np.int32).tobytes(), c.id[i].tobytes(), c.hash[i].tobytes(), size.astype(np.uint16).tobytes(), (c.place - c.first)[i].astype(np.uint8).tobytes(), c.text[at].tobytes()))
+            for a, z in zip(cut, cut[1:]):
+                sent = b"".join([*(x[a:z].tobytes() for x in columns), around[ends[a] : ends[z]].tobytes()])
+                out.append((int(bucket[order[a]]), chunk, z - a, zstd.compress(sent)))
             yield _batch(_AROUND, out)
 
     return run
@@ -337,16 +349,19 @@ def _sort(length: int):
     def run(batches):
         for bucket, rows in groupby(_rows_of(batches), key=lambda r: r[0]):
             rows = list(rows)
-            join = lambda i, kind: np.concatenate([np.frombuffer(r[i], kind) for r in rows])
-            nth, size = join(2, np.int32), join(5, np.uint16).astype(np.int64)
-            mask = covered(join(7, np.uint8), size, join(6, np.uint8).astype(np.int64), join(4, np.uint64), join(3, np.int64), length)
+            columns = []
+            for _, _, n, around in rows:
+                around = zstandard.decompress(around)
+                columns.append([np.frombuffer(around, kind, -1 if i == 4 else n, at * n) for i, (kind, at) in enumerate(((np.int64, 0), (np.int32, 8), (np.uint16, 12), (np.uint8, 14), (np.uint8, 15)))])
+            ids, nth, size, seed_at, text = (np.concatenate(x) for x in zip(*columns, strict=True))
+            mask = covered(text, size.astype(np.int64), seed_at.astype(np.int64), ids, length)
             at, out = 0, []
-            for r in rows:
-                s = slice(at, at + len(r[2]) // 4)
-                at = s.stop
+            for _, chunk, n, _ in rows:
+                s = slice(at, at + n)
+                at += n
                 found = np.flatnonzero(mask[s])
                 if len(found):
-                    out.append((r[1], bucket, mask[s][found].tobytes(), nth[s][found].tobytes()))
+                    out.append((chunk, bucket, mask[s][found].tobytes(), nth[s][found].tobytes()))
             yield _batch(_MASKS, out)
 
     return run
@@ -372,16 +387,30 @@ def cover(c: Chunk, masks: list[tuple[bytes, bytes]]) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _remove(length: int, bits: int):
+_RESULT = "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:bigint,stop:bigint>>, kept binary"
+
+
+def _whole_characters(gone: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Keeps UTF-8 characters of which some bytes are kept."""
+    starts = np.flatnonzero(text & 0xC0 != 0x80)
+    if not len(starts):
+        return gone
+    every = np.logical_and.reduceat(gone, starts)
+    return np.repeat(every, np.diff(starts, append=len(text)))
+
+
+def _remove(length: int, bits: int, whole: bool):
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.binary())])
+    columns = list(schema)
 
     def run(batches):
-        for _, ids, nulls, offsets, text, _, marks in _rows_of(batches):
+        for _, ids, nulls, offsets, text, others, marks in _rows_of(batches):
             if marks:
                 c = Chunk(ids, nulls, offsets, text, length, bits)
                 c.candidates([(m["bucket"], m["bits"]) for m in marks if m["nth"] is None])
                 gone = cover(c, [(m["nth"], m["bits"]) for m in marks if m["nth"] is not None])
+                gone = _whole_characters(gone, c.text) if whole else gone
             else:
                 gone = np.zeros(len(text), bool)
             offsets, text = np.frombuffer(offsets, np.int64), np.frombuffer(text, np.uint8)
@@ -398,31 +427,33 @@ def _remove(length: int, bits: int):
             spans = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([pa.array(starts - at), pa.array(stops - at)], fields=list(span)))
             bytes_ = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(text[~gone])])
             n = [np.diff(offsets), np.diff(removed[offsets]), np.diff(cut)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(nulls, bool)), *(pa.array(x, pa.int64()) for x in n), spans, bytes_], schema=schema)
+            others = pa.ipc.open_stream(others).read_all().combine_chunks().to_batches()
+            others = others[0] if others else None
+            arrays = [pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(nulls, bool)), *(pa.array(x, pa.int64()) for x in n), spans, bytes_, *(others.columns if others else ())]
+            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([*columns, *(others.schema if others else ())]))
 
     return run
 
 
-def dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of df: id, n_bytes, n_removed, n_spans, spans (byte ranges that are removed) and kept (the other bytes)."""
+def dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """A row for each row of df: id, n_bytes, n_removed, n_spans, spans (byte ranges that are removed) and kept (the other bytes).
+    With whole_characters, characters at the edges of spans stay whole, so that what is kept is UTF-8. keep: further columns that stay."""
     if length < 16:
         raise ValueError("strings of 16 bytes at least")
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *keep)
     with setting(spark, _BATCH, "2000"):
         chunks = save(docs.mapInArrow(_pack, _CHUNKS), "suffix-chunks")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(20, max(8, (total // BUCKET).bit_length()))
     by_bucket = lambda sent, f, columns: sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(f, columns)
     with setting(spark, _BATCH, "16"):
-        marks = save(by_bucket(chunks.mapInArrow(_send_seeds(length, bits), _SEEDS), _mark, _MARKS), "suffix-marks")
-        sent = _with(chunks, marks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks")), "inner").mapInArrow(_send_text(length, bits), _AROUND)
+        marks = save(by_bucket(chunks.select("chunk", "ids", "nulls", "offsets", "text").mapInArrow(_send_seeds(length, bits), _SEEDS), _mark, _MARKS), "suffix-marks")
+        asked = marks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks")).hint("shuffle_hash")
+        sent = chunks.select("chunk", "ids", "nulls", "offsets", "text").join(asked, "chunk").mapInArrow(_send_text(length, bits), _AROUND)
         masks = save(by_bucket(sent, _sort(length), _MASKS), "suffix-masks")
     answers = marks.withColumn("nth", F.lit(None).cast("binary")).unionByName(masks)
-    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits", "nth")).alias("marks"))
-    out = _with(chunks, answers, "left").mapInArrow(_remove(length, bits), "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
+    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits", "nth")).alias("marks")).hint("shuffle_hash")
+    fields = T._parse_datatype_string(_RESULT).fields + [docs.schema[c] for c in keep]
+    out = chunks.drop("n_bytes").join(answers, "chunk", "left").mapInArrow(_remove(length, bits, whole_characters), T.StructType(fields))
     return out.withColumnRenamed("id", id_col)
-
-
-def _with(chunks: DataFrame, answers: DataFrame, how: str) -> DataFrame:
-    return chunks.join(answers.hint("shuffle_hash"), "chunk", how).select("chunk", "ids", "nulls", "offsets", "text", "n_bytes", "marks")
