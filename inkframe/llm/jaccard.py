@@ -3,13 +3,14 @@
 ``similar`` links documents whose sets of word shingles have 100 * |x and y| >= percent * |x or y|, and
 gives each document the smallest id that its links reach. No link is lost:
 
-1. *Blocks.* With the shingles in any one order that all documents share, two sets that link have one of
-   the first n - ceil(percent * n / 100) + 1 of their shingles in common. The order puts shingles that are
-   frequent in the corpus last (by counts over all documents, kept for a bounded number of the most
-   frequent; the rest follow their hashes), so shared passages hardly count. Documents that have such a
-   shingle in common are in one block: the connected components of documents and their shingles' smallest
-   documents. Each task first replaces the rows of a shingle by its smallest document and edges to it, so
-   that a hot shingle gives a row a task.
+1. *Blocks.* Chunks of documents send the distinct hashes of their shingles to buckets and get back how many
+   documents have each, as a power of 2. A set of which fewer than percent shingles are in another
+   document has no link. With the shingles in any one order that all documents share, two sets that link have one
+   of the first n - ceil(percent * n / 100) + 1 of their shingles in common. The order puts frequent shingles
+   last, so shared passages hardly count. Documents that have such a shingle in common are in one block: the
+   connected components of documents and their shingles' smallest documents. Each task first replaces the rows of a
+   shingle by its smallest document and edges to it, so that a hot shingle gives a row a task. Equal sets
+   are one set, of their smallest document.
 2. *Tiles.* Blocks are cut into tiles by size band (bands are 100 / percent apart, so that links stay in a
    band or go to the next) and, where that is too much for a task, by hash. A task has one small block, or
    two tiles of a large one.
@@ -27,23 +28,25 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import BATCH, batch_of, pack, rows_of
 from .components import Sets, components
-from .hashing import VALUES, mix, parts, words
-from .scratch import drop, save
+from .hashing import VALUES, mix, words
+from .scratch import drop, save, setting
 
 #: Bytes that aren't in words: \x20 and \x09 to \x0D; A to Z count as a to z.
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _FOLDED = VALUES.copy()
 _FOLDED[ord("A") : ord("Z") + 1] = VALUES[ord("a") : ord("z") + 1]
-#: A shingle counts as frequent in a task from so many of its documents on, and so many of the most frequent are known to all tasks.
-FREQUENT, KNOWN = 4, 200_000
+#: Bytes of text in a bucket of shingles.
+BUCKET = 1_000_000
 #: Shingles that a task holds at once.
 ROWS = 2_000_000
 #: Bytes of sets in a task.
@@ -51,25 +54,23 @@ TILE = 24_000_000
 NONE = np.iinfo(np.int64).min
 
 
-def shingle_sets(ids: pa.Array, texts: pa.Array, n: int) -> Iterator[tuple[int | None, np.ndarray]]:
-    """Each row's id and its sorted distinct shingle hashes."""
+def shingle_sets(buffer: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
     mult = mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
-    for rows, buffer, offsets in parts(ids, texts):
-        h, _, _, first = words(buffer, offsets, _IS_WORD, _FOLDED)
-        m = max(0, len(h) - n + 1)
-        s = np.zeros(m, np.uint64)
-        for k in range(n):
-            s += h[k : k + m] * mult[k]
-        s = mix(s)
-        for row, a, b in zip(rows, first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if b - a >= n:
-                own = np.sort(s[a : b - n + 1])
-                own = own[np.concatenate(([True], own[1:] != own[:-1]))]
-            elif b > a:  # fewer words: the whole sequence, apart from all shingles by its length
-                own = mix((h[a:b] * mult[: b - a]).sum(keepdims=True) + np.uint64(b - a))
-            else:
-                own = np.empty(0, np.uint64)
-            yield ids[int(row)].as_py(), own
+    h, _, _, first = words(buffer, offsets, _IS_WORD, _FOLDED)
+    m = max(0, len(h) - n + 1)
+    s = np.zeros(m, np.uint64)
+    for k in range(n):
+        s += h[k : k + m] * mult[k]
+    s = mix(s)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= n:
+            own = np.sort(s[a : b - n + 1])
+            yield own[np.concatenate(([True], own[1:] != own[:-1]))]
+        elif b > a:  # fewer words: the whole sequence, apart from all shingles by its length
+            yield mix((h[a:b] * mult[: b - a]).sum(keepdims=True) + np.uint64(b - a))
+        else:
+            yield np.empty(0, np.uint64)
 
 
 def _print(s: np.ndarray) -> tuple[int, int]:
@@ -83,86 +84,121 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _features(n: int):
-    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64())])
+class Chunk:
+    """The sets of a chunk's documents. Those that take part: with an id and shingles, one of equal sets."""
+
+    def __init__(self, ids: bytes, nulls: bytes, offsets: bytes, text: bytes, n: int, bits: int):
+        self.ids, self.nulls = np.frombuffer(ids, np.int64), np.frombuffer(nulls, bool)
+        self.sets = list(shingle_sets(np.frombuffer(text, np.uint8), np.frombuffer(offsets, np.int64), n))
+        self.prints = [_print(s) for s in self.sets]
+        seen = {p: i for i, p in reversed(list(enumerate(self.prints))) if not self.nulls[i]}
+        self.taken = [i for i, (s, p) in enumerate(zip(self.sets, self.prints, strict=True)) if len(s) and seen.get(p) == i]
+        # distinct leading bits of the shingles: bits for the bucket and 32 more
+        entry = np.concatenate([np.empty(0, np.uint64), *(self.sets[i] for i in self.taken)]) >> np.uint64(32 - bits)
+        order = np.argsort(entry)
+        entry = entry[order]
+        new = np.ones(len(entry), bool)
+        new[1:] = entry[1:] != entry[:-1]
+        self.of = np.empty(len(entry), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        self.entry, self.count = entry[at], np.diff(at, append=len(entry))
+        self.cut = np.searchsorted(self.entry >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
+
+    def levels(self, answers: list[tuple[int, bytes]]) -> list[np.ndarray]:
+        """Of each shingle of the sets that take part, the level of its number of documents: 0 if there is no other."""
+        level = np.zeros(len(self.entry), np.uint8)
+        for b, found in answers:
+            a, z = self.cut[b], self.cut[b + 1]
+            size = -(-(z - a) // 8)
+            several = np.unpackbits(np.frombuffer(found, np.uint8, size), count=z - a).astype(bool)
+            level[a:z][several] = np.frombuffer(found, np.uint8, offset=size)
+        level = level[self.of]
+        return np.split(level, np.cumsum([len(self.sets[i]) for i in self.taken])[:-1]) if self.taken else []
+
+
+_ENTRIES, _LEVELS = "bucket int, chunk long, entries binary, several binary, counts binary", "chunk long, bucket int, levels binary"
+_SETS = "kind int, id long, n long, p1 long, p2 long, members binary, firsts binary"
+
+
+def _send_entries(n: int, bits: int):
+    def run(batches):
+        for chunk, ids, nulls, offsets, text in rows_of(batches):
+            c = Chunk(ids, nulls, offsets, text, n, bits)
+            low, several, out = (c.entry & np.uint64(0xFFFFFFFF)).astype(np.uint32), c.count > 1, []
+            for b in np.flatnonzero(c.cut[1:] > c.cut[:-1]).tolist():
+                s = slice(c.cut[b], c.cut[b + 1])
+                out.append((b, chunk, low[s].tobytes(), np.packbits(several[s]).tobytes(), c.count[s][several[s]].astype(np.uint32).tobytes()))
+            yield batch_of(_ENTRIES, out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, prints, kept = [], set(), []
+    return run
 
-        def counted() -> None:
-            """Moves what was seen to kept, as sorted shingles and their counts."""
-            t = np.sort(np.concatenate(seen))
-            at = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-            kept.append((t[at], np.diff(at, append=len(t))))
-            seen.clear()
 
-        for batch in batches:
-            ids, sizes, p1, p2 = [], [], [], []
-            for i, s in shingle_sets(batch.column(0), batch.column(1), n):
-                a, b = _print(s)
-                ids.append(i), sizes.append(len(s)), p1.append(a), p2.append(b)
-                if len(s) and (a, b) not in prints:  # copies count once a task
-                    prints.add((a, b))
-                    seen.append(s)
-            if sum(map(len, seen)) > ROWS:
-                counted()
-            yield _batch(schema, [0] * len(ids), ids, sizes, p1, p2)
-        if seen:
-            counted()
-        if kept:
-            tokens, counts = (np.concatenate(x) for x in zip(*kept, strict=True))
-            order = np.argsort(tokens)
-            tokens, counts = tokens[order], counts[order]
-            at = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-            tokens, counts = tokens[at], np.add.reduceat(counts, at)
-            often = counts >= FREQUENT
-            tokens, counts = tokens[often].view(np.int64), counts[often]
-            for at in range(0, len(tokens), 100_000):
-                k = len(tokens[at : at + 100_000])
-                yield _batch(schema, np.ones(k, np.int32), np.zeros(k, np.int64), counts[at : at + 100_000], tokens[at : at + 100_000], np.zeros(k, np.int64))
+def _count(batches):
+    """Each chunk's entries that more documents have, and the levels of their numbers."""
+    for bucket, rows in groupby(rows_of(batches), key=lambda r: r[0]):
+        rows = list(rows)
+        entries = [np.frombuffer(r[2], np.uint32) for r in rows]
+        counts = []
+        for e, r in zip(entries, rows, strict=True):
+            n = np.ones(len(e), np.int64)
+            n[np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(e)).astype(bool)] = np.frombuffer(r[4], np.uint32)
+            counts.append(n)
+        _, of = np.unique(np.concatenate(entries), return_inverse=True)
+        total = np.bincount(of, np.concatenate(counts))[of].astype(np.int64)
+        at, out = 0, []
+        for e, r in zip(entries, rows, strict=True):
+            own = total[at : at + len(e)]
+            at += len(e)
+            if (several := own > 1).any():
+                out.append((r[1], bucket, np.packbits(several).tobytes() + np.log2(own[several]).astype(np.uint8).tobytes()))
+        yield batch_of(_LEVELS, out)
+
+
+def _select(n: int, percent: int, bits: int):
+    """Rows of kind 0: all documents; of kind 1: sets that may have a link, with the first of their shingles in the common order."""
+
+    def run(batches):
+        for _, ids, nulls, offsets, text, answers in rows_of(batches):
+            c = Chunk(ids, nulls, offsets, text, n, bits)
+            out = [(0, None if null else i, len(s), *p, None, None) for i, null, s, p in zip(c.ids.tolist(), c.nulls.tolist(), c.sets, c.prints, strict=True)]
+            for i, level in zip(c.taken, c.levels([(a["bucket"], a["levels"]) for a in answers or ()]), strict=True):
+                s = c.sets[i]
+                need = -(-percent * len(s) // 100)
+                if np.count_nonzero(level) >= need:
+                    order = np.argsort(level, kind="stable")
+                    firsts = s[order[: len(s) - need + 1]]
+                    out.append((1, int(c.ids[i]), len(s), *c.prints[i], s.tobytes(), firsts[level[order[: len(firsts)]] > 0].tobytes()))
+            yield batch_of(_SETS, out)
 
     return run
 
 
-def _prefixes(n: int, percent: int, known):
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("hub", pa.int64())])
+    firsts, docs, edges = [], [], Sets()
+
+    def dealt() -> Iterator[pa.RecordBatch]:
+        key, doc, hub, new = _smallest(np.concatenate(firsts), np.concatenate(docs))
+        firsts.clear(), docs.clear()
+        for a, b in set(zip(doc[~new].tolist(), hub[~new].tolist(), strict=True)):
+            edges.join(a, b)
+        key, doc = key[new].view(np.int64), doc[new]
+        for at in range(0, len(key), 200_000):
+            k = key[at : at + 200_000]
+            yield _batch(schema, k, doc[at : at + 200_000], np.full(len(k), NONE))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, rank = known.value  # sorted, with the place in the common order: 1 is the least frequent of them
-        firsts, docs, prints = [], [], set()
-        edges = Sets()
-
-        def dealt() -> Iterator[pa.RecordBatch]:
-            key, doc, hub, new = _smallest(np.concatenate(firsts), np.concatenate(docs))
-            firsts.clear(), docs.clear()
-            for a, b in set(zip(doc[~new].tolist(), hub[~new].tolist(), strict=True)):
-                edges.join(a, b)
-            key, doc = key[new].view(np.int64), doc[new]
-            for at in range(0, len(key), 200_000):
-                k = key[at : at + 200_000]
-                yield _batch(schema, k, doc[at : at + 200_000], np.full(len(k), NONE))
-
-        for batch in batches:
-            for i, s in shingle_sets(batch.column(0), batch.column(1), n):
-                p = _print(s)
-                if not len(s) or i is None or p in prints:  # a copy finds its class by the print
-                    continue
-                prints.add(p)
-                size = len(s) - -(-percent * len(s) // 100) + 1
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                    s = s[np.argsort(np.where(tokens[at] == s, rank[at], 0), kind="stable")]
-                firsts.append(s[:size])
-                docs.append(np.full(size, i, np.int64))
-            if sum(map(len, firsts)) > ROWS:
-                yield from dealt()
-        if firsts:
+    for batch in batches:
+        for i, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            firsts.append(np.frombuffer(first, np.uint64))
+            docs.append(np.full(len(firsts[-1]), i, np.int64))
+        if sum(map(len, firsts)) > ROWS:
             yield from dealt()
-        if found := edges.edges():
-            a, b = zip(*found, strict=True)
-            yield _batch(schema, a, a, b)  # dealt by document
-
-    return run
+    if firsts:
+        yield from dealt()
+    if found := edges.edges():
+        a, b = zip(*found, strict=True)
+        yield _batch(schema, a, a, b)  # dealt by document
 
 
 def _smallest(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -188,19 +224,6 @@ def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(schema, edges[0], edges[1])
 
 
-def _sets(n: int):
-    schema = pa.schema([("id", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("members", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for (i, s), block in zip(shingle_sets(batch.column(0), batch.column(1), n), batch.column(2).to_pylist(), strict=True):
-                rows.append((i, block, len(s), s.tobytes()))
-            yield _batch(schema, *(zip(*rows, strict=True) if rows else [[]] * 4))
-
-    return run
-
-
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     bits = max(64, 1 << int(max(map(len, sets)) * 2 - 1).bit_length())
     out = np.zeros((len(sets), bits // 64), np.uint64)
@@ -271,25 +294,30 @@ def similar(df: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id"
     """A row for each row of df: id, n_shingles, component_id. Ids are integers."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    features = save(docs.mapInArrow(_features(n), "kind int, id long, n long, p1 long, p2 long"), "shingle-features", ["kind"])
-    frequent = features.where("kind = 1").groupBy("p1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p1").limit(KNOWN).collect()
-    tokens = np.array([r.p1 for r in frequent], np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    known = spark.sparkContext.broadcast((tokens[order], np.arange(len(tokens), 0, -1)[order]))  # at most KNOWN entries
-    rows = docs.mapInArrow(_prefixes(n, percent, known), "key long, doc long, hub long")
-    hubs = save(rows.repartition("key").mapInArrow(_hubs, "a long, b long"), "shingle-hubs")
+    chunks = pack(docs, "shingle-chunks")
+    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
+    bits = min(20, max(8, (total // BUCKET).bit_length()))
+    texts = chunks.select("chunk", "ids", "nulls", "offsets", "text")
+    with setting(spark, BATCH, "16"):
+        sent = texts.mapInArrow(_send_entries(n, bits), _ENTRIES)
+        levels = save(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, _LEVELS), "shingle-levels")
+        answers = levels.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "levels")).alias("answers")).hint("shuffle_hash")
+        found = save(texts.join(answers, "chunk", "left").mapInArrow(_select(n, percent, bits), _SETS), "shingle-sets", ["kind"])
+    drop(chunks), drop(levels)
+    taken = found.where("kind = 1")
+    # equal sets are one from here on: their smallest document
+    first = taken.groupBy("p1", "p2", "n").agg(F.min("id").alias("id"))
+    sets = save(taken.select("id", "n", "members", "firsts").join(first.select("id"), "id", "left_semi"), "shingle-sets")
+    hubs = save(sets.select("id", "firsts").mapInArrow(_prefixes, "key long, doc long, hub long").repartition("key").mapInArrow(_hubs, "a long, b long"), "shingle-hubs")
     blocks = components(hubs)
     drop(hubs)
-    # sets of the documents in blocks
-    held = blocks.select(F.col("node").alias("id"), F.col("label").alias("block")).hint("shuffle_hash")
-    sets = docs.where("id is not null").join(held, "id").select("id", "text", "block").mapInArrow(_sets(n), "id long, block long, n long, members binary").where("n > 0")
-    sets = save(sets, "shingle-sets")
-    drop(blocks)
+    held = blocks.select(F.col("node").alias("id"), F.col("label").alias("block"))
+    sets = save(sets.select("id", "n", "members").join(held, "id"), "shingle-sets-in-blocks")
     edges = save(_tiles(sets, percent).repartition("task").sortWithinPartitions("task").mapInArrow(_verify(percent), "a long, b long"), "shingle-edges")
-    drop(sets)
+    drop(sets), drop(blocks)
     labels = components(edges)
     drop(edges)
-    own = features.where("kind = 0").select("id", "n", "p1", "p2")
+    own = found.where("kind = 0").select("id", "n", "p1", "p2")
     # copies of a set share its class; any of them may be the one that took part, and any the smallest
     linked = own.where("n > 0 and id is not null").join(labels.withColumnRenamed("node", "id"), "id", "left")
     first = save(linked.groupBy("p1", "p2", "n").agg(F.min("id").alias("least"), F.min("label").alias("label")), "shingle-classes")

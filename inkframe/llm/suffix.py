@@ -32,23 +32,21 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import mix, parts, powers, prefix_hashes
+from .chunks import BATCH, batch_of, pack, rows_of
+from .hashing import mix, powers, prefix_hashes
 from .scratch import save, setting
 
-#: Bytes of text in a chunk, and in a bucket.
-CHUNK, BUCKET = 2_000_000, 1_000_000
+#: Bytes of text in a bucket.
+BUCKET = 1_000_000
 _LOW, _NONE = np.uint64(0xFFFFFFFF), np.uint32(0xFFFFFFFF)
 #: Bytes whose hashes are made together, so that they stay in a processor's cache.
 _STEP = 32_768
 #: Odd multipliers of the seeds' hashes.
 _ODD = np.random.default_rng(50).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_CHUNKS = "chunk long, ids binary, nulls binary, offsets binary, text binary, others binary, n_bytes long"
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def seed_size(length: int) -> int:
@@ -260,49 +258,22 @@ def covered(text: np.ndarray, size: np.ndarray, seed_at: np.ndarray, ids: np.nda
 # the steps, as functions of Arrow batches
 
 
-def _batch(columns: str, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in columns.split(", ")])
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = TaskContext.get().partitionId() << 33
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        nulls, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
-        for rows, text, offsets in parts(ids, texts, CHUNK):
-            s = slice(rows[0], rows[-1] + 1)
-            others = pa.BufferOutputStream()
-            with pa.ipc.new_stream(others, pa.schema(list(batch.schema)[2:])) as out:
-                out.write_batch(batch.select(batch.schema.names[2:]).slice(rows[0], len(rows)))
-            yield _batch(_CHUNKS, [(n, ids[s].tobytes(), nulls[s].tobytes(), offsets.astype(np.int64).tobytes(), text.tobytes(), others.getvalue().to_pybytes(), len(text))])
-            n += 1
-
-
-def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-    for batch in batches:
-        columns = [batch.column(i) for i in range(batch.num_columns)]
-        for i in range(batch.num_rows):
-            yield [c[i].as_py() for c in columns]
-
-
 _SEEDS, _MARKS = "bucket int, chunk long, entries binary, several binary", "chunk long, bucket int, bits binary"
 
 
 def _send_seeds(length: int, bits: int):
     def run(batches):
-        for chunk, ids, nulls, offsets, text in _rows_of(batches):
+        for chunk, ids, nulls, offsets, text in rows_of(batches):
             c = Chunk(ids, nulls, offsets, text, length, bits)
             low = (c.entry & _LOW).astype(np.uint32)
             cuts = [(int(b), slice(c.cut[b], c.cut[b + 1])) for b in c.buckets()]
-            yield _batch(_SEEDS, [(b, chunk, low[s].tobytes(), np.packbits(c.several[s]).tobytes()) for b, s in cuts])
+            yield batch_of(_SEEDS, [(b, chunk, low[s].tobytes(), np.packbits(c.several[s]).tobytes()) for b, s in cuts])
 
     return run
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, rows in groupby(_rows_of(batches), key=lambda r: r[0]):
+    for bucket, rows in groupby(rows_of(batches), key=lambda r: r[0]):
         rows = list(rows)
         entries = [np.frombuffer(r[2], np.uint32) for r in rows]
         several = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(e)) for r, e in zip(rows, entries, strict=True)]).astype(bool)
@@ -313,7 +284,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (bits := marked[at : at + len(e)]).any():
                 out.append((r[1], bucket, np.packbits(bits).tobytes()))
             at += len(e)
-        yield _batch(_MARKS, out)
+        yield batch_of(_MARKS, out)
 
 
 _AROUND, _MASKS = "bucket int, chunk long, n int, around binary", "chunk long, bucket int, bits binary, nth binary"
@@ -321,7 +292,7 @@ _AROUND, _MASKS = "bucket int, chunk long, n int, around binary", "chunk long, b
 
 def _send_text(length: int, bits: int):
     def run(batches):
-        for chunk, ids, nulls, offsets, text, marks in _rows_of(batches):
+        for chunk, ids, nulls, offsets, text, marks in rows_of(batches):
             c = Chunk(ids, nulls, offsets, text, length, bits)
             c.candidates([(m["bucket"], m["bits"]) for m in marks])
             h = c.heads
@@ -340,14 +311,14 @@ def _send_text(length: int, bits: int):
             for a, z in zip(cut, cut[1:]):
                 sent = b"".join([*(x[a:z].tobytes() for x in columns), around[ends[a] : ends[z]].tobytes()])
                 out.append((int(bucket[order[a]]), chunk, z - a, zstd.compress(sent)))
-            yield _batch(_AROUND, out)
+            yield batch_of(_AROUND, out)
 
     return run
 
 
 def _sort(length: int):
     def run(batches):
-        for bucket, rows in groupby(_rows_of(batches), key=lambda r: r[0]):
+        for bucket, rows in groupby(rows_of(batches), key=lambda r: r[0]):
             rows = list(rows)
             columns = []
             for _, _, n, around in rows:
@@ -362,7 +333,7 @@ def _sort(length: int):
                 found = np.flatnonzero(mask[s])
                 if len(found):
                     out.append((chunk, bucket, mask[s][found].tobytes(), nth[s][found].tobytes()))
-            yield _batch(_MASKS, out)
+            yield batch_of(_MASKS, out)
 
     return run
 
@@ -405,7 +376,7 @@ def _remove(length: int, bits: int, whole: bool):
     columns = list(schema)
 
     def run(batches):
-        for _, ids, nulls, offsets, text, others, marks in _rows_of(batches):
+        for _, ids, nulls, offsets, text, others, marks in rows_of(batches):
             if marks:
                 c = Chunk(ids, nulls, offsets, text, length, bits)
                 c.candidates([(m["bucket"], m["bits"]) for m in marks if m["nth"] is None])
@@ -442,12 +413,11 @@ def dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str
         raise ValueError("strings of 16 bytes at least")
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *keep)
-    with setting(spark, _BATCH, "2000"):
-        chunks = save(docs.mapInArrow(_pack, _CHUNKS), "suffix-chunks")
+    chunks = pack(docs, "suffix-chunks")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(20, max(8, (total // BUCKET).bit_length()))
     by_bucket = lambda sent, f, columns: sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(f, columns)
-    with setting(spark, _BATCH, "16"):
+    with setting(spark, BATCH, "16"):
         marks = save(by_bucket(chunks.select("chunk", "ids", "nulls", "offsets", "text").mapInArrow(_send_seeds(length, bits), _SEEDS), _mark, _MARKS), "suffix-marks")
         asked = marks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks")).hint("shuffle_hash")
         sent = chunks.select("chunk", "ids", "nulls", "offsets", "text").join(asked, "chunk").mapInArrow(_send_text(length, bits), _AROUND)

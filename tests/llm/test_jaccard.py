@@ -78,8 +78,7 @@ def test_links(spark, docs):
 
 def test_links_in_tiles(spark, docs, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE", 8_000)
-    monkeypatch.setattr(jaccard, "KNOWN", 10)
-    monkeypatch.setattr(jaccard, "ROWS", 500)
+    monkeypatch.setattr(jaccard, "BUCKET", 1)
     rng = random.Random(2)
     rows = family(rng, range(120), 50) + family(rng, range(200, 290), 30)
     compare(jaccard.similar(docs(rows).repartition(3)), rows)
