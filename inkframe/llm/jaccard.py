@@ -211,17 +211,20 @@ def _smallest(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges from the documents of each shingle to the smallest of them."""
+    """What connects the documents of each shingle: edges to the smallest of them, and of what that connects within the task."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    keys, docs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    keys, docs, sets = [np.empty(0, np.int64)], [np.empty(0, np.int64)], Sets()
     for batch in batches:
         key, doc, hub = (batch.column(i).to_numpy() for i in range(3))
         is_edge = hub != NONE
-        yield _batch(schema, doc[is_edge], hub[is_edge])
+        for a, b in zip(doc[is_edge].tolist(), hub[is_edge].tolist(), strict=True):
+            sets.join(a, b)
         keys.append(key[~is_edge]), docs.append(doc[~is_edge])
     _, doc, hub, new = _smallest(np.concatenate(keys), np.concatenate(docs))
-    edges = np.unique(np.stack((doc[~new], hub[~new])), axis=1)
-    yield _batch(schema, edges[0], edges[1])
+    for a, b in set(zip(doc[~new].tolist(), hub[~new].tolist(), strict=True)):
+        sets.join(a, b)
+    if found := sets.edges():
+        yield _batch(schema, *zip(*found, strict=True))
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
