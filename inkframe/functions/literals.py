@@ -56,7 +56,8 @@ def unescape_ttoon(masked: Column) -> Column:
 def unescape_tjson(masked: Column) -> Column:
     """The content of a masked JSON string literal, null if it isn't one."""
     raw = F.replace(F.replace(masked, F.lit(QUOTE), F.lit('\\"')), F.lit(SLASH), F.lit("\\\\"))
-    return F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>")[0]
+    read = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>")[0]
+    return F.when(masked.rlike(r"[\x00-\x1f\\]"), read).otherwise(F.substring(masked, F.lit(2), F.length(masked) - 2))
 
 
 def _found(kind: str, value: Column) -> Column:
@@ -98,7 +99,11 @@ def _numbers(c: Column, chain: Column, integer: str, real: str) -> Column:
 
 def parse_unit(c: Column, mode: str = "compat") -> Column:
     """The unit grammar. c: a masked cell (see ``mask``; text without backslashes is its own mask)."""
-    c = F.trim(c)
+    return unit(F.trim(c), mode)
+
+
+def unit(c: Column, mode: str) -> Column:
+    """``parse_unit`` of a trimmed cell. It is named many times here, so callers make it a column first."""
     chain = F.when(c == "", _found("string", c)).when(c.rlike(QUOTED), _or_error("string", unescape_ttoon(c), "lex error: escape"))
     chain = _keywords(c, chain.when)
     chain = _numbers(c, _wrapped(c, chain), INT_G2, FLOAT_G2)
@@ -107,8 +112,12 @@ def parse_unit(c: Column, mode: str = "compat") -> Column:
 
 def parse_number(c: Column) -> Column:
     """The number grammar. c: a masked value."""
-    c = F.trim(c)
-    chain = F.when(c.rlike(QUOTED), _or_error("string", unescape_tjson(c), "lex error: escape"))
+    return number(F.trim(c))
+
+
+def number(c: Column) -> Column:
+    """``parse_number`` of a trimmed value; null (a missing value) is the null literal."""
+    chain = F.when(c.isNull(), _found("null", F.lit(None))).when(c.rlike(QUOTED), _or_error("string", unescape_tjson(c), "lex error: escape"))
     chain = _numbers(c, _wrapped(c, _keywords(c, chain.when)).when(c.rlike(r"^-0$"), _failed("parse error: negative zero")), INT_G1, FLOAT_G1)
     return chain.otherwise(_failed("parse error: value"))
 

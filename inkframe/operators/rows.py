@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.literals import CONTROL, PARSED, mask, parse_number, parse_unit, typed, unescape_tjson
+from ..functions.literals import CONTROL, mask, number, typed, unescape_tjson, unit
 from ..functions.render import IDENTIFIER
 
 #: A table's header: count (or *), delimiter and names.
@@ -30,47 +31,59 @@ def header(line: str) -> tuple[int | None, str, list[str]] | None:
 
 def split_row(line: Column, delimiter: str = ",") -> Column:
     """Masked cells of a line, with delimiters in strings left alone; null if a quote stays open."""
+    return _cells(F.concat(mask(line), F.lit(delimiter)), delimiter)
+
+
+def _cells(masked: Column, delimiter: str) -> Column:
     d = re.escape(delimiter)
-    masked = F.concat(mask(line), F.lit(delimiter))
     whole = masked.rlike(rf'^(?:[^"{d}]*+(?:{_STRING}[^"{d}]*+)*+{d})++$')
     return F.when(whole, F.regexp_extract_all(masked, F.lit(rf'([^"{d}]*+(?:{_STRING}[^"{d}]*+)*+){d}'), F.lit(1)))
 
 
-def ttoon_fields(line: Column, schema: T.StructType, delimiter: str = ",", mode: str = "compat", on_error: str = "fail") -> list[Column]:
-    """The columns of a table's line; every row must have a cell for each field."""
-    cells = split_row(line, delimiter)
+def _finish(cells: DataFrame, schema: T.StructType, parse, on_error: str, keep: Sequence[str]) -> DataFrame:
+    """cells: the kept columns, and a trimmed literal for each field. Each step is a projection of its own, so that
+    nothing is parsed twice: Spark doesn't merge projections of what is used several times."""
+    n = range(len(schema.fields))
+    parsed = cells.select(*keep, *(parse(F.col(f"_c{i}")).alias(f"_p{i}") for i in n))
+    return parsed.select(*keep, *(typed(F.col(f"_p{i}"), f, on_error).alias(f.name, metadata=f.metadata or {}) for i, f in enumerate(schema.fields)))
+
+
+def ttoon_rows(df: DataFrame, line: Column, schema: T.StructType, delimiter: str = ",", mode: str = "compat", on_error: str = "fail", keep: Sequence[str] = ()) -> DataFrame:
+    """The columns of a table's lines; every line must have a cell for each field. keep: columns of df that stay."""
+    n = len(schema.fields)
+    lines = df.select(*keep, line.alias("_line")).select(*keep, "_line", F.concat(mask(F.col("_line")), F.lit(delimiter)).alias("_masked"))
+    lines = lines.select(*keep, "_line", _cells(F.col("_masked"), delimiter).alias("_cells"))
+    wrong = F.raise_error(F.concat(F.lit(f"parse error: {n} cells expected: "), "_line")).cast("array<string>") if on_error == "fail" else F.lit(None).cast("array<string>")
+    good = F.coalesce((F.size("_cells") == n) & ~F.col("_line").rlike(CONTROL), F.lit(False))
+    lines = lines.select(*keep, F.when(good, F.col("_cells")).otherwise(wrong).alias("_cells"))
+    missing = F.lit(None).cast("array<string>")
+    cells = lines.select(*keep, *(F.trim(F.get(F.coalesce("_cells", missing), F.lit(i))).alias(f"_c{i}") for i in range(n)))
+    return _finish(cells, schema, lambda c: F.when(c.isNotNull(), unit(c, mode)), on_error, keep)
+
+
+def with_entries(df: DataFrame, obj: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """The kept columns, _obj, and of flat objects _keys (null of anything else) and _values (masked)."""
+    out = df.select(*keep, obj.alias("_obj")).select(*keep, "_obj", mask(F.col("_obj")).alias("_masked"))
+    flat = F.col("_masked").rlike(rf"^\s*\{{\s*(?:{_PAIR}\s*(?:,\s*{_PAIR}\s*)*+)?\}}\s*$")
+    pairs = lambda i: F.regexp_extract_all("_masked", F.lit(rf'("[^"]*+")\s*+:\s*+({_STRING}|[^",\[\]{{}}\s][^",\[\]{{}}]*+)'), F.lit(i))
+    return out.select(*keep, "_obj", F.when(flat, F.transform(pairs(1), unescape_tjson)).alias("_keys"), pairs(2).alias("_values"))
+
+
+def tjson_rows(df: DataFrame, obj: Column, schema: T.StructType, mode: str = "compat", on_error: str = "fail", keep: Sequence[str] = ()) -> DataFrame:
+    """The columns of flat objects, by name: missing names are null, and of equal names the last counts; other names are
+    skipped, or an error in strict mode."""
     n = len(schema.fields)
-    bad = F.when(cells.isNull() | (F.size(cells) != n) | line.rlike(CONTROL), F.lit(True)).otherwise(F.lit(False))
-    wrong = F.raise_error(F.concat(F.lit(f"parse error: {n} cells expected: "), line)).cast(PARSED) if on_error == "fail" else F.lit(None).cast(PARSED)
-    return [typed(F.when(bad, wrong).otherwise(parse_unit(F.get(cells, F.lit(i)), mode)), f, on_error).alias(f.name, metadata=f.metadata or {}) for i, f in enumerate(schema.fields)]
-
-
-def tjson_map(obj: Column) -> Column:
-    """A flat object as a map of names to masked values; the last of equal names counts. Null if it isn't a flat object."""
-    masked = mask(obj)
-    flat = masked.rlike(rf"^\s*\{{\s*(?:{_PAIR}\s*(?:,\s*{_PAIR}\s*)*+)?\}}\s*$")
-    pairs = lambda i: F.regexp_extract_all(masked, F.lit(rf'("[^"]*+")\s*+:\s*+({_STRING}|[^",\[\]{{}}\s][^",\[\]{{}}]*+)'), F.lit(i))
-    keys = F.transform(pairs(1), unescape_tjson)
-    entries = F.arrays_zip(keys.alias("k"), pairs(2).alias("v"))
-    # values of equal names: the last, at the place of the first
-    last = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"])))
-    distinct = F.size(F.array_distinct(keys)) == F.size(keys)
-    return F.when(flat, F.when(distinct, F.map_from_arrays(keys, pairs(2))).otherwise(last))
-
-
-def tjson_fields(obj: Column, schema: T.StructType, mode: str = "compat", on_error: str = "fail") -> list[Column]:
-    """The columns of a flat object, by name: missing names are null; others are skipped, or an error in strict mode."""
-    m = tjson_map(obj)
-    null = F.struct(F.lit("null").alias("kind"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("error"))
-    bad = m.isNull()
+    pairs = with_entries(df, obj, keep)
+    names = F.array(*map(F.lit, schema.names))
+    good = F.col("_keys").isNotNull()
     if mode == "strict":
-        bad = bad | (F.size(F.array_except(F.map_keys(m), F.array(*(F.lit(f.name) for f in schema.fields)))) > 0)
-    wrong = F.raise_error(F.concat(F.lit("parse error: not a flat object of the schema: "), obj)).cast(PARSED) if on_error == "fail" else F.lit(None).cast(PARSED)
-    out = []
-    for f in schema.fields:
-        value = F.element_at(m, F.lit(f.name))
-        out.append(typed(F.when(bad, wrong).when(value.isNull(), null).otherwise(parse_number(value)), f, on_error).alias(f.name, metadata=f.metadata or {}))
-    return out
+        good = good & (F.size(F.array_except("_keys", names)) == 0)
+    wrong = F.raise_error(F.concat(F.lit("parse error: not a flat object of the schema: "), "_obj")).cast("array<string>") if on_error == "fail" else F.lit(None).cast("array<string>")
+    # reversed, so that the first place of a name is its last value
+    pairs = pairs.select(*keep, F.reverse(F.when(F.coalesce(good, F.lit(False)), F.col("_keys")).otherwise(wrong)).alias("_keys"), F.reverse("_values").alias("_values"))
+    at = lambda name: F.nullif(F.array_position("_keys", name), F.lit(0))
+    cells = pairs.select(*keep, *(F.trim(F.get("_values", (at(f.name) - 1).cast("int"))).alias(f"_c{i}") for i, f in enumerate(schema.fields)))
+    return _finish(cells, schema, number, on_error, keep) if n else pairs.select(*keep)
 
 
 def objects_of_array(text: Column) -> Column:

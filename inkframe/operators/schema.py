@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.literals import parse_number
+from ..functions.literals import number
 from ..functions.render import IDENTIFIER, TYPED
-from .rows import tjson_map
+from .rows import with_entries
 
 #: The names of scalar types.
 TYPES = {"string": T.StringType(), "int": T.LongType(), "float": T.DoubleType(), "bool": T.BooleanType(), "date": T.DateType(), "time": T.StringType(), "datetime": T.TimestampType(), "datetime_naive": T.TimestampNTZType(), "uuid": T.StringType(), "binary": T.BinaryType()}
@@ -60,8 +60,9 @@ def check_compatible(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def entries(objects: DataFrame, text: Column, order: Column) -> DataFrame:
     """(row, pos, field, kind, value, error): a row for each entry of flat objects."""
-    pairs = objects.select(order.alias("row"), F.posexplode(F.map_entries(tjson_map(text))).alias("pos", "e"))
-    return pairs.select("row", "pos", F.col("e.key").alias("field"), parse_number(F.col("e.value")).alias("p")).select("row", "pos", "field", "p.*")
+    pairs = with_entries(objects.select(order.alias("row"), text.alias("_text")), F.col("_text"), ["row"])
+    cells = pairs.select("row", F.posexplode(F.arrays_zip("_keys", "_values")).alias("pos", "e")).select("row", "pos", F.col("e._keys").alias("field"), F.trim("e._values").alias("c"))
+    return cells.select("row", "pos", "field", number(F.col("c")).alias("p")).select("row", "pos", "field", "p.*")
 
 
 def merge(found: DataFrame) -> DataFrame:

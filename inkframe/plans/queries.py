@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import documents
 from ..functions.literals import detect_format, mask, parse_unit, safe_int, typed
 from ..functions.render import quote_tjson, render_cell, tjson_row, ttoon_header, ttoon_row
-from ..operators.rows import inline_array, objects_of_array, tjson_fields, ttoon_fields
+from ..operators.rows import inline_array, objects_of_array, tjson_rows, ttoon_rows
 from ..operators.schema import declare, entries, merge
 from ..sources.text import read_tjson, read_ttoon, write_tjson, write_ttoon
 from ..streaming.text import stream_ttoon
@@ -41,11 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def through_ttoon(df: DataFrame, delimiter: str = ",") -> DataFrame:
     """df written as lines of a table and parsed again."""
-    return df.select(ttoon_row(df, delimiter).alias("line")).select(*ttoon_fields(F.col("line"), df.schema, delimiter))
+    return ttoon_rows(df.select(ttoon_row(df, delimiter).alias("line")), F.col("line"), df.schema, delimiter)
 
 
 def through_tjson(df: DataFrame) -> DataFrame:
-    return df.select(tjson_row(df).alias("obj")).select(*tjson_fields(F.col("obj"), df.schema))
+    return tjson_rows(df.select(tjson_row(df).alias("obj")), F.col("obj"), df.schema)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -91,7 +91,7 @@ def tjson_array_file(spark, sf_dir):
     rows = df.select(tjson_row(df).alias("obj"))
     lists = rows.groupBy(F.pmod(F.xxhash64("obj"), F.lit(8))).agg(F.collect_list("obj").alias("o")).select(F.concat(F.lit("["), F.array_join("o", ", "), F.lit("]")).alias("value"))
     lists.write.text(path, lineSep="\n")
-    return spark.read.text(path).select(F.explode(objects_of_array(F.col("value"))).alias("obj")).select(*tjson_fields(F.col("obj"), df.schema))
+    return tjson_rows(spark.read.text(path).select(F.explode(objects_of_array(F.col("value"))).alias("obj")), F.col("obj"), df.schema)
 
 
 @query("SELECT fmt, count(*) AS n FROM (SELECT 'ttoon' AS fmt FROM orders UNION ALL SELECT 'tjson' FROM orders UNION ALL SELECT 'typed_unit' FROM orders) GROUP BY fmt")
@@ -170,8 +170,7 @@ def parse_uuid_binary(spark, sf_dir):
     schema = declare({"u": "uuid", "x": "binary"})
     df = table(spark, sf_dir, "part").select("p_partkey", _uuid(F.col("p_name")).alias("u"), F.encode("p_name", "UTF-8").alias("x"))
     line = F.concat_ws(", ", render_cell(F.col("u"), schema["u"]), F.when(F.col("p_partkey") % 2 == 0, render_cell(F.col("x"), schema["x"])).otherwise(render_cell(F.col("x"), schema["x"], binary_format="b64")))
-    u, x = ttoon_fields(F.col("line"), schema)
-    return df.select("p_partkey", line.alias("line")).select("p_partkey", u, x).select("p_partkey", F.replace("u", F.lit("-"), F.lit("")).alias("u"), F.decode("x", "UTF-8").alias("x"))
+    return ttoon_rows(df, line, schema, keep=["p_partkey"]).select("p_partkey", F.replace("u", F.lit("-"), F.lit("")).alias("u"), F.decode("x", "UTF-8").alias("x"))
 
 
 @query("SELECT kind, count(*) AS n FROM (SELECT 'int' AS kind FROM orders UNION ALL SELECT 'decimal' FROM orders UNION ALL SELECT 'date' FROM orders UNION ALL SELECT 'string' FROM orders) GROUP BY kind")
@@ -226,19 +225,19 @@ def sparse_missing_to_null(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
     full = df.select("o_orderkey", "o_orderpriority")
     obj = F.when(F.col("o_orderstatus") == "F", tjson_row(full.select("o_orderkey"))).otherwise(tjson_row(full))
-    return df.select(obj.alias("obj")).select(*tjson_fields(F.col("obj"), full.schema))
+    return tjson_rows(df.select(obj.alias("obj")), F.col("obj"), full.schema)
 
 
 @query("SELECT o_orderkey, o_custkey AS a FROM orders")
 def duplicate_key_last_wins(spark, sf_dir):
     obj = F.format_string('{"o_orderkey": %d, "a": %d, "a": %d}', "o_orderkey", F.lit(-1), "o_custkey")
-    return table(spark, sf_dir, "orders").select(obj.alias("obj")).select(*tjson_fields(F.col("obj"), declare({"o_orderkey": "int", "a": "int"})))
+    return tjson_rows(table(spark, sf_dir, "orders").select(obj.alias("obj")), F.col("obj"), declare({"o_orderkey": "int", "a": "int"}))
 
 
 @query("SELECT c_custkey, c_name FROM customer")
 def compat_discard_unknown(spark, sf_dir):
     df = table(spark, sf_dir, "customer")
-    return df.select(tjson_row(df).alias("obj")).select(*tjson_fields(F.col("obj"), declare({"c_custkey": "int", "c_name": "string"})))
+    return tjson_rows(df.select(tjson_row(df).alias("obj")), F.col("obj"), declare({"c_custkey": "int", "c_name": "string"}))
 
 
 @query("SELECT count(*) AS rejected FROM orders")
@@ -259,7 +258,7 @@ def embedded_table_explode(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     doc = F.concat(F.lit("meta:\n  n: 1\nrows[1]{l_orderkey,l_partkey,l_quantity}:\n  "), ttoon_row(df), F.lit("\n"))
     inner = F.regexp_extract(documents.ttoon_to_tjson(doc), r'"rows": (\[.*\])\}$', 1)
-    return df.select(F.explode(objects_of_array(inner)).alias("obj")).select(*tjson_fields(F.col("obj"), df.schema))
+    return tjson_rows(df.select(F.explode(objects_of_array(inner)).alias("obj")), F.col("obj"), df.schema)
 
 
 @query("""SELECT c_custkey, 'c_custkey: ' || c_custkey || chr(10) || 'c_name: "' || c_name || '"' || chr(10) AS txt FROM customer""")
@@ -276,7 +275,7 @@ def transcode_ttoon_to_tjson(spark, sf_dir):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def props_object_parse(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", *tjson_fields(F.col("props"), declare({"k": "int?"})))
+    return tjson_rows(table(spark, sf_dir, "events"), F.col("props"), declare({"k": "int?"}), keep=["event_id"])
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey * 9007199254740 > 9007199254740991 THEN CAST('nan' AS DOUBLE) ELSE CAST(o_orderkey * 9007199254740 AS DOUBLE) END AS v FROM orders")

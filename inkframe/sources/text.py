@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.literals import parse_unit
+from ..functions.literals import unit
 from ..functions.render import tjson_row, ttoon_header, ttoon_row
-from ..operators.rows import check_count, header, objects_of_array, split_row, tjson_fields, ttoon_fields
+from ..operators.rows import check_count, header, objects_of_array, split_row, tjson_rows, ttoon_rows
 from ..operators.schema import check_compatible, entries, infer, merge  # noqa: F401
 
 #: No literal has this character, so a line is one field of the writer.
@@ -42,9 +42,9 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def infer_ttoon(lines: DataFrame, names: list[str], delimiter: str, mode: str) -> T.StructType:
     """By one aggregation over all cells."""
-    rows = lines.select(F.posexplode(split_row(F.col("value"), delimiter)).alias("pos", "cell"))
+    rows = lines.select(F.posexplode(split_row(F.col("value"), delimiter)).alias("pos", "cell")).select("pos", F.trim("cell").alias("cell"))
     named = F.element_at(F.array(*map(F.lit, names)), F.col("pos") + 1)
-    return infer(rows.select(F.lit(0).alias("row"), "pos", named.alias("field"), parse_unit(F.col("cell"), mode).alias("p")).select("row", "pos", "field", "p.*"))
+    return infer(rows.select(F.lit(0).alias("row"), "pos", named.alias("field"), unit(F.col("cell"), mode).alias("p")).select("row", "pos", "field", "p.*"))
 
 
 def read_ttoon(spark: SparkSession, path: str, schema: T.StructType | None = None, mode: str = "compat", on_error: str = "fail") -> DataFrame:
@@ -63,7 +63,7 @@ def read_ttoon(spark: SparkSession, path: str, schema: T.StructType | None = Non
     schema = schema or infer_ttoon(rows, names, delimiter, mode)
     if not schema.fields:  # no rows to infer from
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return check_count(rows.select(*ttoon_fields(F.col("value"), schema, delimiter, mode, on_error)), count)
+    return check_count(ttoon_rows(rows, F.col("value"), schema, delimiter, mode, on_error), count)
 
 
 def read_tjson(spark: SparkSession, path: str, schema: T.StructType | None = None, mode: str = "compat", on_error: str = "fail", layout: str = "lines") -> DataFrame:
@@ -76,7 +76,7 @@ def read_tjson(spark: SparkSession, path: str, schema: T.StructType | None = Non
         objects = whole.select(F.explode(F.coalesce(objects_of_array(F.col("value")), bad)).alias("obj"))
     if schema is None:
         schema = infer(entries(objects, F.col("obj"), F.monotonically_increasing_id()))
-    return objects.select(*tjson_fields(F.col("obj"), schema, mode, on_error))
+    return tjson_rows(objects, F.col("obj"), schema, mode, on_error)
 
 
 def replace(spark: SparkSession, path: str) -> None:

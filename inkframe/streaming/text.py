@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.render import tjson_row, ttoon_header
-from ..operators.rows import tjson_fields, ttoon_fields
+from ..operators.rows import tjson_rows, ttoon_rows
 from ..operators.schema import check_compatible
 from ..sources.text import replace, write_ttoon
 
@@ -29,12 +29,12 @@ def stream_ttoon(spark: SparkSession, path: str, schema: T.StructType, delimiter
     is_header = F.col("value").rlike(r"^\[[\d*]*[^\]]*\]\{.*\}:\s*$")
     other = F.raise_error(F.concat(F.lit("schema error: header "), F.col("value"))).cast("boolean")
     rows = lines.where(F.when(~is_header, True).when(F.rtrim("value").endswith(own), False).otherwise(other))
-    return rows.select(*ttoon_fields(F.col("value"), schema, delimiter, mode, on_error))
+    return ttoon_rows(rows, F.col("value"), schema, delimiter, mode, on_error)
 
 
 def stream_tjson(spark: SparkSession, path: str, schema: T.StructType, mode: str = "compat", on_error: str = "fail") -> DataFrame:
     """Rows of files with an object a line."""
-    return _lines(spark, path).select(*tjson_fields(F.col("value"), schema, mode, on_error))
+    return tjson_rows(_lines(spark, path), F.col("value"), schema, mode, on_error)
 
 
 def writer_ttoon(df: DataFrame, path: str, schema: T.StructType, delimiter: str = ",") -> DataStreamWriter:
