@@ -29,6 +29,9 @@ UUID = r"^uuid\(([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\)
 HEX = r"^hex\((([0-9a-fA-F]{2})*)\)$"
 B64 = r"^b64\((([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?)\)$"
 QUOTED = r'^"[^"]*"$'
+ZONED = r"([Zz]|[+-]\d\d:\d\d)$"
+#: What isn't a string in a cell without quotes: keywords, literals, and texts that start as a literal and would be an error.
+NOT_BARE = rf"^(?s:null|true|false|nan|[+-]?inf|(?:uuid|hex|b64)\(.*\)|.*T.*:.*|.*:.*T.*|..:..:.*|{DATE[1:-1]}|{DECIMAL[1:-1]}|[+-]?(?:\d+\.\d*|\.\d+)(?:[eE][+-]?\d+)?|[+-]?\d+[eE][+-]?\d+)$"
 #: Stand for an escaped backslash and quote while a line is split: raw control characters are errors in strings.
 SLASH, QUOTE = "\x01", "\x02"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
@@ -83,7 +86,7 @@ def _wrapped(c: Column, chain: Column) -> Column:
         chain = chain.when(c.startswith(f"{name}(") & c.endswith(")"), F.when(c.rlike(shape), _found(kind, inner)).otherwise(_failed(f"parse error: {name} literal")))
     date = F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd")
     real = date.isNotNull() & ~c.startswith("0000")
-    zoned = c.rlike(r"([Zz]|[+-]\d\d:\d\d)$")
+    zoned = c.rlike(ZONED)
     chain = chain.when(c.contains("T") & c.contains(":"), F.when(c.rlike(DATETIME) & real, F.when(zoned, _found("datetime", c)).otherwise(_found("datetime_naive", c))).otherwise(_failed("parse error: datetime literal")))
     chain = chain.when(c.rlike(DATE), F.when(real, _found("date", c)).otherwise(_failed("parse error: date literal")))
     chain = chain.when(c.rlike(r"^..:..:"), F.when(c.rlike(TIME), _found("time", c)).otherwise(_failed("parse error: time literal")))
@@ -142,28 +145,80 @@ def kind_of(field: T.StructField) -> str:
     raise ValueError(f"schema error: {field.name} can't be {t.simpleString()}")
 
 
+def _decimal(value: Column, t: T.DecimalType) -> Column:
+    """Null if it doesn't fit: nothing is rounded."""
+    digits = F.regexp_replace(value, r"^[+-]", "")
+    fits = (F.length(F.substring_index(digits, ".", 1)) <= max(1, t.precision - t.scale)) & (F.length(F.regexp_extract(digits, r"\.(\d+)$", 1)) <= t.scale)
+    return F.when(fits, value.try_cast(t))
+
+
+def _instant(value: Column) -> Column:
+    local, minutes = micros_of_datetime(value)
+    at = F.make_timestamp_ltz(F.year(local), F.month(local), F.dayofmonth(local), F.hour(local), F.minute(local), F.date_format(local, "s.SSSSSS").cast("decimal(16,6)"), F.lit("UTC"))
+    return at - F.make_interval(mins=minutes)
+
+
+def _checked(found: Column, null: Column, what: Column, field: T.StructField, on_error: str) -> Column:
+    """found, and null where the literal is null; else what was found instead is told, or null with on_error="null"."""
+    t = field.dataType
+    bad = F.concat(F.lit(f"parse error: {field.name}: {kind_of(field)} expected, found "), what)
+    wrong = F.raise_error(bad).cast(t) if on_error == "fail" else F.lit(None).cast(t)
+    return F.when(null, F.lit(None).cast(t) if field.nullable or on_error != "fail" else wrong).otherwise(F.coalesce(found, wrong))
+
+
 def typed(parsed: Column, field: T.StructField, on_error: str = "fail") -> Column:
     """A parsed value as the declared type. A wrong kind, a null where none is allowed, and a decimal that doesn't fit are
     errors: they fail the query, or with on_error="null" give null."""
-    value, kind, want = parsed["value"], parsed["kind"], kind_of(field)
-    t = field.dataType
+    value, kind, want, t = parsed["value"], parsed["kind"], kind_of(field), field.dataType
     if want == "datetime":
-        local, minutes = micros_of_datetime(value)
-        out = F.make_timestamp_ltz(F.year(local), F.month(local), F.dayofmonth(local), F.hour(local), F.minute(local), F.date_format(local, "s.SSSSSS").cast("decimal(16,6)"), F.lit("UTC")) - F.make_interval(mins=minutes)
+        out = _instant(value)
     elif want == "datetime_naive":
         out = micros_of_datetime(value)[0]
     elif want == "binary":
         out = F.unhex(value)
     elif want == "decimal":
-        digits = F.regexp_replace(value, r"^[+-]", "")
-        fits = (F.length(F.substring_index(digits, ".", 1)) <= max(1, t.precision - t.scale)) & (F.length(F.regexp_extract(digits, r"\.(\d+)$", 1)) <= t.scale)
-        out = F.when(fits, value.try_cast(t))
+        out = _decimal(value, t)
     else:
         out = value.try_cast(t)
-    bad = F.concat(F.lit(f"parse error: {field.name}: {want} expected, found "), F.coalesce(parsed["error"], kind, F.lit("nothing")))
-    wrong = F.raise_error(bad).cast(t) if on_error == "fail" else F.lit(None).cast(t)
-    null = F.lit(None).cast(t) if field.nullable or on_error != "fail" else wrong
-    return F.when(kind == "null", null).when((kind == want) & out.isNotNull(), out).otherwise(wrong)
+    return _checked(F.when(kind == want, out), kind == "null", F.coalesce(parsed["error"], kind, F.lit("nothing")), field, on_error)
+
+
+def read(c: Column, field: T.StructField, grammar: str = "unit", mode: str = "compat", on_error: str = "fail") -> Column:
+    """``typed`` of ``unit`` or ``number`` (by grammar) of a trimmed, masked cell, with the shapes of the declared kind only:
+    a projection of many fields stays small enough to be compiled. A missing cell is null, and an error where null isn't allowed."""
+    want, t, number_like = kind_of(field), field.dataType, grammar == "number"
+    if want == "string":
+        quoted = c.startswith('"') & (F.locate('"', c, 2) == F.length(c))
+        found = F.when(quoted, unescape_tjson(c) if number_like else unescape_ttoon(c))
+        if not number_like:
+            found = found.when(c == "", c)
+            if mode == "compat":
+                number_ = c.rlike(INT_G2) & F.replace(c, F.lit("_"), F.lit("")).try_cast("bigint").isNotNull()
+                found = found.when(~c.startswith('"') & ~c.rlike(NOT_BARE) & ~number_, _unmask(c))
+                found = found.when(c.startswith('"') & ~c.rlike(NOT_BARE), _unmask(c))
+    elif want == "bool":
+        found = F.when(c == "true", True).when(c == "false", False)
+    elif want == "int":
+        good = c.rlike(INT_G1) & (c != "-0") if number_like else c.rlike(INT_G2)
+        found = F.when(good, F.replace(c, F.lit("_"), F.lit("")).try_cast(t))
+    elif want == "float":
+        found = F.when(c.isin("nan", "inf", "+inf", "-inf") | (c.rlike(FLOAT_G1 if number_like else FLOAT_G2) & ~c.rlike(INT_G2)), c.try_cast(t))
+    elif want == "decimal":
+        found = F.when(c.rlike(DECIMAL) & ~c.rlike(MINUS_ZERO), _decimal(F.regexp_replace(c, "^\\+|m$", ""), t))
+    elif want == "date":
+        found = F.when(c.rlike(DATE) & ~c.startswith("0000"), c.try_cast("date"))
+    elif want == "time":
+        found = F.when(c.rlike(TIME), c)
+    elif want == "uuid":
+        found = F.when(c.rlike(UUID), F.substring(c, 6, 36))
+    elif want == "binary":
+        inner = F.substring(c, F.lit(5), F.length(c) - 5)
+        found = F.when(c.rlike(HEX), F.unhex(inner)).when(c.rlike(B64), F.unbase64(inner))
+    else:
+        zoned = c.rlike(ZONED)
+        real = c.rlike(DATETIME) & ~c.startswith("0000")
+        found = F.when(real & zoned, _instant(c)) if want == "datetime" else F.when(real & ~zoned, c.try_cast("timestamp_ntz"))
+    return _checked(found.cast(t), c.isNull() | (c == "null") if number_like else c == "null", F.coalesce(_unmask(c), F.lit("nothing")), field, on_error)
 
 
 def detect_format(text: Column) -> Column:

@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.literals import CONTROL, mask, number, typed, unescape_tjson, unit
+from ..functions.literals import mask, read, unescape_tjson
 from ..functions.render import IDENTIFIER
 
 #: A table's header: count (or *), delimiter and names.
 HEADER = re.compile(r"\[(\d*|\*)(,|\t|\\?\||\\t)?\]\{(.*)\}:\s*")
 _STRING = '"[^"]*+"'
+#: Control characters but for those that stand for escapes, and tabs, line feeds and returns.
+#: One by one, as a class of single characters is a table lookup and one of ranges isn't.
+_CONTROLS = "".join(rf"\x{i:02x}" for i in (*range(0x20), *range(0x7F, 0xA0)) if i not in (1, 2, 9, 10, 13))
 _PAIR = rf'"[^"]*+"\s*+:\s*+(?:{_STRING}|[^",\[\]{{}}\s][^",\[\]{{}}]*+)'
 
 
@@ -34,56 +37,78 @@ def split_row(line: Column, delimiter: str = ",") -> Column:
     return _cells(F.concat(mask(line), F.lit(delimiter)), delimiter)
 
 
-def _cells(masked: Column, delimiter: str) -> Column:
+def _cells(masked: Column, delimiter: str, controls: str = "") -> Column:
+    """Null if a quote stays open, or if there is any of these characters. Where no string has a delimiter in it, a plain split will do."""
     d = re.escape(delimiter)
-    whole = masked.rlike(rf'^(?:[^"{d}]*+(?:{_STRING}[^"{d}]*+)*+{d})++$')
-    return F.when(whole, F.regexp_extract_all(masked, F.lit(rf'([^"{d}]*+(?:{_STRING}[^"{d}]*+)*+){d}'), F.lit(1)))
+    line = lambda inside: rf'^(?:[^"{d}{controls}]*+(?:"[^"{inside}{controls}]*+"[^"{d}{controls}]*+)*+{d})++$'
+    last = F.length(masked) - 1
+    return F.when(masked.rlike(line(d)), F.split(F.substring(masked, F.lit(1), last), d)).when(masked.rlike(line("")), F.regexp_extract_all(masked, F.lit(rf'([^"{d}]*+(?:{_STRING}[^"{d}]*+)*+){d}'), F.lit(1)))
 
 
-def _finish(cells: DataFrame, schema: T.StructType, parse, on_error: str, keep: Sequence[str]) -> DataFrame:
+def _finish(cells: DataFrame, schema: T.StructType, grammar: str, mode: str, on_error: str, keep: Sequence[str]) -> DataFrame:
     """cells: the kept columns, and a trimmed literal for each field. Each step is a projection of its own, so that
     nothing is parsed twice: Spark doesn't merge projections of what is used several times."""
-    n = range(len(schema.fields))
-    parsed = cells.select(*keep, *(parse(F.col(f"_c{i}")).alias(f"_p{i}") for i in n))
-    return parsed.select(*keep, *(typed(F.col(f"_p{i}"), f, on_error).alias(f.name, metadata=f.metadata or {}) for i, f in enumerate(schema.fields)))
+    return cells.select(*keep, *(read(F.col(f"_c{i}"), f, grammar, mode, on_error).alias(f.name, metadata=f.metadata or {}) for i, f in enumerate(schema.fields)))
 
 
 def ttoon_rows(df: DataFrame, line: Column, schema: T.StructType, delimiter: str = ",", mode: str = "compat", on_error: str = "fail", keep: Sequence[str] = ()) -> DataFrame:
     """The columns of a table's lines; every line must have a cell for each field. keep: columns of df that stay."""
     n = len(schema.fields)
     lines = df.select(*keep, line.alias("_line")).select(*keep, "_line", F.concat(mask(F.col("_line")), F.lit(delimiter)).alias("_masked"))
-    lines = lines.select(*keep, "_line", _cells(F.col("_masked"), delimiter).alias("_cells"))
+    lines = lines.select(*keep, "_line", F.when(~F.col("_line").rlike("[\x01\x02]"), _cells(F.col("_masked"), delimiter, _CONTROLS)).alias("_cells"))
     wrong = F.raise_error(F.concat(F.lit(f"parse error: {n} cells expected: "), "_line")).cast("array<string>") if on_error == "fail" else F.lit(None).cast("array<string>")
-    good = F.coalesce((F.size("_cells") == n) & ~F.col("_line").rlike(CONTROL), F.lit(False))
+    good = F.coalesce(F.size("_cells") == n, F.lit(False))
     lines = lines.select(*keep, F.when(good, F.col("_cells")).otherwise(wrong).alias("_cells"))
     missing = F.lit(None).cast("array<string>")
     cells = lines.select(*keep, *(F.trim(F.get(F.coalesce("_cells", missing), F.lit(i))).alias(f"_c{i}") for i in range(n)))
-    return _finish(cells, schema, lambda c: F.when(c.isNotNull(), unit(c, mode)), on_error, keep)
+    return _finish(cells, schema, "unit", mode, on_error, keep)
+
+
+def _entries(masked: Column) -> tuple[Column, Column]:
+    """Of flat objects, the keys (null of anything else) and the masked values."""
+    flat = masked.rlike(rf"^\s*\{{\s*(?:{_PAIR}\s*(?:,\s*{_PAIR}\s*)*+)?\}}\s*$")
+    pairs = lambda key, i: F.regexp_extract_all(masked, F.lit(rf'{key}\s*+:\s*+({_STRING}|[^",\[\]{{}}\s][^",\[\]{{}}]*+)'), F.lit(i))
+    # without escapes the keys are as they stand
+    keys = F.when(masked.rlike(r"[\x00-\x1f\\]"), F.transform(pairs('("[^"]*+")', 1), unescape_tjson)).otherwise(pairs('"([^"]*+)"', 1))
+    return F.when(flat, keys), pairs('"[^"]*+"', 1)
 
 
 def with_entries(df: DataFrame, obj: Column, keep: Sequence[str] = ()) -> DataFrame:
     """The kept columns, _obj, and of flat objects _keys (null of anything else) and _values (masked)."""
     out = df.select(*keep, obj.alias("_obj")).select(*keep, "_obj", mask(F.col("_obj")).alias("_masked"))
-    flat = F.col("_masked").rlike(rf"^\s*\{{\s*(?:{_PAIR}\s*(?:,\s*{_PAIR}\s*)*+)?\}}\s*$")
-    pairs = lambda i: F.regexp_extract_all("_masked", F.lit(rf'("[^"]*+")\s*+:\s*+({_STRING}|[^",\[\]{{}}\s][^",\[\]{{}}]*+)'), F.lit(i))
-    return out.select(*keep, "_obj", F.when(flat, F.transform(pairs(1), unescape_tjson)).alias("_keys"), pairs(2).alias("_values"))
+    keys, values = _entries(F.col("_masked"))
+    return out.select(*keep, "_obj", keys.alias("_keys"), values.alias("_values"))
+
+
+def _in_order(names: Sequence[str]) -> str:
+    """Objects with these names in this order and no comma in a string: the group is what is between the braces."""
+    pair = lambda name: rf'"{name}" *+: *+(?:"[^",]*+"|[^",\[\]{{}}\s]++) *+'
+    return rf"^ *+\{{( *+{', *+'.join(map(pair, names))})\}} *+$"
 
 
 def tjson_rows(df: DataFrame, obj: Column, schema: T.StructType, mode: str = "compat", on_error: str = "fail", keep: Sequence[str] = ()) -> DataFrame:
     """The columns of flat objects, by name: missing names are null, and of equal names the last counts; other names are
-    skipped, or an error in strict mode."""
-    n = len(schema.fields)
-    pairs = with_entries(df, obj, keep)
-    names = F.array(*map(F.lit, schema.names))
+    skipped, or an error in strict mode. Objects whose names are the schema's in its order are split at commas; all others
+    are taken apart entry by entry, with the same result."""
+    n, names = len(schema.fields), F.array(*map(F.lit, schema.names))
+    out = df.select(*keep, obj.alias("_obj")).select(*keep, "_obj", mask(F.col("_obj")).alias("_masked"))
+    plain = n and all(re.fullmatch(IDENTIFIER, name) for name in schema.names)
+    out = out.withColumn("_body", F.coalesce(F.regexp_extract("_masked", _in_order(schema.names), 1), F.lit("")) if plain else F.lit(""))
+    other = F.col("_body") == ""
+    keys, values = _entries(F.col("_masked"))
+    pairs = out.select(*keep, "_obj", F.when(~other, F.split("_body", ",")).alias("_pieces"), F.when(other, keys).alias("_keys"), F.when(other, values).alias("_values"))
     good = F.col("_keys").isNotNull()
     if mode == "strict":
         good = good & (F.size(F.array_except("_keys", names)) == 0)
-    wrong = F.raise_error(F.concat(F.lit("parse error: not a flat object of the schema: "), "_obj")).cast("array<string>") if on_error == "fail" else F.lit(None).cast("array<string>")
+    wrong = F.raise_error(F.concat(F.lit("parse error: not a flat object of the schema: "), F.coalesce("_obj", F.lit("null")))).cast("array<string>") if on_error == "fail" else F.lit(None).cast("array<string>")
     # reversed, so that the first place of a name is its last value
-    pairs = pairs.select(*keep, F.reverse(F.when(F.coalesce(good, F.lit(False)), F.col("_keys")).otherwise(wrong)).alias("_keys"), F.reverse("_values").alias("_values"))
+    own = F.when(F.col("_pieces").isNull(), F.reverse(F.when(F.coalesce(good, F.lit(False)), F.col("_keys")).otherwise(wrong)))
+    pairs = pairs.select(*keep, "_pieces", own.alias("_keys"), F.reverse("_values").alias("_values"))
     at = lambda name: F.nullif(F.array_position("_keys", name), F.lit(0))
-    cells = pairs.select(*keep, *(F.trim(F.get("_values", (at(f.name) - 1).cast("int"))).alias(f"_c{i}") for i, f in enumerate(schema.fields)))
-    return _finish(cells, schema, number, on_error, keep) if n else pairs.select(*keep)
+    pieces = pairs.select(*keep, "_keys", "_values", *(F.get("_pieces", F.lit(i)).alias(f"_piece{i}") for i in range(n)))
+    value = lambda piece: F.substring(piece, F.locate(":", piece) + 1, F.length(piece))
+    cells = pieces.select(*keep, *(F.trim(F.when(F.col(f"_piece{i}").isNotNull(), value(F.col(f"_piece{i}"))).otherwise(F.get("_values", (at(f.name) - 1).cast("int")))).alias(f"_c{i}") for i, f in enumerate(schema.fields)))
+    return _finish(cells, schema, "number", mode, on_error, keep) if n else pairs.select(*keep)
 
 
 def objects_of_array(text: Column) -> Column:

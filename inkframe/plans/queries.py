@@ -39,12 +39,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it has fewer splits than there are: a large table has more, and isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+
+
 def through_ttoon(df: DataFrame, delimiter: str = ",") -> DataFrame:
     """df written as lines of a table and parsed again."""
+    df = spread(df)
     return ttoon_rows(df.select(ttoon_row(df, delimiter).alias("line")), F.col("line"), df.schema, delimiter)
 
 
 def through_tjson(df: DataFrame) -> DataFrame:
+    df = spread(df)
     return tjson_rows(df.select(tjson_row(df).alias("obj")), F.col("obj"), df.schema)
 
 
