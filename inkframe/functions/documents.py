@@ -19,7 +19,7 @@ from . import literals as L
 from .render import DELIMITERS, IDENTIFIER, write_key
 
 DEEPEST = 256
-_HEADER = re.compile(r"\[(\d*|\*)[^\]]*\](?:\{(.*)\})?:(?: (.*))?")
+_HEADER = re.compile(r"\[(\*|\d*)[^\]]*\](?:\{(.*)\})?:(?: (.*))?")
 _ENTRY = re.compile(rf'("(?:[^"\\]|\\.)*"|{IDENTIFIER})(\[.*)?(?::(?: (.*))?)?')
 _ESCAPES = {"\\": "\\", '"': '"', "n": "\n", "r": "\r", "t": "\t"}
 _SHAPES = [("uuid", L.UUID, "uuid("), ("binary", L.HEX, "hex("), ("binary", L.B64, "b64(")]
