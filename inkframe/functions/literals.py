@@ -194,8 +194,7 @@ def read(c: Column, field: T.StructField, grammar: str = "unit", mode: str = "co
             found = found.when(c == "", c)
             if mode == "compat":
                 number_ = c.rlike(INT_G2) & F.replace(c, F.lit("_"), F.lit("")).try_cast("bigint").isNotNull()
-                found = found.when(~c.startswith('"') & ~c.rlike(NOT_BARE) & ~number_, _unmask(c))
-                found = found.when(c.startswith('"') & ~c.rlike(NOT_BARE), _unmask(c))
+                found = found.when(~c.rlike(NOT_BARE) & ~number_, _unmask(c))
     elif want == "bool":
         found = F.when(c == "true", True).when(c == "false", False)
     elif want == "int":
