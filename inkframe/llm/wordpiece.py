@@ -2,8 +2,9 @@
 
 A trie over the vocabulary with failure links; each link carries the number of pieces that following it
 emits, so that one pass over a word gives its number of greedy longest-match pieces without building
-them. Words are runs of word characters and single other characters, as in ``WORD``. A word that greedy
-matching can't cover counts as one unknown token.
+them. Words are runs of word characters and single other characters, as in ``WORD``. Each is matched with the
+word mark before it; where no piece that begins with the mark fits, the bare mark is a piece and pieces that go on
+with a word follow. A character at which no piece goes on is one unknown token, and matching goes on after it.
 
 Null and empty text: zero everywhere. Words have no length limit. Repeated rows and further columns are
 left as they are.
@@ -28,11 +29,12 @@ COUNTS = "struct<n_words: bigint, n_tokens: bigint, n_unknown: bigint>"
 
 
 class Automaton:
-    """heads: pieces that begin a word; tails: pieces that go on with one."""
+    """heads: pieces that begin a word, an empty one if the bare mark is a piece; tails: pieces that go on with one."""
 
     def __init__(self, heads: Iterable[str], tails: Iterable[str]):
         self.next: list[dict[str, int]] = [{}, {}]  # node 0 begins a word, node 1 has just ended a piece
-        ends = set()
+        heads = set(heads)
+        self.ends = ends = set()
         for root, words in ((0, heads), (1, tails)):
             for word in words:
                 node = root
@@ -44,6 +46,8 @@ class Automaton:
                 if word:
                     ends.add(node)
         self.fail, self.popped = [-1] * len(self.next), [0] * len(self.next)
+        if "" in heads:
+            self.fail[0], self.popped[0] = 1, 1
         todo = deque((0, 1))
         while todo:
             node = todo.popleft()
@@ -75,11 +79,26 @@ class Automaton:
             node = fail[node]
         return total if node == 1 else 0
 
+    def cover(self, word: str) -> tuple[int, int]:
+        """Tokens of a word, and how many of them are unknown characters. Piece by piece, for words that count can't cover."""
+        at = total = unknown = root = 0
+        while at < len(word):
+            node, to, end = root, at, -1
+            while to < len(word) and word[to] in self.next[node]:
+                node = self.next[node][word[to]]
+                to += 1
+                if node in self.ends:
+                    end = to
+            if end < 0 and not (root == 0 and self.fail[0] == 1):
+                unknown, end = unknown + 1, at + 1
+            at, root, total = max(at, end), 1, total + 1
+        return total, unknown
 
-_loaded: dict[str, tuple[Automaton, dict[str, int]]] = {}
 
+_loaded: dict[str, tuple[Automaton, dict[str, tuple[int, int]]]] = {}
 
-def load(model_path: str) -> tuple[Automaton, dict[str, int]]:
+
+def load(model_path: str) -> tuple[Automaton, dict[str, tuple[int, int]]]:
     """The automaton of a sentencepiece vocabulary, and a memo of words, once a process. Pieces that start with the
     word mark begin a word; plain ones go on with one; control, byte and unknown pieces are left out."""
     if model_path not in _loaded:
@@ -92,7 +111,7 @@ def load(model_path: str) -> tuple[Automaton, dict[str, int]]:
     return _loaded[model_path]
 
 
-def count_text(automaton: Automaton, memo: dict[str, int], text: str) -> tuple[int, int, int]:
+def count_text(automaton: Automaton, memo: dict[str, tuple[int, int]], text: str) -> tuple[int, int, int]:
     n_words = n_tokens = n_unknown = 0
     for piece in pieces(text, BEFORE_SPACE):
         for word, n in Counter(WORD.findall(piece)).items():
@@ -100,15 +119,16 @@ def count_text(automaton: Automaton, memo: dict[str, int], text: str) -> tuple[i
             if k is None:
                 if len(memo) >= MEMO:
                     memo.clear()
-                k = memo[word] = automaton.count(word)
+                covered = automaton.count(word)
+                k = memo[word] = (covered, 0) if covered else automaton.cover(word)
             n_words += n
-            n_tokens += n * (k or 1)
-            n_unknown += 0 if k else n
+            n_tokens += n * k[0]
+            n_unknown += n * k[1]
     return n_words, n_tokens, n_unknown
 
 
 def counter(model_path: str) -> Callable[[Column], Column]:
-    """A column function: text to its numbers of words, tokens and unknown words."""
+    """A column function: text to its numbers of words, tokens and unknown tokens."""
 
     @F.arrow_udf(COUNTS)
     def count(texts: pa.Array) -> pa.Array:

@@ -103,3 +103,40 @@ def test_token_counts_edges(spark, docs):
     assert [tuple(r.c) for r in out[:3]] == [(0, 0, 0)] * 3
     assert out[3].c.n_words == 2 and out[4].c.n_words == out[5].c.n_words == 300_000
     assert docs([]).select(count("text")).collect() == []
+
+
+def marked(word, vocabulary):
+    """Greedy longest match over the mark and a word: tokens, and unknown characters among them."""
+    text, at, n, unknown = "▁" + word, 0, 0, 0
+    while at < len(text):
+        end = next((e for e in range(min(len(text), at + 20), at, -1) if text[at:e] in vocabulary and (at == 0 or "▁" not in text[at:e])), None)
+        n, unknown, at = n + 1, unknown + (end is None), end or at + 1
+    return n, unknown
+
+
+def test_bare_mark_begins_a_word():
+    rng = random.Random(6)
+    for _ in range(60):
+        words = lambda n, top: {"".join(rng.choice("abc") for _ in range(rng.randint(1, top))) for _ in range(n)}
+        heads, tails = words(4, 5), words(8, 4)
+        a = wordpiece.Automaton({"", *heads}, tails)
+        vocabulary = {"▁", *("▁" + w for w in heads), *tails}
+        for w in words(80, 14):
+            n, unknown = marked(w, vocabulary)
+            assert a.cover(w) == (n, unknown) and a.count(w) == (0 if unknown else n), (w, heads, tails)
+
+
+def test_token_counts_are_those_of_marked_words(spark, sf, docs):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    vocabulary = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))}
+    texts = dict(enumerate(["ñandú été", "東京に行きました" * 3, "안녕하세요", "αβγ ßheit Ça", "中\U00020000国人", "\U00020000" * 40]))
+    out = {r.doc_id: tuple(r.c) for r in docs(list(texts.items())).select("doc_id", wordpiece.counter(path)("text").alias("c")).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where(F.length("text") < 3000).collect()
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op5_token_counts(spark, sf).collect()}
+    for text, found in [*((texts[i], out[i]) for i in texts), *((r.text, got[r.doc_id]) for r in rows)]:
+        counts = [marked(w, vocabulary) for w in wordpiece.WORD.findall(text)]
+        assert found == (len(counts), sum(n for n, _ in counts), sum(u for _, u in counts)), text
+    assert out[2][1] >= 5 and out[5][1:] == (41, 40)
