@@ -15,7 +15,7 @@ Words are runs of letters, digits and bytes beyond ASCII, with A-Z as a-z. A row
 longest overlap of a document and an item.
 
 Null and empty texts have no words and no overlaps. Items without words match nothing; items of fewer than
-``least_item`` words (6 at least: the shortest mask's) match nothing, as they are ordinary phrases. Rows with equal ids are rows of their own, and each
+``least_item`` words (7 at least: the masks need as many) match nothing, as they are ordinary phrases. Rows with equal ids are rows of their own, and each
 gives its overlaps; null ids likewise. An empty table on either side gives no rows. Further columns are dropped.
 """
 
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from .hashing import VALUES, mix, parts, words
 
-#: Fixed masks: 1 takes the word at that place, 0 ignores it. Any window with one substitution, and most with two, keep a seed.
-MASKS = ("1101100101", "1110010011", "111111")
+#: Fixed masks: 1 takes the word at that place, 0 ignores it. Each run of 7 words or more that begins and ends with words that agree, of which
+#: 3 in 4 agree and at most 2 in any 6 differ, keeps a seed, wherever its substitutions are. Below 3 in 4, or with less than 7 words, it needn't.
+MASKS = ("1101011", "11001101", "11111", "10110011", "111101", "1110011", "101111", "1101101")
 #: Test words that a block of items has.
 BLOCK = 1_000_000
 _IS_WORD = np.zeros(256, bool)

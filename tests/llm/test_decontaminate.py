@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from inkframe.llm import decontaminate, queries
@@ -64,3 +65,43 @@ def test_query_finds_whole_items(spark, sf):
     want = {(d, i) for d, t in rows.items() for i, x in items.items() if f" {x} " in f" {t} "}
     got = {(r.doc_id, r.item_id) for r in queries.op7_decontamination(spark, sf).collect()}
     assert want and want <= got and len(got) <= len(want) + 3
+
+
+def accepted(equal):
+    """What verification accepts: both ends agree, 3 in 4 agree, at most 2 in any 6 differ."""
+    return equal[0] and equal[-1] and 4 * sum(equal) >= 3 * len(equal) and all(sum(equal[i : i + 6]) >= 4 for i in range(len(equal) - 5))
+
+
+def test_masks_leave_nothing_out():
+    """Substitutions at any places: the best a run of n words without a seed can do, by the words that agree at its end."""
+    masks = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
+    runs = {(1,): 1}
+    for n in range(2, 120):
+        grown = {}
+        for run, equal in runs.items():
+            for word in (0, 1):
+                r = (*run, word)
+                seeded = word and any(len(r) > m[-1] and all(r[len(r) - 1 - m[-1] + i] for i in m) for m in masks)
+                if sum(r[-6:]) >= min(6, len(r)) - 2 and not seeded:
+                    grown[r[-7:]] = max(grown.get(r[-7:], 0), equal + word)
+        runs = grown
+        assert n < 7 or all(4 * equal < 3 * n for run, equal in runs.items() if run[-1]), n
+
+
+@pytest.mark.parametrize("length", [8, 9, 16, 20, 40, 60, 200])
+def test_substitutions_at_fixed_places_are_found(length):
+    rng = random.Random(length)
+    words = [f"w{i}" for i in range(length)]
+    every = lambda n, first: [int(i % n != first) for i in range(length)]
+    patterns = [every(n, first) for n in (4, 5, 6, 9) for first in range(n)]
+    patterns += [[int(i not in (a, b)) for i in range(length)] for a in range(1, min(length, 9) - 1) for b in range(a, min(length, 9) - 1)]
+    hashed = lambda ws: np.array([hash(w) & (1 << 63) - 1 for w in ws], np.uint64)
+    test = decontaminate.items(np.array([1]), [hashed(words)])
+    known = np.ones(1, bool)
+    for equal in patterns:
+        if not accepted(equal):
+            continue
+        h = hashed([f"x{rng.random()}" for _ in range(5)] + [w if e else f"y{rng.random()}" for w, e in zip(words, equal)] + ["z"])
+        found = decontaminate.hits(h, np.array([0, len(h)]), test, known)
+        got = decontaminate.find(h, found.get(0, []), test, 13, 0.8, 0.75, 8)
+        assert got and got[0][1:] == (length, sum(equal), 5, 0), equal
