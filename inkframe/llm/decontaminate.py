@@ -8,7 +8,7 @@ substituted:
 2. Training seeds are joined to test seeds. The test table's seeds are dealt in blocks of a fixed size, so that a
    task never holds more than a block of them; one pass over the training table serves a block.
 3. Around each hit the overlap is extended both ways while words agree, or while a word that differs is
-   followed by enough words that agree. Overlaps of ``least_words`` words, or of ``least_share`` of an item's
+   followed by enough words that agree. If too few words of all that agree, the longest stretch in it with enough is taken. Overlaps of ``least_words`` words, or of ``least_share`` of an item's
    words if that is less, are kept if ``least_equal`` of their words agree.
 
 Words are runs of letters, digits and bytes beyond ASCII, with A-Z as a-z. A row of the result is the
@@ -34,6 +34,8 @@ from .hashing import VALUES, mix, parts, words
 #: Fixed masks: 1 takes the word at that place, 0 ignores it. Each run of 7 words or more that begins and ends with words that agree, of which
 #: 3 in 4 agree and at most 2 in any 6 differ, keeps a seed, wherever its substitutions are. Below 3 in 4, or with less than 7 words, it needn't.
 MASKS = ("1101011", "11001101", "11111", "10110011", "111101", "1110011", "101111", "1101101")
+#: Of so many words in a row two at most differ within an overlap.
+WINDOW = 6
 #: Test words that a block of items has.
 BLOCK = 1_000_000
 _IS_WORD = np.zeros(256, bool)
@@ -78,7 +80,7 @@ def items(ids: np.ndarray, hashes: list[np.ndarray]) -> Items:
     return Items(ids, np.concatenate([np.empty(0, np.uint64), *hashes]), offsets, seed[order], place[order])
 
 
-def _reach(a: np.ndarray, b: np.ndarray, window: int = 6, errors: int = 2) -> tuple[int, int]:
+def _reach(a: np.ndarray, b: np.ndarray, window: int = WINDOW, errors: int = 2) -> tuple[int, int]:
     """How far two word sequences agree from their starts, and in how many words: no window has more errors. It ends with a word that agrees."""
     n = min(len(a), len(b))
     if not n:
@@ -93,26 +95,40 @@ def _reach(a: np.ndarray, b: np.ndarray, window: int = 6, errors: int = 2) -> tu
     return to, int(equal[:to].sum())
 
 
+def _longest(equal: np.ndarray, share: float) -> tuple[int, int]:
+    """Start and stop of the longest stretch that begins and ends with a word that agrees and of whose words share agree."""
+    over = np.concatenate(([0.0], np.cumsum(equal - share)))
+    least = np.minimum.accumulate(np.where(equal, over[:-1], np.inf))  # over the starts up to here
+    ends = np.flatnonzero(equal)
+    starts = np.searchsorted(-least, -(over[ends + 1] + 1e-9))  # the first that is low enough
+    best = int(np.argmax(ends - starts))
+    return int(starts[best]), int(ends[best]) + 1
+
+
 def find(h: np.ndarray, hits: list[tuple[int, int]], test: Items, least_words: int, least_share: float, least_equal: float, least_item: int) -> list[tuple[int, ...]]:
     """The longest overlap of a document's words with each item around hits (word, first test seed):
     (item's number, words, equal words, start in the document, start in the item)."""
     best: dict[int, tuple[int, ...]] = {}
     done: dict[tuple[int, int], int] = {}  # the diagonals that have been looked at, as far as where
-    for at, i in hits:
+    for at, i in sorted(hits):  # from the left, so that what lies before a hit has been looked at from the first hit there
         seed = test.seed[i]
         while i < len(test.seed) and test.seed[i] == seed:
             place = int(test.place[i])
             i += 1
             item = int(np.searchsorted(test.offsets, place, "right")) - 1
             a, z = int(test.offsets[item]), int(test.offsets[item + 1])
-            if z - a < least_item or done.get((item, place - at), -1) > at:
+            if z - a < least_item or done.get((item, place - at), -1) >= at + WINDOW:  # a whole window further: the look from here would end at the same word
                 continue
             ahead, n_ahead = _reach(h[at : at + z - place], test.words[place:z])
             back, n_back = _reach(h[max(0, at - (place - a)) : at][::-1], test.words[a:place][::-1])
-            done[item, place - at] = at + ahead
-            n, equal = ahead + back, n_ahead + n_back
+            done[item, place - at] = max(at + ahead, done.get((item, place - at), -1))
+            n, equal, start = ahead + back, n_ahead + n_back, at - back
+            if 0 < equal < least_equal * n:
+                same = h[start : start + n] == test.words[place - back : place + ahead]
+                skipped, stop = _longest(same, least_equal)
+                n, equal, start = stop - skipped, int(same[skipped:stop].sum()), start + skipped
             if n >= min(least_words, least_share * (z - a)) and equal >= least_equal * n and (item not in best or best[item][1] < n):
-                best[item] = (item, n, equal, at - back, place - back - a)
+                best[item] = (item, n, equal, start, place - at + start - a)
     return list(best.values())
 
 

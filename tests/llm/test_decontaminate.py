@@ -105,3 +105,36 @@ def test_substitutions_at_fixed_places_are_found(length):
         found = decontaminate.hits(h, np.array([0, len(h)]), test, known)
         got = decontaminate.find(h, found.get(0, []), test, 13, 0.8, 0.75, 8)
         assert got and got[0][1:] == (length, sum(equal), 5, 0), equal
+
+
+def longest(equal, least):
+    """By trying all: the most words of a stretch that verification accepts, 0 if none has least words."""
+    return max((j - i for i in range(len(equal)) for j in range(i + least, len(equal) + 1) if accepted(equal[i:j])), default=0)
+
+
+@pytest.mark.parametrize("share", [0.15, 0.25, 0.35])
+def test_no_overlap_is_lost_to_a_look_elsewhere(share):
+    rng = random.Random(f"{share}")
+    for _ in range(400):
+        length = rng.choice((40, 60))
+        equal = [int(rng.random() >= share) for _ in range(length)]
+        words = np.arange(1, length + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = np.where(equal, words, words + np.uint64(1))
+        test = decontaminate.items(np.array([1]), [words])
+        found = decontaminate.hits(h, np.array([0, length]), test, np.ones(1, bool)).get(0, [])
+        want = longest(equal, 13)
+        for order in (found, found[::-1]):
+            got = decontaminate.find(h, order, test, 13, 0.8, 0.75, 8)
+            assert bool(got) >= bool(want)
+            if got:
+                _, n, n_equal, at, place = got[0]
+                assert n >= want and at == place and n_equal == sum(equal[at : at + n]) >= 0.75 * n and equal[at] and equal[at + n - 1]
+
+
+def test_longest_stretch():
+    rng = random.Random(4)
+    for _ in range(300):
+        equal = np.array([rng.random() < 0.7 for _ in range(rng.randint(1, 30))] + [True])
+        a, z = decontaminate._longest(equal, 0.75)
+        enough = [j - i for i in range(len(equal)) for j in range(i + 1, len(equal) + 1) if equal[i] and equal[j - 1] and equal[i:j].sum() >= 0.75 * (j - i)]
+        assert equal[a] and equal[z - 1] and z - a == max(enough)
