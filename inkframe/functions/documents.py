@@ -76,7 +76,7 @@ def scalar(text: str, grammar: str, mode: str = "compat") -> Scalar:
     raise ValueError(f"parse error: {text}")
 
 
-def parse_tjson(text: str):
+def parse_bracketed(text: str):
     text = text.strip("\ufeff \t\r\n")
     if not text:
         return {}
@@ -131,7 +131,7 @@ def _lines(text: str) -> list[tuple[int, str]]:
     return [((len(line) - len(line.lstrip(" "))) // unit, line.strip(" \r")) for line in raw]
 
 
-def parse_ttoon(text: str, mode: str = "compat"):
+def parse_indented(text: str, mode: str = "compat"):
     lines = _lines(text)
     if not lines:
         return {}
@@ -216,23 +216,23 @@ def parse_ttoon(text: str, mode: str = "compat"):
     return out
 
 
-def _ttoon_string(s: str) -> str:
+def _indented_string(s: str) -> str:
     if re.search(L.CONTROL, s):
         raise ValueError("serialize error: control character in a string")
     return '"' + s.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t") + '"'
 
 
-def render_tjson(node) -> str:
+def render_bracketed(node) -> str:
     if isinstance(node, Scalar):
         return re.sub(r"\\u00(..)", lambda m: "\\u00" + m[1].upper(), json.dumps(node.text, ensure_ascii=False)) if node.kind == "string" else node.text
     if isinstance(node, dict):
-        return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {render_tjson(v)}" for k, v in node.items()) + "}"
-    return "[" + ", ".join(map(render_tjson, node)) + "]"
+        return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {render_bracketed(v)}" for k, v in node.items()) + "}"
+    return "[" + ", ".join(map(render_bracketed, node)) + "]"
 
 
-def render_ttoon(node, delimiter: str = ",", indent: int = 2) -> str:
+def render_indented(node, delimiter: str = ",", indent: int = 2) -> str:
     mark, between, join = DELIMITERS[delimiter]
-    cell = lambda v: _ttoon_string(v.text) if v.kind == "string" else v.text
+    cell = lambda v: _indented_string(v.text) if v.kind == "string" else v.text
     out: list[str] = []
 
     def items(key: str, node: list, depth: int, pad: str) -> None:
@@ -281,7 +281,7 @@ def parse_any(text: str, mode: str = "compat"):
     """Brackets that aren't a table header: the bracket syntax; else the indented one."""
     start = text.lstrip("\ufeff \t\r\n")
     line = start.split("\n", 1)[0].strip()
-    return parse_tjson(text) if start.startswith("{") or start.startswith("[") and not _HEADER.fullmatch(line) else parse_ttoon(text, mode)
+    return parse_bracketed(text) if start.startswith("{") or start.startswith("[") and not _HEADER.fullmatch(line) else parse_indented(text, mode)
 
 
 def _udf(f: Callable[[str], str], on_error: str):
@@ -300,15 +300,15 @@ def _udf(f: Callable[[str], str], on_error: str):
     return run
 
 
-def tjson_to_ttoon(c: Column, delimiter: str = ",", indent: int = 2, on_error: str = "fail") -> Column:
+def bracketed_to_indented(c: Column, delimiter: str = ",", indent: int = 2, on_error: str = "fail") -> Column:
     """Transcodes documents; strict. Null stays null; with on_error="null" so does what can't be read."""
-    return _udf(lambda t: render_ttoon(parse_tjson(t), delimiter, indent), on_error)(c)
+    return _udf(lambda t: render_indented(parse_bracketed(t), delimiter, indent), on_error)(c)
 
 
-def ttoon_to_tjson(c: Column, mode: str = "compat", on_error: str = "fail") -> Column:
-    return _udf(lambda t: render_tjson(parse_ttoon(t, mode)), on_error)(c)
+def indented_to_bracketed(c: Column, mode: str = "compat", on_error: str = "fail") -> Column:
+    return _udf(lambda t: render_bracketed(parse_indented(t, mode)), on_error)(c)
 
 
 def canonical(c: Column, mode: str = "compat", on_error: str = "fail") -> Column:
     """Either syntax to the bracket syntax."""
-    return _udf(lambda t: render_tjson(parse_any(t, mode)), on_error)(c)
+    return _udf(lambda t: render_bracketed(parse_any(t, mode)), on_error)(c)

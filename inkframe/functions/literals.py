@@ -47,7 +47,7 @@ def _unmask(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit(QUOTE), F.lit('"')), F.lit(SLASH), F.lit("\\"))
 
 
-def unescape_ttoon(masked: Column) -> Column:
+def unescape_indented(masked: Column) -> Column:
     """The content of a masked string literal; null if it has another escape than the five."""
     body = F.substring(masked, F.lit(2), F.length(masked) - 2)
     text = body
@@ -56,7 +56,7 @@ def unescape_ttoon(masked: Column) -> Column:
     return F.when(~text.contains("\\"), _unmask(text))
 
 
-def unescape_tjson(masked: Column) -> Column:
+def unescape_bracketed(masked: Column) -> Column:
     """The content of a masked JSON string literal, null if it isn't one."""
     raw = F.replace(F.replace(masked, F.lit(QUOTE), F.lit('\\"')), F.lit(SLASH), F.lit("\\\\"))
     read = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>")[0]
@@ -107,7 +107,7 @@ def parse_unit(c: Column, mode: str = "compat") -> Column:
 
 def unit(c: Column, mode: str) -> Column:
     """``parse_unit`` of a trimmed cell. It is named many times here, so callers make it a column first."""
-    chain = F.when(c == "", _found("string", c)).when(c.rlike(QUOTED), _or_error("string", unescape_ttoon(c), "lex error: escape"))
+    chain = F.when(c == "", _found("string", c)).when(c.rlike(QUOTED), _or_error("string", unescape_indented(c), "lex error: escape"))
     chain = _keywords(c, chain.when)
     chain = _numbers(c, _wrapped(c, chain), INT_G2, FLOAT_G2)
     return chain.otherwise(_found("string", _unmask(c)) if mode == "compat" else _failed("lex error: bare text"))
@@ -120,7 +120,7 @@ def parse_number(c: Column) -> Column:
 
 def number(c: Column) -> Column:
     """``parse_number`` of a trimmed value; null (a missing value) is the null literal."""
-    chain = F.when(c.isNull(), _found("null", F.lit(None))).when(c.rlike(QUOTED), _or_error("string", unescape_tjson(c), "lex error: escape"))
+    chain = F.when(c.isNull(), _found("null", F.lit(None))).when(c.rlike(QUOTED), _or_error("string", unescape_bracketed(c), "lex error: escape"))
     chain = _numbers(c, _wrapped(c, _keywords(c, chain.when)).when(c.rlike(r"^-0$"), _failed("parse error: negative zero")), INT_G1, FLOAT_G1)
     return chain.otherwise(_failed("parse error: value"))
 
@@ -189,7 +189,7 @@ def read(c: Column, field: T.StructField, grammar: str = "unit", mode: str = "co
     want, t, number_like = kind_of(field), field.dataType, grammar == "number"
     if want == "string":
         quoted = c.startswith('"') & (F.locate('"', c, 2) == F.length(c))
-        found = F.when(quoted, unescape_tjson(c) if number_like else unescape_ttoon(c))
+        found = F.when(quoted, unescape_bracketed(c) if number_like else unescape_indented(c))
         if not number_like:
             found = found.when(c == "", c)
             if mode == "compat":
@@ -221,11 +221,11 @@ def read(c: Column, field: T.StructField, grammar: str = "unit", mode: str = "co
 
 
 def detect_format(text: Column) -> Column:
-    """tjson, ttoon or typed_unit, by the first line that isn't blank."""
+    """bracketed, indented or typed_unit, by the first line that isn't blank."""
     start = F.regexp_replace(text, r"^[\s\uFEFF]+", "")
     line = F.regexp_extract(start, r"^([^\n]*)", 1)
     header = line.rlike(r"^\[[^\]\[]*\]\{.*\}:\s*$") | (line.rlike(r"^\[\d[^\]\[]*\]:") & ~line.startswith("[*"))
-    return F.when(start.startswith("{"), "tjson").when(start.startswith("["), F.when(header, "ttoon").otherwise("tjson")).otherwise("typed_unit")
+    return F.when(start.startswith("{"), "bracketed").when(start.startswith("["), F.when(header, "indented").otherwise("bracketed")).otherwise("typed_unit")
 
 
 def safe_int(c: Column, overflow: str = "error") -> Column:

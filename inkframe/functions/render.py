@@ -14,13 +14,13 @@ IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 TYPED = "typed"  # the field metadata that tells uuid and time from other strings
 
 
-def quote_tjson(c: Column) -> Column:
+def quote_bracketed(c: Column) -> Column:
     """A JSON string: the short escapes, and \\u00XX for other control characters."""
     text = F.to_json(F.array(c))
     return F.substring(text, F.lit(2), F.length(text) - 2)
 
 
-def quote_ttoon(c: Column) -> Column:
+def quote_indented(c: Column) -> Column:
     """Five escapes; other control characters are an error."""
     out = c
     for raw, escape in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
@@ -50,7 +50,7 @@ def _fraction(c: Column) -> Column:
     return F.when(f == "000000", "").when(f.endswith("000"), F.concat(F.lit("."), F.substring(f, 1, 3))).otherwise(F.concat(F.lit("."), f))
 
 
-def render_cell(c: Column, field: T.StructField, syntax: str = "ttoon", binary_format: str = "hex") -> Column:
+def render_cell(c: Column, field: T.StructField, syntax: str = "indented", binary_format: str = "hex") -> Column:
     """The literal of a flat value; null is the keyword."""
     kind, typed = field.dataType, (field.metadata or {}).get(TYPED)
     if typed == "uuid":
@@ -58,7 +58,7 @@ def render_cell(c: Column, field: T.StructField, syntax: str = "ttoon", binary_f
     elif typed == "time":
         out = F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     elif isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
-        out = quote_ttoon(c) if syntax == "ttoon" else quote_tjson(c)
+        out = quote_indented(c) if syntax == "indented" else quote_bracketed(c)
     elif isinstance(kind, (T.BooleanType, T.IntegralType)):
         out = c.cast("string")
     elif isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
@@ -89,21 +89,21 @@ def write_key(name: str) -> str:
     return name if re.fullmatch(IDENTIFIER, name) else '"' + name.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t") + '"'
 
 
-def ttoon_header(names: list[str], count: int | str = "*", delimiter: str = ",") -> str:
+def table_header(names: list[str], count: int | str = "*", delimiter: str = ",") -> str:
     mark, between, _ = DELIMITERS[delimiter]
     return f"[{count}{mark}]{{{between.join(map(write_key, names))}}}:"
 
 
-def ttoon_row(df: DataFrame, delimiter: str = ",", binary_format: str = "hex") -> Column:
+def line_of(df: DataFrame, delimiter: str = ",", binary_format: str = "hex") -> Column:
     """A row of df as a line of a table."""
-    cells = [render_cell(_utc(df)[f.name], f, "ttoon", binary_format) for f in df.schema.fields]
+    cells = [render_cell(_utc(df)[f.name], f, "indented", binary_format) for f in df.schema.fields]
     return F.concat_ws(DELIMITERS[delimiter][2], *cells)
 
 
-def tjson_row(df: DataFrame, binary_format: str = "hex") -> Column:
+def object_of(df: DataFrame, binary_format: str = "hex") -> Column:
     """A row of df as an object."""
     parts = []
     for i, f in enumerate(df.schema.fields):
         key = '"' + write_key(f.name).strip('"') + '": '
-        parts += [F.lit((", " if i else "{") + key), render_cell(_utc(df)[f.name], f, "tjson", binary_format)]
+        parts += [F.lit((", " if i else "{") + key), render_cell(_utc(df)[f.name], f, "bracketed", binary_format)]
     return F.concat(*parts, F.lit("}")) if parts else F.lit("{}")

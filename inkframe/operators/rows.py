@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.literals import mask, read, unescape_tjson
+from ..functions.literals import mask, read, unescape_bracketed
 from ..functions.render import IDENTIFIER
 
 #: A table's header: count (or *), delimiter and names.
@@ -51,7 +51,7 @@ def _finish(cells: DataFrame, schema: T.StructType, grammar: str, mode: str, on_
     return cells.select(*keep, *(read(F.col(f"_c{i}"), f, grammar, mode, on_error).alias(f.name, metadata=f.metadata or {}) for i, f in enumerate(schema.fields)))
 
 
-def ttoon_rows(df: DataFrame, line: Column, schema: T.StructType, delimiter: str = ",", mode: str = "compat", on_error: str = "fail", keep: Sequence[str] = ()) -> DataFrame:
+def line_rows(df: DataFrame, line: Column, schema: T.StructType, delimiter: str = ",", mode: str = "compat", on_error: str = "fail", keep: Sequence[str] = ()) -> DataFrame:
     """The columns of a table's lines; every line must have a cell for each field. keep: columns of df that stay."""
     n = len(schema.fields)
     lines = df.select(*keep, line.alias("_line")).select(*keep, "_line", F.concat(mask(F.col("_line")), F.lit(delimiter)).alias("_masked"))
@@ -69,7 +69,7 @@ def _entries(masked: Column) -> tuple[Column, Column]:
     flat = masked.rlike(rf"^\s*\{{\s*(?:{_PAIR}\s*(?:,\s*{_PAIR}\s*)*+)?\}}\s*$")
     pairs = lambda key, i: F.regexp_extract_all(masked, F.lit(rf'{key}\s*+:\s*+({_STRING}|[^",\[\]{{}}\s][^",\[\]{{}}]*+)'), F.lit(i))
     # without escapes the keys are as they stand
-    keys = F.when(masked.rlike(r"[\x00-\x1f\\]"), F.transform(pairs('("[^"]*+")', 1), unescape_tjson)).otherwise(pairs('"([^"]*+)"', 1))
+    keys = F.when(masked.rlike(r"[\x00-\x1f\\]"), F.transform(pairs('("[^"]*+")', 1), unescape_bracketed)).otherwise(pairs('"([^"]*+)"', 1))
     return F.when(flat, keys), pairs('"[^"]*+"', 1)
 
 
@@ -86,7 +86,7 @@ def _in_order(names: Sequence[str]) -> str:
     return rf"^ *+\{{( *+{', *+'.join(map(pair, names))})\}} *+$"
 
 
-def tjson_rows(df: DataFrame, obj: Column, schema: T.StructType, mode: str = "compat", on_error: str = "fail", keep: Sequence[str] = ()) -> DataFrame:
+def object_rows(df: DataFrame, obj: Column, schema: T.StructType, mode: str = "compat", on_error: str = "fail", keep: Sequence[str] = ()) -> DataFrame:
     """The columns of flat objects, by name: missing names are null, and of equal names the last counts; other names are
     skipped, or an error in strict mode. Objects whose names are the schema's in its order are split at commas; all others
     are taken apart entry by entry, with the same result."""

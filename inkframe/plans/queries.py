@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import documents
 from ..functions.literals import detect_format, mask, parse_unit, safe_int, typed
-from ..functions.render import quote_tjson, render_cell, tjson_row, ttoon_header, ttoon_row
-from ..operators.rows import inline_array, objects_of_array, tjson_rows, ttoon_rows
+from ..functions.render import quote_bracketed, render_cell, object_of, table_header, line_of
+from ..operators.rows import inline_array, objects_of_array, object_rows, line_rows
 from ..operators.schema import declare, entries, merge
-from ..sources.text import read_tjson, read_ttoon, write_tjson, write_ttoon
-from ..streaming.text import stream_ttoon
+from ..sources.text import read_objects, read_lines, write_objects, write_lines
+from ..streaming.text import stream_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAT = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels"]
@@ -45,15 +45,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
 
 
-def through_ttoon(df: DataFrame, delimiter: str = ",") -> DataFrame:
+def through_lines(df: DataFrame, delimiter: str = ",") -> DataFrame:
     """df written as lines of a table and parsed again."""
     df = spread(df)
-    return ttoon_rows(df.select(ttoon_row(df, delimiter).alias("line")), F.col("line"), df.schema, delimiter)
+    return line_rows(df.select(line_of(df, delimiter).alias("line")), F.col("line"), df.schema, delimiter)
 
 
-def through_tjson(df: DataFrame) -> DataFrame:
+def through_objects(df: DataFrame) -> DataFrame:
     df = spread(df)
-    return tjson_rows(df.select(tjson_row(df).alias("obj")), F.col("obj"), df.schema)
+    return object_rows(df.select(object_of(df).alias("obj")), F.col("obj"), df.schema)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -66,43 +66,43 @@ def cell(df: DataFrame, name: str, **options) -> Column:
 
 
 for _name in FLAT:
-    query(f"SELECT * FROM {_name}", f"ttoon_roundtrip_{_name}")(lambda s, d, n=_name: through_ttoon(table(s, d, n)))
-    query(f"SELECT * FROM {_name}", f"tjson_roundtrip_{_name}")(lambda s, d, n=_name: through_tjson(table(s, d, n)))
+    query(f"SELECT * FROM {_name}", f"lines_roundtrip_{_name}")(lambda s, d, n=_name: through_lines(table(s, d, n)))
+    query(f"SELECT * FROM {_name}", f"objects_roundtrip_{_name}")(lambda s, d, n=_name: through_objects(table(s, d, n)))
 
 
 @query("SELECT * FROM orders")
-def ttoon_files(spark, sf_dir):
+def lines_files(spark, sf_dir):
     """Files with inferred types: written, read, inferred and read again; whole prices come back as written."""
     df, path = table(spark, sf_dir, "orders"), scratch(spark)
-    write_ttoon(df, path, "|")
-    return read_ttoon(spark, path)
+    write_lines(df, path, "|")
+    return read_lines(spark, path)
 
 
 @query("SELECT * FROM customer")
-def ttoon_exact_file(spark, sf_dir):
+def lines_exact_file(spark, sf_dir):
     df, path = table(spark, sf_dir, "customer"), scratch(spark)
-    write_ttoon(df, path, "\t", exact=True)
-    return read_ttoon(spark, path, df.schema)
+    write_lines(df, path, "\t", exact=True)
+    return read_lines(spark, path, df.schema)
 
 
 @query("SELECT * FROM events")
-def tjson_files(spark, sf_dir):
+def objects_files(spark, sf_dir):
     df, path = table(spark, sf_dir, "events"), scratch(spark)
-    write_tjson(df, path)
-    return read_tjson(spark, path, df.schema)
+    write_objects(df, path)
+    return read_objects(spark, path, df.schema)
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")
-def tjson_array_file(spark, sf_dir):
+def object_lists_file(spark, sf_dir):
     """Lines that are bracketed lists of objects."""
     df, path = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), scratch(spark)
-    rows = df.select(tjson_row(df).alias("obj"))
+    rows = df.select(object_of(df).alias("obj"))
     lists = rows.groupBy(F.pmod(F.xxhash64("obj"), F.lit(8))).agg(F.collect_list("obj").alias("o")).select(F.concat(F.lit("["), F.array_join("o", ", "), F.lit("]")).alias("value"))
     lists.write.text(path, lineSep="\n")
-    return tjson_rows(spark.read.text(path).select(F.explode(objects_of_array(F.col("value"))).alias("obj")), F.col("obj"), df.schema)
+    return object_rows(spark.read.text(path).select(F.explode(objects_of_array(F.col("value"))).alias("obj")), F.col("obj"), df.schema)
 
 
-@query("SELECT fmt, count(*) AS n FROM (SELECT 'ttoon' AS fmt FROM orders UNION ALL SELECT 'tjson' FROM orders UNION ALL SELECT 'typed_unit' FROM orders) GROUP BY fmt")
+@query("SELECT fmt, count(*) AS n FROM (SELECT 'indented' AS fmt FROM orders UNION ALL SELECT 'bracketed' FROM orders UNION ALL SELECT 'typed_unit' FROM orders) GROUP BY fmt")
 def detect_format_counts(spark, sf_dir):
     key = F.col("o_orderkey").cast("string")
     texts = F.array(F.concat(F.lit("\n[1]{a}:\n"), key), F.concat(F.lit("\ufeff {\"a\": "), key, F.lit("}")), F.concat(F.lit("a: "), key))
@@ -110,32 +110,32 @@ def detect_format_counts(spark, sf_dir):
 
 
 @query("SELECT '[' || count(*) || ']{l_orderkey,l_partkey,l_quantity}:' AS header FROM lineitem")
-def render_ttoon_header(spark, sf_dir):
-    _, after = ttoon_header(["l_orderkey", "l_partkey", "l_quantity"], "#").split("#")
+def render_table_header(spark, sf_dir):
+    _, after = table_header(["l_orderkey", "l_partkey", "l_quantity"], "#").split("#")
     return table(spark, sf_dir, "lineitem").agg(F.concat(F.lit("["), F.count("*").cast("string"), F.lit(after)).alias("header"))
 
 
 @query("""SELECT n_nationkey, n_nationkey || ', "' || n_name || '", ' || n_regionkey AS line FROM nation""")
-def render_ttoon_nation(spark, sf_dir):
+def render_lines_nation(spark, sf_dir):
     df = table(spark, sf_dir, "nation")
-    return df.select("n_nationkey", ttoon_row(df).alias("line"))
+    return df.select("n_nationkey", line_of(df).alias("line"))
 
 
 @query("""SELECT s_suppkey, s_suppkey || '|"' || s_name || '"|' || s_acctbal AS line FROM supplier""")
-def render_ttoon_pipe(spark, sf_dir):
+def render_lines_pipe(spark, sf_dir):
     df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    return df.select("s_suppkey", ttoon_row(df, "|").alias("line"))
+    return df.select("s_suppkey", line_of(df, "|").alias("line"))
 
 
 @query("""SELECT c_custkey, '{"c_custkey": ' || c_custkey || ', "c_name": "' || c_name || '", "c_acctbal": ' || c_acctbal || '}' AS obj FROM customer""")
-def render_tjson_customer(spark, sf_dir):
+def render_objects_customer(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return df.select("c_custkey", tjson_row(df).alias("obj"))
+    return df.select("c_custkey", object_of(df).alias("obj"))
 
 
 @query(r"""SELECT doc_id, '"' || replace(replace(replace(replace(replace(text,'\','\\'),'"','\"'),chr(10),'\n'),chr(13),'\r'),chr(9),'\t') || '"' AS lit FROM documents""")
-def render_tjson_string(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", quote_tjson(F.col("text")).alias("lit"))
+def render_json_string(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", quote_bracketed(F.col("text")).alias("lit"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) || 'm' AS lit FROM lineitem")
@@ -178,7 +178,7 @@ def parse_uuid_binary(spark, sf_dir):
     schema = declare({"u": "uuid", "x": "binary"})
     df = table(spark, sf_dir, "part").select("p_partkey", _uuid(F.col("p_name")).alias("u"), F.encode("p_name", "UTF-8").alias("x"))
     line = F.concat_ws(", ", render_cell(F.col("u"), schema["u"]), F.when(F.col("p_partkey") % 2 == 0, render_cell(F.col("x"), schema["x"])).otherwise(render_cell(F.col("x"), schema["x"], binary_format="b64")))
-    return ttoon_rows(df, line, schema, keep=["p_partkey"]).select("p_partkey", F.replace("u", F.lit("-"), F.lit("")).alias("u"), F.decode("x", "UTF-8").alias("x"))
+    return line_rows(df, line, schema, keep=["p_partkey"]).select("p_partkey", F.replace("u", F.lit("-"), F.lit("")).alias("u"), F.decode("x", "UTF-8").alias("x"))
 
 
 @query("SELECT kind, count(*) AS n FROM (SELECT 'int' AS kind FROM orders UNION ALL SELECT 'decimal' FROM orders UNION ALL SELECT 'date' FROM orders UNION ALL SELECT 'string' FROM orders) GROUP BY kind")
@@ -191,7 +191,7 @@ def parse_unit_kinds(spark, sf_dir):
 @query("SELECT l_returnflag, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS total FROM lineitem GROUP BY l_returnflag")
 def parse_decimal_sum(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("decimal(18,2)").alias("d"))
-    return through_tjson(df).groupBy("l_returnflag").agg(F.sum("d").alias("total"))
+    return through_objects(df).groupBy("l_returnflag").agg(F.sum("d").alias("total"))
 
 
 @query("SELECT event_id, ts - INTERVAL 8 HOUR AS ts_utc FROM events")
@@ -211,20 +211,20 @@ def parse_time(spark, sf_dir):
 @query("SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) / 64 AS v FROM orders")
 def parse_floats(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") / 64).alias("v"))
-    return through_tjson(df)
+    return through_objects(df)
 
 
 @query("SELECT max(length(split_part(d,'.',1))) + max(length(split_part(d,'.',2))) AS precision, max(length(split_part(d,'.',2))) AS scale FROM (SELECT CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS d FROM orders)")
 def infer_decimal_lattice(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select(F.col("o_totalprice").cast("decimal(18,2)").alias("d"))
-    rows = df.select(tjson_row(df).alias("obj"))
+    rows = df.select(object_of(df).alias("obj"))
     return merge(entries(rows, F.col("obj"), F.lit(0))).select(F.col("precision").cast("bigint").alias("precision"), F.col("scale").cast("bigint").alias("scale"))
 
 
 @query("SELECT * FROM (VALUES (0,'n_nationkey','int'),(1,'n_name','string'),(2,'n_regionkey','int')) t(pos, field, kind)")
 def infer_schema_nation(spark, sf_dir):
     df = table(spark, sf_dir, "nation")
-    found = merge(entries(df.select("n_nationkey", tjson_row(df).alias("obj")), F.col("obj"), F.col("n_nationkey")))
+    found = merge(entries(df.select("n_nationkey", object_of(df).alias("obj")), F.col("obj"), F.col("n_nationkey")))
     return found.select((F.row_number().over(Window.orderBy("first")) - 1).cast("int").alias("pos"), "field", "kind")
 
 
@@ -232,20 +232,20 @@ def infer_schema_nation(spark, sf_dir):
 def sparse_missing_to_null(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
     full = df.select("o_orderkey", "o_orderpriority")
-    obj = F.when(F.col("o_orderstatus") == "F", tjson_row(full.select("o_orderkey"))).otherwise(tjson_row(full))
-    return tjson_rows(df.select(obj.alias("obj")), F.col("obj"), full.schema)
+    obj = F.when(F.col("o_orderstatus") == "F", object_of(full.select("o_orderkey"))).otherwise(object_of(full))
+    return object_rows(df.select(obj.alias("obj")), F.col("obj"), full.schema)
 
 
 @query("SELECT o_orderkey, o_custkey AS a FROM orders")
 def duplicate_key_last_wins(spark, sf_dir):
     obj = F.format_string('{"o_orderkey": %d, "a": %d, "a": %d}', "o_orderkey", F.lit(-1), "o_custkey")
-    return tjson_rows(table(spark, sf_dir, "orders").select(obj.alias("obj")), F.col("obj"), declare({"o_orderkey": "int", "a": "int"}))
+    return object_rows(table(spark, sf_dir, "orders").select(obj.alias("obj")), F.col("obj"), declare({"o_orderkey": "int", "a": "int"}))
 
 
 @query("SELECT c_custkey, c_name FROM customer")
 def compat_discard_unknown(spark, sf_dir):
     df = table(spark, sf_dir, "customer")
-    return tjson_rows(df.select(tjson_row(df).alias("obj")), F.col("obj"), declare({"c_custkey": "int", "c_name": "string"}))
+    return object_rows(df.select(object_of(df).alias("obj")), F.col("obj"), declare({"c_custkey": "int", "c_name": "string"}))
 
 
 @query("SELECT count(*) AS rejected FROM orders")
@@ -264,26 +264,26 @@ def inline_array_explode(spark, sf_dir):
 def embedded_table_explode(spark, sf_dir):
     """A nested document for each line, with a table in it: read whole, and the table's rows taken out."""
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    doc = F.concat(F.lit("meta:\n  n: 1\nrows[1]{l_orderkey,l_partkey,l_quantity}:\n  "), ttoon_row(df), F.lit("\n"))
-    inner = F.regexp_extract(documents.ttoon_to_tjson(doc), r'"rows": (\[.*\])\}$', 1)
-    return tjson_rows(df.select(F.explode(objects_of_array(inner)).alias("obj")), F.col("obj"), df.schema)
+    doc = F.concat(F.lit("meta:\n  n: 1\nrows[1]{l_orderkey,l_partkey,l_quantity}:\n  "), line_of(df), F.lit("\n"))
+    inner = F.regexp_extract(documents.indented_to_bracketed(doc), r'"rows": (\[.*\])\}$', 1)
+    return object_rows(df.select(F.explode(objects_of_array(inner)).alias("obj")), F.col("obj"), df.schema)
 
 
 @query("""SELECT c_custkey, 'c_custkey: ' || c_custkey || chr(10) || 'c_name: "' || c_name || '"' || chr(10) AS txt FROM customer""")
-def transcode_tjson_to_ttoon(spark, sf_dir):
+def transcode_to_indented(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return df.select("c_custkey", documents.tjson_to_ttoon(tjson_row(df)).alias("txt"))
+    return df.select("c_custkey", documents.bracketed_to_indented(object_of(df)).alias("txt"))
 
 
 @query("""SELECT n_nationkey, '{"n_nationkey": ' || n_nationkey || ', "n_name": "' || n_name || '"}' AS txt FROM nation""")
-def transcode_ttoon_to_tjson(spark, sf_dir):
+def transcode_to_bracketed(spark, sf_dir):
     text = F.format_string('n_nationkey: %d\nn_name: "%s"\n', "n_nationkey", "n_name")
-    return table(spark, sf_dir, "nation").select("n_nationkey", documents.ttoon_to_tjson(text).alias("txt"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", documents.indented_to_bracketed(text).alias("txt"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def props_object_parse(spark, sf_dir):
-    return tjson_rows(table(spark, sf_dir, "events"), F.col("props"), declare({"k": "int?"}), keep=["event_id"])
+    return object_rows(table(spark, sf_dir, "events"), F.col("props"), declare({"k": "int?"}), keep=["event_id"])
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey * 9007199254740 > 9007199254740991 THEN CAST('nan' AS DOUBLE) ELSE CAST(o_orderkey * 9007199254740 AS DOUBLE) END AS v FROM orders")
@@ -298,21 +298,21 @@ def null_cells(spark, sf_dir):
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(CAST(l_quantity AS DECIMAL(18,2))) AS q, count(*) AS n FROM lineitem GROUP BY ALL")
-def engine_q1_over_ttoon(spark, sf_dir):
-    rows = through_ttoon(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity"))
+def engine_q1_over_lines(spark, sf_dir):
+    rows = through_lines(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity"))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("q"), F.count("*").alias("n"))
 
 
 @query("SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
 def engine_join_over_typed(spark, sf_dir):
-    orders = through_ttoon(table(spark, sf_dir, "orders").select("o_custkey"))
-    customers = through_tjson(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"))
+    orders = through_lines(table(spark, sf_dir, "orders").select("o_custkey"))
+    customers = through_objects(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"))
     return orders.join(customers, orders.o_custkey == customers.c_custkey).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders")
 def engine_window_over_typed(spark, sf_dir):
-    rows = through_ttoon(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    rows = through_lines(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
     return rows.select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("bigint").alias("rn"))
 
 
@@ -320,8 +320,8 @@ def engine_window_over_typed(spark, sf_dir):
 def stream_events_hourly(spark, sf_dir):
     """Events written as a table, read as a stream until no file is left, and counted by the hour."""
     df, path, name = table(spark, sf_dir, "events").select("event_id", "ts"), scratch(spark), f"hourly_{uuid.uuid4().hex}"
-    write_ttoon(df, path)
-    hours = stream_ttoon(spark, path, df.schema).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
+    write_lines(df, path)
+    hours = stream_lines(spark, path, df.schema).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
     out = f"{path}-out"
     hours.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{path}-state").queryName(name).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)

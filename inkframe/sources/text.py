@@ -12,42 +12,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.literals import unit
-from ..functions.render import tjson_row, ttoon_header, ttoon_row
-from ..operators.rows import check_count, header, objects_of_array, split_row, tjson_rows, ttoon_rows
+from ..functions.render import object_of, table_header, line_of
+from ..operators.rows import check_count, header, objects_of_array, split_row, object_rows, line_rows
 from ..operators.schema import check_compatible, entries, infer, merge  # noqa: F401
 
 #: No literal has this character, so a line is one field of the writer.
 _NEVER = "\x03"
 
 
-def write_ttoon(df: DataFrame, path: str, delimiter: str = ",", binary_format: str = "hex", exact: bool = False, schema: T.StructType | None = None) -> None:
+def write_lines(df: DataFrame, path: str, delimiter: str = ",", binary_format: str = "hex", exact: bool = False, schema: T.StructType | None = None) -> None:
     """A header and the rows in each file. exact: the header has the number of rows, and there is one file (one task writes it)."""
     df = check_compatible(df, schema) if schema else df
-    name = ttoon_header(df.columns, df.count() if exact else "*", delimiter)
-    lines = df.select(ttoon_row(df, delimiter, binary_format).alias(name))
+    name = table_header(df.columns, df.count() if exact else "*", delimiter)
+    lines = df.select(line_of(df, delimiter, binary_format).alias(name))
     lines = lines.coalesce(1) if exact else lines
     plain = {"header": True, "sep": _NEVER, "quote": "\x00", "escape": "\x00", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": "", "lineSep": "\n"}
     lines.write.options(**plain).csv(path)
 
 
-def write_tjson(df: DataFrame, path: str, binary_format: str = "hex", schema: T.StructType | None = None) -> None:
+def write_objects(df: DataFrame, path: str, binary_format: str = "hex", schema: T.StructType | None = None) -> None:
     """An object a line."""
     df = check_compatible(df, schema) if schema else df
-    df.select(tjson_row(df, binary_format).alias("value")).write.text(path, lineSep="\n")
+    df.select(object_of(df, binary_format).alias("value")).write.text(path, lineSep="\n")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"))
 
 
-def infer_ttoon(lines: DataFrame, names: list[str], delimiter: str, mode: str) -> T.StructType:
+def infer_lines(lines: DataFrame, names: list[str], delimiter: str, mode: str) -> T.StructType:
     """By one aggregation over all cells."""
     rows = lines.select(F.posexplode(split_row(F.col("value"), delimiter)).alias("pos", "cell")).select("pos", F.trim("cell").alias("cell"))
     named = F.element_at(F.array(*map(F.lit, names)), F.col("pos") + 1)
     return infer(rows.select(F.lit(0).alias("row"), "pos", named.alias("field"), unit(F.col("cell"), mode).alias("p")).select("row", "pos", "field", "p.*"))
 
 
-def read_ttoon(spark: SparkSession, path: str, schema: T.StructType | None = None, mode: str = "compat", on_error: str = "fail") -> DataFrame:
+def read_lines(spark: SparkSession, path: str, schema: T.StructType | None = None, mode: str = "compat", on_error: str = "fail") -> DataFrame:
     """Names and order of the header must be the schema's; without a schema the types are inferred. Exact counts are checked."""
     lines = _lines(spark, path).where(F.trim("value") != "")
     first = lines.limit(1).collect()
@@ -60,13 +60,13 @@ def read_ttoon(spark: SparkSession, path: str, schema: T.StructType | None = Non
     if schema and schema.names != names:
         raise ValueError(f"schema error: columns {names}, expected {schema.names}")
     rows = lines.where(F.col("value") != first[0].value)
-    schema = schema or infer_ttoon(rows, names, delimiter, mode)
+    schema = schema or infer_lines(rows, names, delimiter, mode)
     if not schema.fields:  # no rows to infer from
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return check_count(ttoon_rows(rows, F.col("value"), schema, delimiter, mode, on_error), count)
+    return check_count(line_rows(rows, F.col("value"), schema, delimiter, mode, on_error), count)
 
 
-def read_tjson(spark: SparkSession, path: str, schema: T.StructType | None = None, mode: str = "compat", on_error: str = "fail", layout: str = "lines") -> DataFrame:
+def read_objects(spark: SparkSession, path: str, schema: T.StructType | None = None, mode: str = "compat", on_error: str = "fail", layout: str = "lines") -> DataFrame:
     """layout: "lines" (an object a line) or "array" (a bracketed list a file)."""
     if layout == "lines":
         objects = _lines(spark, path).where(F.trim("value") != "").select(F.col("value").alias("obj"))
@@ -76,7 +76,7 @@ def read_tjson(spark: SparkSession, path: str, schema: T.StructType | None = Non
         objects = whole.select(F.explode(F.coalesce(objects_of_array(F.col("value")), bad)).alias("obj"))
     if schema is None:
         schema = infer(entries(objects, F.col("obj"), F.monotonically_increasing_id()))
-    return tjson_rows(objects, F.col("obj"), schema, mode, on_error)
+    return object_rows(objects, F.col("obj"), schema, mode, on_error)
 
 
 def replace(spark: SparkSession, path: str) -> None:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from inkframe.functions import documents
 from inkframe.functions.literals import detect_format, kind_of, mask, parse_number, parse_unit, read, safe_int, typed
-from inkframe.functions.render import quote_tjson, quote_ttoon, render_float, ttoon_header
-from inkframe.operators.rows import header, objects_of_array, split_row, tjson_rows, ttoon_rows
+from inkframe.functions.render import quote_bracketed, quote_indented, render_float, table_header
+from inkframe.operators.rows import header, objects_of_array, split_row, object_rows, line_rows
 from inkframe.operators.schema import check_compatible, declare, entries, infer
 
 ERROR = "error"
@@ -102,15 +102,15 @@ def test_declared_kinds_agree(parsed, grammar):
 def test_values(spark):
     line = 'uuid(550e8400-e29b-41d4-a716-446655440000), hex(00FF), 1.50m, 2024-01-02T00:30:00+01:00, 1969-12-31T23:59:59.5, "x\\"y, z", null'
     schema = declare([("u", "uuid"), ("b", "binary"), ("d", "decimal(6,3)"), ("t", "datetime"), ("n", "datetime_naive"), ("s", "string"), ("i", "int?")])
-    row = ttoon_rows(spark.range(1), F.lit(line), schema).withColumn("t", F.col("t").cast("string")).first()
+    row = line_rows(spark.range(1), F.lit(line), schema).withColumn("t", F.col("t").cast("string")).first()
     assert row == ("550e8400-e29b-41d4-a716-446655440000", b"\x00\xff", Decimal("1.500"), "2024-01-01 23:30:00", dt.datetime(1969, 12, 31, 23, 59, 59, 500000), 'x"y, z', None)
 
 
 @pytest.mark.parametrize("cell, kind", [("1234m", "decimal(4,2)"), ("1.234m", "decimal(6,2)"), ("null", "int"), ("1.0", "int"), ("1", "float"), ("12", "string"), ("2024-01-02", "datetime_naive")])
 def test_misfits_fail(spark, cell, kind):
     with pytest.raises(Exception, match="expected, found"):
-        ttoon_rows(spark.range(1), F.lit(cell), declare({"a": kind})).collect()
-    assert ttoon_rows(spark.range(1), F.lit(cell), declare({"a": kind}), on_error="null").first() == (None,)
+        line_rows(spark.range(1), F.lit(cell), declare({"a": kind})).collect()
+    assert line_rows(spark.range(1), F.lit(cell), declare({"a": kind}), on_error="null").first() == (None,)
 
 
 @pytest.mark.parametrize(
@@ -124,10 +124,10 @@ def test_split(spark, line, cells):
 def test_rows_of_wrong_shape(spark):
     schema = declare({"a": "int", "b": "string"})
     lines = spark.createDataFrame([("1, x",), ("2",), ("3, y, z",), ('4, "open',), ("5, a\x07b",), ('6, "p, q"',), ("7, \x01",), (None,)], "line string")
-    got = ttoon_rows(lines, F.col("line"), schema, on_error="null").collect()
+    got = line_rows(lines, F.col("line"), schema, on_error="null").collect()
     assert [tuple(r) for r in got] == [(1, "x"), (None, None), (None, None), (None, None), (None, None), (6, "p, q"), (None, None), (None, None)]
     with pytest.raises(Exception, match="2 cells expected"):
-        ttoon_rows(lines, F.col("line"), schema).collect()
+        line_rows(lines, F.col("line"), schema).collect()
 
 
 def test_objects(spark):
@@ -137,11 +137,11 @@ def test_objects(spark):
         '{"a": 1, "b": "x, \\"y\\" }{"}': (1, 'x, "y" }{'), '{"a": 1, "b": "\\u00e9"}': (1, "é"), '{"\\u0061": 5}': (5, None), '{"a": 1, "c": null}': (1, None), '{"a": null, "b": null}': (None, None),
         '{"a": 1,}': (None, None), '{"a": [1]}': (None, None), '{"a": 1} x': (None, None), '{a: 1}': (None, None), '{"a": 01, "b": "x"}': (None, "x"), "": (None, None),
     }
-    got = tjson_rows(spark.createDataFrame([(t,) for t in texts], "t string"), F.col("t"), schema, on_error="null", keep=["t"]).collect()
+    got = object_rows(spark.createDataFrame([(t,) for t in texts], "t string"), F.col("t"), schema, on_error="null", keep=["t"]).collect()
     assert {r.t: (r.a, r.b) for r in got} == texts
     for text, mode in (('{"a": 1,}', "compat"), ('{"a": 1, "c": 2}', "strict"), ('{"a": {"x": 1}}', "compat")):
         with pytest.raises(Exception, match="not a flat object"):
-            tjson_rows(spark.range(1), F.lit(text), schema, mode).collect()
+            object_rows(spark.range(1), F.lit(text), schema, mode).collect()
 
 
 def test_arrays_of_objects(spark):
@@ -151,14 +151,14 @@ def test_arrays_of_objects(spark):
 
 
 def test_detect(spark):
-    texts = {"": "typed_unit", "  \n": "typed_unit", "[": "tjson", "{": "tjson", "[3]:": "ttoon", "[3]: 1, 2, 3": "ttoon", "[*]{a}:": "ttoon", "[*]:": "tjson", "[3x]:": "ttoon", "[3,4,5]:": "ttoon", "\ufeff\n [1, 2]": "tjson", "rows[2]{a}:": "typed_unit", "42": "typed_unit", "a: 1": "typed_unit"}
+    texts = {"": "typed_unit", "  \n": "typed_unit", "[": "bracketed", "{": "bracketed", "[3]:": "indented", "[3]: 1, 2, 3": "indented", "[*]{a}:": "indented", "[*]:": "bracketed", "[3x]:": "indented", "[3,4,5]:": "indented", "\ufeff\n [1, 2]": "bracketed", "rows[2]{a}:": "typed_unit", "42": "typed_unit", "a: 1": "typed_unit"}
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", detect_format(F.col("t")).alias("f")).collect()
     assert {r.t: r.f for r in got} == texts
 
 
 def test_headers():
     for delimiter in (",", "\t", "|"):
-        assert header(ttoon_header(["a", "b c"], 3, delimiter)) == (3, delimiter, ["a", "b c"])
+        assert header(table_header(["a", "b c"], 3, delimiter)) == (3, delimiter, ["a", "b c"])
     assert header("[*]{a}:") == (None, ",", ["a"]) and header("a: 1") is None
 
 
@@ -170,9 +170,9 @@ def test_floats(spark):
 
 def test_quotes(spark):
     text = 'a"b\\c\n\t\r'
-    assert spark.range(1).select(quote_ttoon(F.lit(text)), quote_tjson(F.lit(text + "\b\x01é"))).first() == (r'"a\"b\\c\n\t\r"', r'"a\"b\\c\n\t\r\b\u0001é"')
+    assert spark.range(1).select(quote_indented(F.lit(text)), quote_bracketed(F.lit(text + "\b\x01é"))).first() == (r'"a\"b\\c\n\t\r"', r'"a\"b\\c\n\t\r\b\u0001é"')
     with pytest.raises(Exception, match="control character"):
-        spark.range(1).select(quote_ttoon(F.lit("\x07"))).collect()
+        spark.range(1).select(quote_indented(F.lit("\x07"))).collect()
 
 
 def test_schemas(spark):
@@ -216,7 +216,7 @@ def test_documents(spark):
 def test_documents_come_back(spark, delimiter, indent):
     texts = ['{"a": {"b": {"c": [1, 2]}, "d": []}, "e": [{"x": 1, "y": "p, q"}, {"x": 2, "y": "null"}]}', '[{"a": 1}, {"b": "x"}]', '{"l": [{"k": {"z": 1.5m}, "m": 2}, 3]}', "[]", '["a|b", "c\\td", "12"]', '{"q r": true}']
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
-    back = documents.ttoon_to_tjson(documents.tjson_to_ttoon(F.col("t"), delimiter, indent))
+    back = documents.indented_to_bracketed(documents.bracketed_to_indented(F.col("t"), delimiter, indent))
     assert [tuple(r) for r in frame.select("t", back).collect() if r[0] != r[1]] == []
 
 
