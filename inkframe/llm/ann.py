@@ -1,19 +1,20 @@
 """Operator 8: approximate nearest neighbours by stable projections and kd-trees.
 
-Vectors are projected to ``DIMENSIONS`` coordinates by a Gaussian matrix, so that a squared distance in the
-projection, divided by the true one, follows a chi-square distribution. Projected points are visited in order
-of their distance from the projected query and verified with their original vectors. With the k-th best found so
-far at distance d, the search stops when the next projected point is so far away that a point nearer than d
-would have come before it with a chance of ``confidence``.
-
-Nearness is the largest inner product. With M the largest norm, vectors get one more coordinate that makes all
-norms M, and queries get 0 there; the nearest by distance are then those with the largest product.
-
-On Spark: a kd-tree over a bounded sample of projections (``SAMPLE`` at most) cuts the space into cells.
-Every row goes to its cell; cells with many rows are split by hash. A query is first searched in its own
-cell; what it finds there gives the distance by which the stopping test rules out other cells, and it is
-then searched in the others. In a cell, the rows' own kd-tree has leaves of a few dozen points, which are
-visited in order of their distance.
+Vectors are scaled to length 1 and projected to ``DIMENSIONS`` coordinates by a Gaussian matrix, so that a squared
+distance in the projection, divided by the true one, follows a chi-square distribution. Projected points are taken in
+order of their distance from the projected query and verified with their original vectors. A row of norm r has a product
+of s or more with the query q only if the two directions are no further apart than 2 - 2 s / (r |q|). With s the k-th best
+product so far, the search stops when the next projected point is so far away that a row with a better product would
+have come before it with a chance of ``confidence``.
+
+On Spark: a kd-tree over a bounded sample of projections (``SAMPLE`` at most), cut at gaps near the median, deals the rows
+to cells. An aggregation gives each cell the box of its projections and its norms; cells with many rows are split by
+hash. A query first looks at the few nearest points of the ``PROBES`` nearest cells; the product that k of them reach decides by
+the stopping test which cells it goes to and where the search in each stops. In a part of a cell, the rows' own kd-tree has leaves of a few dozen points; leaves are opened in
+order of their boxes' distance, and a point is verified once no closed leaf can hold a nearer one.
+
+The nearer a query's neighbours are than other rows, the sooner it stops. Where all rows are about equally far away, as
+with directions that are spread evenly, no bound on distances leaves much out, and most cells are visited.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, take no part. All vectors have one
 length; shorter ones count as filled with zeros. Rows with the query's id are the query's own. Queries with
@@ -33,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import save
+from .scratch import drop, save
 
-DIMENSIONS, SAMPLE, LEAF = 8, 20_000, 48
+DIMENSIONS, SAMPLE, LEAF = 24, 100_000, 48
 #: Rows of a part of the index, and the least number of parts.
-ROWS, LEAST_PARTS = 16_384, 32
-#: Queries that a task looks at together.
-TOGETHER = 256
+ROWS, LEAST_PARTS = 8_192, 8
+#: Cells that a query first looks at, and points there for each neighbour wanted.
+PROBES, FEW = 4, 4
+#: Queries that a task looks at together, and points that are verified together at first.
+TOGETHER, STEP = 128, 64
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -56,13 +59,25 @@ def quantile(confidence: float, m: int = DIMENSIONS) -> float:
 
 
 def projection(width: int, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((width + 1, DIMENSIONS))
+    return np.random.default_rng(seed).standard_normal((width, DIMENSIONS))
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    largest = np.abs(x).max(axis=1, initial=0)  # so that no square overflows
+    scale = np.where(largest > 0, largest, 1)
+    return np.sqrt(((x / scale[:, None]) ** 2).sum(axis=1)) * scale
 
 
-def project(x: np.ndarray, g: np.ndarray, largest: float | None) -> np.ndarray:
-    """largest: the square of M, for rows; None for queries."""
-    y = x @ g[:-1]
-    return y if largest is None else y + np.sqrt(np.maximum(0, largest - (x * x).sum(axis=1)))[:, None] * g[-1]
+def project(x: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Of the directions of x."""
+    return (x / np.maximum(norms(x), np.finfo(float).tiny)[:, None]) @ g
+
+
+def apart(product: np.ndarray, norm: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The greatest squared distance of directions at which a row with a norm from low to high may reach the product."""
+    with np.errstate(all="ignore"):
+        least = product / (norm * np.where(product > 0, high, low))
+    return np.where(np.isneginf(product), np.inf, 2 - 2 * least)
 
 
 def split(points: np.ndarray, rows: np.ndarray, leaf: int) -> Iterator[np.ndarray]:
@@ -73,37 +88,40 @@ def split(points: np.ndarray, rows: np.ndarray, leaf: int) -> Iterator[np.ndarra
         if len(r) <= leaf:
             yield r
             continue
-        y = points[r]
-        axis = int(np.argmax(y.max(axis=0) - y.min(axis=0)))
-        half = len(r) // 2
-        order = np.argpartition(y[:, axis], half)
-        todo += [r[order[half:]], r[order[:half]]]
+        axis, value = cut(points[r])
+        left = points[r, axis] <= value
+        if not 0 < left.sum() < len(r):  # equal points
+            left = np.arange(len(r)) < len(r) // 2
+        todo += [r[~left], r[left]]
+
+
+def cut(y: np.ndarray) -> tuple[int, float]:
+    """The axis that varies most, and the middle of its widest gap between its fourth and sixth tenths."""
+    axis = int(np.argmax(y.var(axis=0)))
+    v = np.sort(y[:, axis])
+    a, z = int(0.4 * (len(v) - 1)), int(np.ceil(0.6 * (len(v) - 1)))
+    at = a + int(np.argmax(np.diff(v[a : z + 1]))) if z > a else a
+    return axis, float(v[at] / 2 + v[min(at + 1, len(v) - 1)] / 2)
 
 
 class Cells:
     """A kd-tree over a sample: each node has an axis, a value and two children; cells are its leaves."""
 
     def __init__(self, sample: np.ndarray, wanted: int):
-        self.axis, self.value, self.child, self.low, self.high = [], [], [], [], []
-        box = np.full(sample.shape[1] if sample.size else DIMENSIONS, np.inf)
-        depth = max(0, (wanted - 1).bit_length())
-        self._grow(sample.reshape(-1, len(box)), depth, -box, box)
-        self.low, self.high = np.array(self.low), np.array(self.high)
+        self.axis, self.value, self.child, self.n = [], [], [], 0
+        self._grow(sample, max(0, (wanted - 1).bit_length()))
 
-    def _grow(self, y: np.ndarray, depth: int, low: np.ndarray, high: np.ndarray) -> int:
+    def _grow(self, y: np.ndarray, depth: int) -> int:
         if depth and len(y) > 1:
-            axis = int(np.argmax(y.max(axis=0) - y.min(axis=0)))
-            value = float(np.median(y[:, axis]))
+            axis, value = cut(y)
             left = y[:, axis] <= value
             if 0 < left.sum() < len(y):
                 node = len(self.axis)
                 self.axis.append(axis), self.value.append(value), self.child.append([0, 0])
-                a, b = high.copy(), low.copy()
-                a[axis] = b[axis] = value
-                self.child[node] = [self._grow(y[left], depth - 1, low, a), self._grow(y[~left], depth - 1, b, high)]
+                self.child[node] = [self._grow(y[left], depth - 1), self._grow(y[~left], depth - 1)]
                 return node
-        self.low.append(low), self.high.append(high)
-        return -len(self.low)  # -1 is cell 0
+        self.n += 1
+        return -self.n  # -1 is cell 0
 
     def of(self, y: np.ndarray) -> np.ndarray:
         out = np.zeros(len(y), np.int64)
@@ -117,9 +135,6 @@ class Cells:
                 todo += [(self.child[node][0], rows[left]), (self.child[node][1], rows[~left])]
         return out
 
-    def distance(self, y: np.ndarray) -> np.ndarray:
-        return box_distance(y, self.low, self.high)
-
 
 def box_distance(y: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """(query, box): squared distances."""
@@ -130,76 +145,116 @@ def box_distance(y: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     return out
 
 
-def search(x: np.ndarray, ids: np.ndarray, tree: tuple, q: np.ndarray, q_ids: np.ndarray, y: np.ndarray, bound: np.ndarray, k: int, largest: float, c: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each query: its number, the rows of its k nearest found here and their products. bound: products that k rows elsewhere reach."""
-    leaves, low, high = tree
-    near = box_distance(y, low, high)
-    order = np.argsort(near, axis=1, kind="stable")
-    near = np.take_along_axis(near, order, axis=1)
-    found = np.full((len(q), len(x)), -np.inf)
-    norm, best = (q * q).sum(axis=1), bound.copy()
-    active, at, step = np.arange(len(q)), 0, 1
-    while len(active) and at < len(leaves):
-        nxt = order[active, at : at + step]
-        by_leaf, who = nxt.ravel(), np.repeat(active, nxt.shape[1])
-        sort = np.argsort(by_leaf, kind="stable")
-        by_leaf, who = by_leaf[sort], who[sort]
-        cut = np.flatnonzero(np.diff(by_leaf, prepend=-1))
-        for a, z in zip(cut, [*cut[1:], len(who)], strict=True):
-            rows, own = leaves[by_leaf[a]], who[a:z]
-            products = q[own] @ x[rows].T
-            products[ids[rows][None, :] == q_ids[own][:, None]] = -np.inf
-            found[own[:, None], rows] = products
-        at += step
-        step *= 2
-        if len(x) >= k:
-            best[active] = np.maximum(best[active], np.partition(found[active], len(x) - k, axis=1)[:, len(x) - k])
-        if at < len(leaves):
-            active = active[near[active, at] < c * np.maximum(0, norm[active] + largest - 2 * best[active]) + 1e-12]
-    for i in range(len(q)):
-        least = np.partition(found[i], len(x) - k)[len(x) - k] if len(x) > k else -np.inf
-        rows = np.flatnonzero((found[i] > -np.inf) & (found[i] >= least - 1e-9 * (1 + abs(least) if np.isfinite(least) else 1)))
-        score = (x[rows] * q[i]).sum(axis=1)  # one order of additions for all rows, so that equal vectors tie
-        top = np.lexsort((ids[rows], -score))[:k]
-        yield i, rows[top], score[top]
-
-
-_FOUND = "query_id long, vec_id long, score double"
-
-
-def _searching(model, k: int, width: int, largest: float, c: float):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def vectors(column: pa.Array) -> np.ndarray:
-        return filled(column, width)
+class Part:
+    """Rows of a part of a cell: vectors, ids, projections, norms, and the leaves of their kd-tree with their boxes."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, row: np.ndarray, g: np.ndarray):
+        y = project(x, g)
+        self.leaves = list(split(y, np.arange(len(x)), LEAF))
+        order = np.concatenate(self.leaves)  # leaves lie one after the other
+        self.x, self.ids, self.row, self.y, self.norm = x[order], ids[order], row[order], y[order], norms(x[order])
+        size = np.array([len(r) for r in self.leaves])
+        self.ends = np.cumsum(size)
+        self.starts = self.ends - size
+        self.low, self.high = np.minimum.reduceat(self.y, self.starts), np.maximum.reduceat(self.y, self.starts)
+        self.square = (self.y * self.y).sum(axis=1)
+        self.least, self.most = float(self.norm.min()), float(self.norm.max())
+
+    def search(self, q: np.ndarray, q_id: int, y: np.ndarray, near: np.ndarray, bound: float, k: int, c: float, most: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """Rows of the k nearest found here, their products, and how many rows were verified. near: the leaves' distances;
+        bound: a product that k rows elsewhere reach; most: rows after which a first look ends."""
+        norm = float(norms(q[None, :])[0])
+        order = np.argsort(near, kind="stable")
+        waiting, distance = np.empty(0, np.int64), np.empty(0)
+        rows, products, best = [], [], bound
+        at, step, verified, limit = 0, 4, 0, np.inf
+        while True:
+            limit = c * float(apart(np.float64(best), norm, self.least, self.most)) + 1e-12
+            opened = order[at : at + step]
+            opened = opened[near[opened] <= limit]
+            at, step = at + step, step * 2
+            if len(opened):
+                new = np.concatenate([np.arange(self.starts[i], self.ends[i]) for i in opened])
+                d = np.maximum(0, self.square[new] - 2 * (self.y[new] @ y) + y @ y)
+                waiting, distance = np.concatenate((waiting, new)), np.concatenate((distance, d))
+            closed = near[order[at]] if at < len(order) and len(opened) else np.inf
+            ready = distance <= closed
+            now, d = waiting[ready], distance[ready]
+            waiting, distance = waiting[~ready], distance[~ready]
+            sort = np.argsort(d, kind="stable")
+            now, d, a, size = now[sort], d[sort], 0, STEP
+            while a < len(now):
+                z = min(len(now), a + size)
+                limit = c * float(apart(np.float64(best), norm, self.least, self.most)) + 1e-12
+                if d[a] > limit or verified >= most:
+                    return self._top(rows, products, q, k, verified)
+                r = now[a:z]
+                # a row's own norm may rule it out before it is verified
+                r = r[(d[a:z] <= c * apart(np.full(len(r), best), norm, self.norm[r], self.norm[r]) + 1e-12) & (self.ids[r] != q_id)]
+                rows.append(r), products.append(self.x[r] @ q)
+                verified += len(r)
+                a, size = z, size * 2
+                found = np.concatenate(products)
+                if len(found) >= k:
+                    best = max(best, float(np.partition(found, len(found) - k)[len(found) - k]))
+            if not len(opened) or at >= len(order) and not len(waiting):
+                return self._top(rows, products, q, k, verified)
+
+    def _top(self, rows: list, products: list, q: np.ndarray, k: int, verified: int) -> tuple[np.ndarray, np.ndarray, int]:
+        if not rows:
+            return np.empty(0, np.int64), np.empty(0), verified
+        rows, products = np.concatenate(rows), np.concatenate(products)
+        if len(rows) > k:
+            least = np.partition(products, len(products) - k)[len(products) - k]
+            rows = rows[products >= least - 1e-9 * (1 + abs(least))]
+        score = (self.x[rows] * q).sum(axis=1)  # one order of additions for all rows, so that equal vectors tie
+        top = np.lexsort((self.ids[rows], -score))[:k]
+        return rows[top], score[top], verified
+
+
+_FOUND = "query_id long, vec_id long, score double, verified long, row long"
+
+
+def _searching(g, k: int, width: int, c: float, most: float):
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("verified", pa.int64()), ("row", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = model.value[1]
-
         def pieces():
             for batch in batches:
                 part = batch.column(0).to_numpy()
-                cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-                for a, z in zip(cut, cut[1:]):
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+                for a, z in zip(cuts, cuts[1:]):
                     if z > a:
                         yield int(part[a]), batch.slice(a, z - a)
 
         for _, group in groupby(pieces(), key=lambda p: p[0]):
-            table = pa.Table.from_batches([b for _, b in group]).combine_chunks()
-            is_query = np.asarray(table["is_query"])
-            x, ids, bound = vectors(table["vector"]), np.asarray(table["id"].fill_null(_NO_ID)), np.asarray(table["bound"])
-            rows, queries = np.flatnonzero(~is_query), np.flatnonzero(is_query)
-            if not len(rows) or not len(queries):
-                continue
-            q, q_ids, bound, x, ids = x[queries], ids[queries], bound[queries], x[rows], ids[rows]
-            y = project(x, g, largest)
-            leaves = list(split(y, np.arange(len(x)), LEAF))
-            tree = leaves, np.array([y[r].min(axis=0) for r in leaves]), np.array([y[r].max(axis=0) for r in leaves])
-            for a in range(0, len(q), TOGETHER):
-                s = slice(a, a + TOGETHER)
-                out = [(np.full(len(r), q_ids[s][i]), ids[r], score) for i, r, score in search(x, ids, tree, q[s], q_ids[s], project(q[s], g, None), bound[s], k, largest, c)]
-                columns = [np.concatenate(v) for v in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=columns[1] == _NO_ID), pa.array(columns[2])], schema=schema)
+            # the part's rows go before its queries, which are taken as they come
+            rows, part = [], None
+            for _, batch in group:
+                is_query = np.asarray(batch.column(3))
+                n_rows = int((~is_query).sum())
+                if n_rows:
+                    rows.append(batch.slice(0, n_rows))
+                queries = batch.slice(n_rows)
+                if not queries.num_rows or not rows and part is None:
+                    continue
+                if part is None:
+                    table = pa.Table.from_batches(rows)
+                    part = Part(filled(table["vector"], width), np.asarray(table["id"].fill_null(_NO_ID)), np.asarray(table["row"]), g.value)
+                    rows = []
+                for a in range(0, queries.num_rows, TOGETHER):
+                    own = queries.slice(a, TOGETHER)
+                    q, ids, bound = filled(own.column(2), width), np.asarray(own.column(1)), np.asarray(own.column(4))
+                    y = project(q, g.value)
+                    near = box_distance(y, part.low, part.high)
+                    out = []
+                    for i in range(len(q)):
+                        r, score, verified = part.search(q[i], int(ids[i]), y[i], near[i], float(bound[i]), k, c, most)
+                        count = np.zeros(len(r), np.int64)
+                        count[:1] = verified
+                        out.append((np.full(len(r), ids[i]), part.ids[r], score, count, part.row[r]))
+                    columns = [np.concatenate(v) for v in zip(*out, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=columns[1] == _NO_ID), *map(pa.array, columns[2:])], schema=schema)
 
     return run
 
@@ -221,57 +276,87 @@ def _takes_part(vector: Column) -> Column:
 
 
 def neighbours(df: DataFrame, is_query: Column, k: int = 20, confidence: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row that is_query holds for, among all rows with other ids."""
+    """(query_id, rank, vec_id, score, verified): the k nearest found of each row that is_query holds for, among all rows
+    with other ids. verified, at rank 1: the number of rows whose product with the query was made, counted again where it was made again."""
     spark = df.sparkSession
-    vector = F.col(vector_col).cast("array<double>")
-    rows = save(df.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where(_takes_part(F.col("vector"))), "vectors")
-    n, width, largest = rows.agg(F.count("*"), F.max(F.size("vector")), F.max(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v))).first()
-    none = "query_id long, rank int, vec_id long, score double"
+    vector = F.col(vector_col) if df.schema[vector_col].dataType.simpleString() == "array<float>" else F.col(vector_col).cast("array<double>")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where(_takes_part(F.col("vector")))
+    n, width = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
     if not n:
-        return spark.createDataFrame([], none)
-    g, c = projection(width), quantile(confidence)
-    chance = F.pmod(F.xxhash64("id", "vector"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(chance < 0.8 * SAMPLE / n).select("vector").limit(SAMPLE).toArrow()["vector"]
-    parts = max(LEAST_PARTS, -(-n // ROWS))
-    cells = Cells(project(filled(sample, width), g, largest) if len(sample) else np.empty((0, DIMENSIONS)), min(parts, max(1, SAMPLE // 8)))
-    model = spark.sparkContext.broadcast((cells, g))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long")
+    c = quantile(confidence)
+    g = spark.sparkContext.broadcast(projection(width))  # DIMENSIONS numbers for each component
 
-    @F.arrow_udf("int")
-    def cell(vectors: pa.Array) -> pa.Array:
-        return pa.array(model.value[0].of(project(filled(vectors, width), model.value[1], largest)), pa.int32())
+    @F.arrow_udf("array<float>")
+    def projected(vectors: pa.Array) -> pa.Array:
+        y = project(filled(vectors, width), g.value).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * DIMENSIONS, pa.int32()), pa.array(y.ravel()))
 
-    rows = save(rows.withColumn("cell", cell("vector")), "vectors-by-cell")
-    # cells of too many rows are split; the table has a row for each cell, so it is bounded like the tree
-    counts = rows.groupBy("cell").agg(F.count("*").alias("n")).collect()
+    chance = F.pmod(F.xxhash64("id", "vector"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = rows.where(chance < 0.8 * SAMPLE / n).select(projected("vector").alias("y")).limit(SAMPLE).toArrow()["y"]
+    parts = max(LEAST_PARTS, -(-n // ROWS))
+    tree = spark.sparkContext.broadcast(Cells(filled(sample, DIMENSIONS), min(parts, max(1, SAMPLE // 8))))  # a node for each cell
+
+    @F.arrow_udf("struct<cell: int, y: array<float>, norm: double>")
+    def placed(vectors: pa.Array) -> pa.Array:
+        x = filled(vectors, width)
+        y = project(x, g.value)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * DIMENSIONS, pa.int32()), pa.array(y.astype(np.float32).ravel()))
+        return pa.StructArray.from_arrays([pa.array(tree.value.of(y), pa.int32()), lists, pa.array(norms(x))], names=["cell", "y", "norm"])
+
+    rows = save(rows.select("*", placed("vector").alias("p")).select("id", "vector", "is_query", "p.cell", "p.y", "p.norm", F.monotonically_increasing_id().alias("row")), "vectors-by-cell")
+    # boxes: a row for each cell, so bounded like the tree
+    coordinates = [f(F.col("y")[i]).alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in range(DIMENSIONS)]
+    cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("norm").alias("least"), F.max("norm").alias("most"), *coordinates).orderBy("cell").collect()
     most = max(64, 2 * n // parts)
-    splits = F.broadcast(spark.createDataFrame([(r.cell, -(-r.n // most) if r.n > most else 1) for r in counts], "cell int, splits int"))
-    salted = rows.join(splits, "cell").withColumn("part", F.xxhash64("cell", F.pmod(F.xxhash64("id", "vector"), F.col("splits").cast("bigint"))))
-    data = salted.select("part", "id", "vector", F.lit(False).alias("is_query"), F.lit(0.0).alias("bound"))
-    queries = rows.where("is_query and id is not null").groupBy("id").agg(F.min("vector").alias("vector"))
-
-    @F.arrow_udf("struct<own: int, others: array<int>>")
+    splits = spark.createDataFrame([(r.cell, -(-r.n // most)) for r in cells], "cell int, splits int")
+    box = lambda name: np.array([[r[f"{name}{i}"] for i in range(DIMENSIONS)] for r in cells]) + (-1 if name == "low" else 1) * 1e-5
+    boxes = spark.sparkContext.broadcast((np.array([r.cell for r in cells]), box("low"), box("high"), np.array([r.least for r in cells]), np.array([r.most for r in cells])))
+    salted = rows.join(F.broadcast(splits), "cell").withColumn("part", F.xxhash64("cell", F.pmod(F.xxhash64("id", "vector"), F.col("splits").cast("bigint"))))
+    data = salted.select("part", "id", "vector", F.lit(False).alias("is_query"), F.lit(0.0).alias("bound"), "row")
+    queries = rows.where("is_query and id is not null").groupBy("id").agg(F.min(F.struct("vector", "cell")).alias("q")).select("id", "q.*")
+
+    @F.arrow_udf("array<int>")
     def visits(vectors: pa.Array, bound: pa.Array) -> pa.Array:
-        q, b = filled(vectors, width), np.asarray(bound)
-        y = project(q, model.value[1], None)
-        near = model.value[0].distance(y)
-        own = near.argmin(axis=1)
-        go = near < (c * np.maximum(0, (q * q).sum(axis=1) + largest - 2 * b) + 1e-12)[:, None]
-        go[np.arange(len(q)), own] = False
-        others = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(go.sum(axis=1)))), pa.int32()), pa.array(np.nonzero(go)[1], pa.int32()))
-        return pa.StructArray.from_arrays([pa.array(own, pa.int32()), others], names=["own", "others"])
-
-    def searched(asked: DataFrame) -> DataFrame:
+        number, low, high, least, most = boxes.value
+        q, b, out = filled(vectors, width), np.asarray(bound), []
+        for a in range(0, len(q), TOGETHER):
+            s = slice(a, a + TOGETHER)
+            near = box_distance(project(q[s], g.value), low, high)
+            go = near <= c * apart(b[s][:, None], norms(q[s])[:, None], least[None, :], most[None, :]) + 1e-12
+            out += [number[np.flatnonzero(x)] for x in go]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in out], dtype=np.int64)))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int32()))
+
+    @F.arrow_udf("array<int>")
+    def nearest(vectors: pa.Array, cell: pa.Array) -> pa.Array:
+        number, low, high, _, _ = boxes.value
+        q, own, out = filled(vectors, width), np.asarray(cell), []
+        for a in range(0, len(q), TOGETHER):
+            near = box_distance(project(q[a : a + TOGETHER], g.value), low, high)
+            near[number[None, :] == own[a : a + TOGETHER, None]] = -1
+            out.append(number[np.argsort(near, axis=1, kind="stable")[:, :PROBES]])
+        out = np.concatenate(out) if out else np.empty((0, 1), np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * out.shape[1], pa.int32()), pa.array(out.ravel(), pa.int32()))
+
+    def searched(asked: DataFrame, most: float = float("inf")) -> DataFrame:
         """asked: id, vector, bound, cell."""
-        sent = asked.join(splits, "cell").withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("splits") - 1), lambda i: F.xxhash64("cell", i.cast("bigint")))))
-        both = data.unionByName(sent.select("part", "id", "vector", F.lit(True).alias("is_query"), "bound"))
-        return both.repartition("part").sortWithinPartitions("part").mapInArrow(_searching(model, k, width, largest, c), _FOUND)
+        sent = asked.join(F.broadcast(splits), "cell").withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("splits") - 1), lambda i: F.xxhash64("cell", i.cast("bigint")))))
+        both = data.unionByName(sent.select("part", "id", "vector", F.lit(True).alias("is_query"), "bound", F.lit(0).cast("long").alias("row")))
+        return both.repartition("part").sortWithinPartitions("part", "is_query").mapInArrow(_searching(g, k, width, c, most), _FOUND)
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
-    best = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    first = save(searched(queries.withColumn("bound", F.lit(float("-inf"))).withColumn("cell", visits("vector", "bound").own)), "vectors-first")
-    first = save(best(first), "vectors-first")
+    def best(found: DataFrame) -> DataFrame:
+        """The k best of each query, a row once; the number of verified rows stands at the best one."""
+        rows = found.groupBy("query_id", "row").agg(F.min("vec_id").alias("vec_id"), F.max("score").alias("score"), F.sum("verified").alias("verified"))
+        rows = rows.withColumn("rank", F.row_number().over(order)).withColumn("verified", F.sum("verified").over(Window.partitionBy("query_id")))
+        return rows.where(F.col("rank") <= k).withColumn("verified", F.when(F.col("rank") == 1, F.col("verified")).otherwise(0))
+
+    probed = queries.withColumn("bound", F.lit(float("-inf"))).withColumn("cell", F.explode(nearest("vector", "cell")))
+    first = save(best(searched(probed, FEW * k)), "vectors-first")
     bounds = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
-    asked = queries.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
-    asked = save(asked.withColumn("cell", F.explode(visits("vector", "bound").others)), "vectors-asked")
-    found = best(first.drop("rank").unionByName(searched(asked)))
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    asked = queries.drop("cell").join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    asked = save(asked.withColumn("cell", F.explode(visits("vector", "bound"))), "vectors-asked")
+    found = save(best(searched(asked).unionByName(first.drop("rank"))), "vectors-found")
+    drop(rows), drop(first), drop(asked)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "verified")
