@@ -36,6 +36,17 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
             yield [c[i].as_py() for c in columns]
 
 
+def bits_for(total: int, bucket: int) -> int:
+    """Leading bits of a hash that deal so many bytes to buckets of this size: at least 8 buckets, and at most 2^32."""
+    return min(32, max(3, (total // bucket).bit_length()))
+
+
+def runs(values: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Of sorted values: where each begins and ends."""
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1])))
+    return dict(zip(values[at].tolist(), zip(at.tolist(), np.append(at, len(values))[1:].tolist(), strict=True), strict=True))
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = TaskContext.get().partitionId() << 33
     for batch in batches:

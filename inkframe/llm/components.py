@@ -18,6 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a"))
     both = save(both.distinct(), "edges")
+    if both.isEmpty():
+        none = both.selectExpr("a as node", "b as label")
+        none.saved_path = both.saved_path
+        return none
     labels = save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -35,27 +39,3 @@ def components(edges: DataFrame) -> DataFrame:
         if not changed:
             drop(both)
             return labels
-
-
-class Sets:
-    """Union by smallest member."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up, root = self.up, x
-        while (y := up.get(root, root)) != root:
-            root = y
-        while (y := up.get(x, x)) != root:
-            up[x] = root
-            x = y
-        return root
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.find(x), self.find(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-
-    def edges(self) -> list[tuple[int, int]]:
-        return [(x, self.find(x)) for x in self.up]

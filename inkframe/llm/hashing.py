@@ -65,7 +65,24 @@ def parts(ids: pa.Array, texts: pa.Array, limit: int = PART) -> Iterator[tuple[n
 
 
 def words(buffer: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word (a run of bytes that is_word holds for), and the number of the first word of each text."""
+    """Hash, start and end of each word (a run of bytes that is_word holds for), and the number of the first word of each text.
+    A long text is taken in parts that end between words."""
+    if len(offsets) != 2 or len(buffer) <= 3 * PART:
+        return _words(buffer, offsets, is_word, values)
+    found, at = [], 0
+    while at < len(buffer):
+        to, gap = at + PART, np.empty(0, np.int64)
+        while to < len(buffer) and not len(gap := np.flatnonzero(~is_word[buffer[to : to + PART]])):
+            to += PART
+        to = to + int(gap[0]) if len(gap) else len(buffer)
+        h, starts, ends, _ = _words(buffer[at:to], np.array([0, to - at]), is_word, values)
+        found.append((h, starts + at, ends + at))
+        at = to
+    h, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+    return h, starts, ends, np.array([0, len(h)])
+
+
+def _words(buffer: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     inside = is_word[buffer]
     first = inside.copy()
     first[1:] &= ~inside[:-1]

@@ -3,20 +3,20 @@
 ``similar`` links documents whose sets of word shingles have 100 * |x and y| >= percent * |x or y|, and
 gives each document the smallest id that its links reach. No link is lost:
 
-1. *Blocks.* Chunks of documents send the distinct hashes of their shingles to buckets and get back how many
+1. *Keys.* Chunks of documents send the distinct hashes of their shingles to buckets and get back how many
    documents have each, as a power of 2. A set of which fewer than percent shingles are in another
    document has no link. With the shingles in any one order that all documents share, two sets that link have one
-   of the first n - ceil(percent * n / 100) + 1 of their shingles in common. The order puts frequent shingles
-   last, so shared passages hardly count. Documents that have such a shingle in common are in one block: the
-   connected components of documents and their shingles' smallest documents. Each task first replaces the rows of a
-   shingle by its smallest document and edges to it, so that a hot shingle gives a row a task. Equal sets
-   are one set, of their smallest document.
-2. *Tiles.* Blocks are cut into tiles by size band (bands are 100 / percent apart, so that links stay in a
-   band or go to the next) and, where that is too much for a task, by hash. A task has one small block, or
-   two tiles of a large one.
-3. *Signatures.* In a task, each set sets a bit for the hash of each shingle; sets x and y whose bitmaps
-   differ in d bits have at most (|x| + |y| - d) / 2 shingles in common. Only pairs that pass that bound,
-   and are not yet connected, get an exact intersection of sorted arrays.
+   of the first n - ceil(percent * n / 100) + 1 of their shingles in common: their keys. The order puts frequent shingles
+   last, so shared passages hardly count. Equal sets are one set, of their smallest document.
+2. *Families.* Each key has a smallest document. Its other documents are compared with that one first, a few hundred of them
+   in a task, and what links is one class from then on. A task replaces the rows of a key by its own smallest document
+   before they are sent, so that a hot key gives a row a task.
+3. *Tiles.* Keys whose documents are still of several classes are cut into tiles by size band (bands are 100 / percent
+   apart, so that links stay in a band or go to the next) and, where a band is too much for a task, by hash. A task has
+   two tiles of a key. A pair is compared at the smallest key that it has in common.
+4. *Signatures.* In a comparison, each set sets a bit for the hash of each shingle, in bitmaps as long as their band needs;
+   sets x and y whose bitmaps differ in d bits have at most (|x| + |y| - d) / 2 shingles in common. Only pairs that pass
+   that bound, and are not yet connected, get an exact intersection of sorted arrays.
 
 Shingles are compared by 64-bit hashes of their words. Null or empty texts and texts without words have an
 empty set, link with nothing and are their own component. Rows with a null id link with nothing and have no
@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import BATCH, batch_of, pack, rows_of
-from .components import Sets, components
+from .chunks import BATCH, batch_of, bits_for, pack, rows_of, runs
+from .components import components
 from .hashing import VALUES, mix, words
 from .scratch import drop, save, setting
 
@@ -46,9 +46,11 @@ _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _FOLDED = VALUES.copy()
 _FOLDED[ord("A") : ord("Z") + 1] = VALUES[ord("a") : ord("z") + 1]
 #: Bytes of text in a bucket of shingles.
-BUCKET = 1_000_000
+BUCKET = 8_000_000
 #: Shingles that a task holds at once.
 ROWS = 2_000_000
+#: Documents that a task compares with a family's smallest one.
+FAMILY = 256
 #: Bytes of sets in a task.
 TILE = 24_000_000
 NONE = np.iinfo(np.int64).min
@@ -103,13 +105,13 @@ class Chunk:
         self.of[order] = np.cumsum(new) - 1
         at = np.flatnonzero(new)
         self.entry, self.count = entry[at], np.diff(at, append=len(entry))
-        self.cut = np.searchsorted(self.entry >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
+        self.buckets = runs(self.entry >> np.uint64(32))
 
     def levels(self, answers: list[tuple[int, bytes]]) -> list[np.ndarray]:
         """Of each shingle of the sets that take part, the level of its number of documents: 0 if there is no other."""
         level = np.zeros(len(self.entry), np.uint8)
         for b, found in answers:
-            a, z = self.cut[b], self.cut[b + 1]
+            a, z = self.buckets[b]
             size = -(-(z - a) // 8)
             several = np.unpackbits(np.frombuffer(found, np.uint8, size), count=z - a).astype(bool)
             level[a:z][several] = np.frombuffer(found, np.uint8, offset=size)
@@ -117,7 +119,7 @@ class Chunk:
         return np.split(level, np.cumsum([len(self.sets[i]) for i in self.taken])[:-1]) if self.taken else []
 
 
-_ENTRIES, _LEVELS = "bucket int, chunk long, entries binary, several binary, counts binary", "chunk long, bucket int, levels binary"
+_ENTRIES, _LEVELS = "bucket long, chunk long, entries binary, several binary, counts binary", "chunk long, bucket long, levels binary"
 _SETS = "kind int, id long, n long, p1 long, p2 long, members binary, firsts binary"
 
 
@@ -126,8 +128,8 @@ def _send_entries(n: int, bits: int):
         for chunk, ids, nulls, offsets, text in rows_of(batches):
             c = Chunk(ids, nulls, offsets, text, n, bits)
             low, several, out = (c.entry & np.uint64(0xFFFFFFFF)).astype(np.uint32), c.count > 1, []
-            for b in np.flatnonzero(c.cut[1:] > c.cut[:-1]).tolist():
-                s = slice(c.cut[b], c.cut[b + 1])
+            for b, (a, z) in c.buckets.items():
+                s = slice(a, z)
                 out.append((b, chunk, low[s].tobytes(), np.packbits(several[s]).tobytes(), c.count[s][several[s]].astype(np.uint32).tobytes()))
             yield batch_of(_ENTRIES, out)
 
@@ -174,15 +176,19 @@ def _select(n: int, percent: int, bits: int):
     return run
 
 
+_KEYS = "key long, doc long, hub long"
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the keys in a task: a row (key, smallest document), and the other documents with that one as hub."""
     schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("hub", pa.int64())])
-    firsts, docs, edges = [], [], Sets()
+    firsts, docs, n = [], [], 0
 
     def dealt() -> Iterator[pa.RecordBatch]:
         key, doc, hub, new = _smallest(np.concatenate(firsts), np.concatenate(docs))
         firsts.clear(), docs.clear()
-        for a, b in set(zip(doc[~new].tolist(), hub[~new].tolist(), strict=True)):
-            edges.join(a, b)
+        pairs = np.unique(np.stack((doc[~new], hub[~new]), axis=1), axis=0)
+        yield _batch(schema, pairs[:, 0], pairs[:, 0], pairs[:, 1])
         key, doc = key[new].view(np.int64), doc[new]
         for at in range(0, len(key), 200_000):
             k = key[at : at + 200_000]
@@ -192,114 +198,217 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             firsts.append(np.frombuffer(first, np.uint64))
             docs.append(np.full(len(firsts[-1]), i, np.int64))
-        if sum(map(len, firsts)) > ROWS:
-            yield from dealt()
+            n += len(firsts[-1])
+            if n > ROWS:
+                yield from dealt()
+                n = 0
     if firsts:
         yield from dealt()
-    if found := edges.edges():
-        a, b = zip(*found, strict=True)
-        yield _batch(schema, a, a, b)  # dealt by document
 
 
 def _smallest(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by key and document: keys, documents, the key's smallest document, and whether the row is the first of its key."""
+    """Sorted by key and document, each pair once: keys, documents, the key's smallest document, and whether the row is the first of its key."""
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
+    once = np.ones(len(key), bool)
+    once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    key, doc = key[once], doc[once]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
-    return key, doc, doc[np.flatnonzero(new)][np.cumsum(new) - 1], new
+    return key, doc, doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else doc, new
 
 
-def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What connects the documents of each shingle: edges to the smallest of them, and of what that connects within the task."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    keys, docs, sets = [np.empty(0, np.int64)], [np.empty(0, np.int64)], Sets()
-    for batch in batches:
-        key, doc, hub = (batch.column(i).to_numpy() for i in range(3))
-        is_edge = hub != NONE
-        for a, b in zip(doc[is_edge].tolist(), hub[is_edge].tolist(), strict=True):
-            sets.join(a, b)
-        keys.append(key[~is_edge]), docs.append(doc[~is_edge])
-    _, doc, hub, new = _smallest(np.concatenate(keys), np.concatenate(docs))
-    for a, b in set(zip(doc[~new].tolist(), hub[~new].tolist(), strict=True)):
-        sets.join(a, b)
-    if found := sets.edges():
-        yield _batch(schema, *zip(*found, strict=True))
-
-
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    bits = max(64, 1 << int(max(map(len, sets)) * 2 - 1).bit_length())
-    out = np.zeros((len(sets), bits // 64), np.uint64)
-    for row, s in zip(out, sets, strict=True):
-        at = s & np.uint64(bits - 1)
-        np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
+def _bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits, bool)
+    out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out).view(np.uint64)
+
+
+def _bits(n: int) -> int:
+    return max(64, 1 << (2 * n - 1).bit_length())
+
+
+def _links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
 
+def _passes(differ: np.ndarray | int, both: np.ndarray | int, percent: int):
+    """Whether sets of so many shingles in all may link, if their bitmaps differ in so many bits."""
+    return (both - differ) // 2 * (100 + percent) >= percent * both
 
-def link(ids: list[int], sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Edges that connect what the links among these sets connect. side: only pairs between side 0 and side 1 are looked at."""
+
+def link(ids: list[int], sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, keys: list[np.ndarray] | None = None, key: int = 0) -> list[tuple[int, int]]:
+    """Edges that connect what the links among these sets connect. Sets with equal ids are one class already. side: only pairs
+    between side 0 and side 1 are looked at. keys: only pairs whose smallest common key is this one."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     ids, sets = [ids[i] for i in order], [sets[i] for i in order]
     side = None if side is None else np.asarray(side)[order]
+    keys = None if keys is None else [keys[i] for i in order]
     sizes = np.array([len(s) for s in sets])
-    bitmaps = _bitmaps(sets)
-    root = np.arange(len(ids))  # of each set; relabelled as classes join
+    _, root = np.unique(np.array(ids), return_inverse=True)  # the class of each set; relabelled as classes join
     low = np.searchsorted(sizes, -(-sizes * percent // 100))
+    band = np.floor(np.log(sizes) / math.log(100.001 / percent)).astype(np.int64)
     found = []
-    for i in range(1, len(ids)):
-        j = np.arange(low[i], i)
-        j = j[root[j] != root[i]]
-        if side is not None:
-            j = j[side[j] != side[i]]
-        if not len(j):
-            continue
-        differ = np.bitwise_count(bitmaps[j] ^ bitmaps[i]).sum(axis=1, dtype=np.int64)
-        both = sizes[i] + sizes[j]
-        j = j[(both - differ) // 2 * (100 + percent) >= percent * both][::-1]
-        while len(j):
-            k = j[0]
-            common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-            if 100 * common >= percent * (sizes[i] + sizes[k] - common):
-                found.append((ids[i], ids[k]))
-                root[root == root[i]] = root[k]
-                j = j[root[j] != root[k]]
-            else:
-                j = j[1:]
+    for b in np.unique(band):
+        first, last = np.searchsorted(band, b), np.searchsorted(band, b, "right")
+        below = np.searchsorted(band, b - 1)
+        bits = _bits(int(sizes[last - 1]))
+        bitmaps = np.array([_bitmap(s, bits) for s in sets[below:last]])
+        for i in range(first, last):
+            j = np.arange(low[i], i)
+            j = j[root[j] != root[i]]
+            if side is not None:
+                j = j[side[j] != side[i]]
+            if not len(j):
+                continue
+            differ = np.bitwise_count(bitmaps[j - below] ^ bitmaps[i - below]).sum(axis=1, dtype=np.int64)
+            j = j[_passes(differ, sizes[i] + sizes[j], percent)][::-1]
+            while len(j):
+                k = j[0]
+                own = keys is None or np.intersect1d(keys[i], keys[k], assume_unique=True)[:1] == key
+                if own and _links(sets[i], sets[k], percent):
+                    found.append((ids[i], ids[k]))
+                    root[root == root[i]] = root[k]
+                    j = j[root[j] != root[k]]
+                else:
+                    j = j[1:]
     return found
 
 
-def _verify(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
 
+def _against_hub(percent: int):
+    """Rows (hub, salt, is_hub, id, members), a hub's own before its documents': the edges to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own, bitmap = None, np.empty(0, np.uint64), None
+        for batch in batches:
+            out = []
+            for h, _, is_hub, i, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = np.frombuffer(m, np.uint64)
+                if is_hub:
+                    hub, own = h, s
+                    bits = _bits(len(own))
+                    bitmap = _bitmap(own, bits)
+                elif h == hub and 100 * min(len(s), len(own)) >= percent * max(len(s), len(own)):
+                    differ = int(np.bitwise_count(_bitmap(s, bits) ^ bitmap).sum())
+                    if _passes(differ, len(s) + len(own), percent) and _links(s, own, percent):
+                        out.append((i, hub))
+            if out:
+                yield _batch(_EDGE, *zip(*out, strict=True))
+
+    return run
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, firsts) to the smallest and greatest class of each key in a task."""
+    schema = pa.schema([("key", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+    keys, labels, n = [], [], 0
+
+    def dealt() -> pa.RecordBatch:
+        key, label = np.concatenate(keys), np.concatenate(labels)
+        keys.clear(), labels.clear()
+        order = np.argsort(key, kind="stable")
+        key, label = key[order], label[order]
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        return _batch(schema, key[at].view(np.int64), np.minimum.reduceat(label, at), np.maximum.reduceat(label, at))
+
+    for batch in batches:
+        for label, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if first:
+                keys.append(np.frombuffer(first, np.uint64))
+                labels.append(np.full(len(keys[-1]), label, np.int64))
+                n += len(keys[-1])
+                if n > ROWS:
+                    yield dealt()
+                    n = 0
+    if keys:
+        yield dealt()
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n, firsts) to a row for each key."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
+    for batch in batches:
+        for i, n, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            key = np.frombuffer(first, np.int64)
+            yield _batch(schema, key, np.full(len(key), i), np.full(len(key), n))
+
+
+def _verify(percent: int):
     def edges(group):
-        ids, sides, members = zip(*group, strict=True)
+        keys, labels, sides, members, firsts = zip(*group, strict=True)
         sets, side = [np.frombuffer(m, np.uint64) for m in members], np.array(sides)
-        return link(list(ids), sets, percent, side if side.any() else None) if len(ids) > 1 else []
+        return link(list(labels), sets, percent, side if side.any() else None, [np.frombuffer(f, np.uint64) for f in firsts], np.int64(keys[0]).view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, group, out = None, [], []
+        task, group = None, []
         for batch in batches:
-            for key, i, side, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != task:
+            out = []
+            for t, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if t != task:
                     out += edges(group) if len(group) > 1 else []
-                    task, group = key, []
-                group.append((i, side, m))
+                    task, group = t, []
+                group.append(row)
             if out:
-                yield _batch(schema, *zip(*out, strict=True))
-                out = []
+                yield _batch(_EDGE, *zip(*out, strict=True))
         if len(group) > 1 and (out := edges(group)):
-            yield _batch(schema, *zip(*out, strict=True))
+            yield _batch(_EDGE, *zip(*out, strict=True))
 
     return run
 
 
+def _families(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between documents and the smallest document of one of their keys."""
+    keys = save(sets.select("id", "firsts").mapInArrow(_prefixes, _KEYS), "shingle-keys")
+    local = keys.where(F.col("hub") == NONE)
+    hubs = local.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last").select("key", "hub")
+    pairs = keys.where(F.col("hub") != NONE).select("doc", "hub").unionByName(local.drop("hub").join(hubs, "key").where("doc <> hub").select("doc", "hub"))
+    pairs = save(pairs.distinct(), "shingle-pairs")
+    counts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / FAMILY).alias("salts"))
+    salted = pairs.join(counts, "hub").select("hub", F.pmod(F.xxhash64("doc"), F.col("salts")).alias("salt"), "doc")
+    salted = save(salted, "shingle-pairs")
+    members = sets.select(F.col("id").alias("doc"), "members")
+    docs = salted.join(members, "doc").select("hub", "salt", F.lit(False).alias("is_hub"), "doc", "members")
+    own = counts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).join(members.withColumnRenamed("doc", "hub"), "hub")
+    both = docs.unionByName(own.select("hub", "salt", F.lit(True).alias("is_hub"), F.col("hub").alias("doc"), "members"))
+    both = both.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub"))
+    found = save(both.mapInArrow(_against_hub(percent), "a long, b long"), "shingle-edges")
+    drop(keys), drop(pairs), drop(salted)
+    return found
+
+
+def _labels(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of the sets that have a link."""
+    edges = _families(sets, percent)
+    first = components(edges)
+    drop(edges)
+    held = sets.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    held = save(held.select("id", "label", "n", "members", "firsts"), "shingle-sets-by-class")
+    open_keys = held.select("label", "firsts").mapInArrow(_classes, "key long, low long, high long").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key")
+    open_keys = save(open_keys, "shingle-open-keys")
+    rows = save(held.select("id", "n", "firsts").mapInArrow(_explode, "key long, id long, n long").join(open_keys, "key"), "shingle-open-rows")
+    tasks = _tiles(rows, percent).join(held.select("id", "label", "members", "firsts"), "id")
+    tasks = tasks.select("task", "key", "label", "side", "members", "firsts").repartition("task").sortWithinPartitions("task")
+    edges = save(tasks.mapInArrow(_verify(percent), "a long, b long"), "shingle-edges")
+    second = components(edges)
+    drop(edges), drop(held), drop(open_keys), drop(rows)
+    known = first.unionByName(second.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+    joined = known.join(second.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left")
+    out = save(joined.select("node", F.coalesce("further", "label").alias("label")), "shingle-labels")
+    drop(first), drop(second)
+    return out
+
+
 def similar(df: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of df: id, n_shingles, component_id. Ids are integers."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chunks = pack(docs, "shingle-chunks")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = min(20, max(8, (total // BUCKET).bit_length()))
+    bits = bits_for(total, BUCKET)
     texts = chunks.select("chunk", "ids", "nulls", "offsets", "text")
     with setting(spark, BATCH, "16"):
         sent = texts.mapInArrow(_send_entries(n, bits), _ENTRIES)
@@ -311,15 +420,9 @@ def similar(df: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id"
     # equal sets are one from here on: their smallest document
     first = taken.groupBy("p1", "p2", "n").agg(F.min("id").alias("id"))
     sets = save(taken.select("id", "n", "members", "firsts").join(first.select("id"), "id", "left_semi"), "shingle-sets")
-    hubs = save(sets.select("id", "firsts").mapInArrow(_prefixes, "key long, doc long, hub long").repartition("key").mapInArrow(_hubs, "a long, b long"), "shingle-hubs")
-    blocks = components(hubs)
-    drop(hubs)
-    held = blocks.select(F.col("node").alias("id"), F.col("label").alias("block"))
-    sets = save(sets.select("id", "n", "members").join(held, "id"), "shingle-sets-in-blocks")
-    edges = save(_tiles(sets, percent).repartition("task").sortWithinPartitions("task").mapInArrow(_verify(percent), "a long, b long"), "shingle-edges")
-    drop(sets), drop(blocks)
-    labels = components(edges)
-    drop(edges)
+    with setting(spark, BATCH, "1000"):
+        labels = _labels(sets, percent)
+    drop(sets)
     own = found.where("kind = 0").select("id", "n", "p1", "p2")
     # copies of a set share its class; any of them may be the one that took part, and any the smallest
     linked = own.where("n > 0 and id is not null").join(labels.withColumnRenamed("node", "id"), "id", "left")
@@ -332,18 +435,15 @@ def similar(df: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id"
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _tiles(sets: DataFrame, percent: int) -> DataFrame:
-    """(task, id, side, members): a small block is a task; of a larger one, each tile and each two tiles in the same or neighbouring bands."""
+def _tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: (key, id, n). (task, key, side, id): each two tiles of a key in the same or neighbouring size bands are a task."""
     cost = F.lit(64) + 8 * F.col("n")
-    blocks = sets.groupBy("block").agg(F.sum(cost).alias("block_cost"), F.count("*").alias("block_n")).where("block_n > 1")
-    sets = sets.join(save(blocks, "shingle-blocks"), "block")
-    whole = sets.where(F.col("block_cost") <= TILE).select(F.xxhash64("block").alias("task"), "id", F.lit(0).alias("side"), "members")
     band = F.floor(F.log("n") / F.lit(math.log(100.001 / percent))).cast("int")
-    large = sets.where(F.col("block_cost") > TILE).withColumn("band", band)
-    chunks = large.groupBy("block", "band").agg(F.ceil(F.sum(cost) * 2 / TILE).cast("int").alias("chunks"))
-    around = chunks.select("block", "chunks", F.explode(F.array(*(F.struct((F.col("band") + k).alias("band"), F.lit(-k).alias("at")) for k in (-1, 0, 1)))).alias("x")).select("block", "x.*", "chunks")
-    around = around.groupBy("block", "band").agg(*(F.max(F.when(F.col("at") == k, F.col("chunks"))).alias(c) for k, c in ((-1, "below"), (0, "here"), (1, "above")))).where("here is not null")
-    large = large.join(save(around, "shingle-tiles"), ["block", "band"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("here")).cast("int"))
+    rows = rows.withColumn("band", band)
+    counts = rows.groupBy("key", "band").agg(F.ceil(F.sum(cost) * 2 / TILE).cast("int").alias("tiles"))
+    around = counts.select("key", "tiles", F.explode(F.array(*(F.struct((F.col("band") + k).alias("band"), F.lit(-k).alias("at")) for k in (-1, 0, 1)))).alias("x")).select("key", "x.*", "tiles")
+    around = around.groupBy("key", "band").agg(*(F.max(F.when(F.col("at") == k, F.col("tiles"))).alias(c) for k, c in ((-1, "below"), (0, "here"), (1, "above")))).where("here is not null")
+    rows = rows.join(around, ["key", "band"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("here")).cast("int"))
     none = F.array().cast("array<struct<b:int,i:int,c:int,j:int,side:int>>")
 
     def pairs(count: str, make) -> Column:
@@ -358,5 +458,5 @@ def _tiles(sets: DataFrame, percent: int) -> DataFrame:
         pairs("above", lambda j: pair(b, i, b + 1, j, F.lit(0))),
         pairs("below", lambda j: pair(b - 1, j, b, i, F.lit(1))),
     )
-    tiled = large.select("block", "id", "members", F.explode(tasks).alias("t"))
-    return whole.unionByName(tiled.select(F.xxhash64("block", "t.b", "t.i", "t.c", "t.j").alias("task"), "id", F.col("t.side").alias("side"), "members"))
+    tiled = rows.select("key", "id", F.explode(tasks).alias("t"))
+    return tiled.select(F.xxhash64("key", "t.b", "t.i", "t.c", "t.j").alias("task"), "key", "id", F.col("t.side").alias("side"))

@@ -76,14 +76,46 @@ def test_links(spark, docs):
     compare(jaccard.similar(docs(rows).repartition(5)), rows)
 
 
-def test_links_in_tiles(spark, docs, monkeypatch):
+def test_links_in_small_tiles(spark, docs, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE", 8_000)
+    monkeypatch.setattr(jaccard, "FAMILY", 8)
     monkeypatch.setattr(jaccard, "BUCKET", 1)
     rng = random.Random(2)
     rows = family(rng, range(120), 50) + family(rng, range(200, 290), 30)
     compare(jaccard.similar(docs(rows).repartition(3)), rows)
 
 
+def test_documents_of_common_pieces(spark, docs):
+    """Texts made of the same passages in many ways: keys have documents of several classes, so tiles are used."""
+    rng = random.Random(7)
+    passages = [" ".join(f"p{k}w{i}" for i in range(20)) for k in range(24)]
+    rows = [(i, " ".join(rng.sample(passages, rng.choice([5, 6, 7])))) for i in range(150)]
+    rows += [(1000 + i, " ".join([*passages[:9], passages[9 + i % 3], *(["z"] * (i % 4))])) for i in range(40)]
+    compare(jaccard.similar(docs(rows).repartition(4)), rows)
+
+
+def test_one_huge_set_among_tiny_ones():
+    """Bitmaps are as long as their band needs."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    sets = [np.sort(rng.integers(0, 1 << 63, 2, dtype=np.uint64)) for _ in range(20_000)] + [np.unique(rng.integers(0, 1 << 63, 100_000, dtype=np.uint64))]
+    sets[7] = sets[5]
+    tracemalloc.start()
+    assert jaccard.link(list(range(len(sets))), sets, 75) == [(7, 5)]
+    assert tracemalloc.get_traced_memory()[1] < 300_000_000
+    tracemalloc.stop()
+
+
+def test_long_texts_and_clashing_columns(spark):
+    words = [f"w{i * 7919 % 100_003}" for i in range(1_100_000)]
+    text = " ".join(words)
+    rows = [(3, text, 1, "a"), (2, text + " end", 2, "b"), (1, "w" * 7_000_000, 3, None), (1, "w" * 7_000_000, 3, None)]
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string, n int, label string")).collect()
+    n = len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 1, 1), (1, 1, 1), (2, n + 1, 2), (3, n, 2)]
+
+
 def test_null_ids_and_empty_tables(spark, docs):
     text = "a b c d e f g h"
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(docs([(None, text), (5, text), (4, text), (None, None)])).collect()}
