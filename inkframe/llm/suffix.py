@@ -6,11 +6,13 @@ document with a smaller id. Strings are judged on the input; matches never cross
 1. *Seeds.* Each string of ``length`` bytes has a seed: the one of its ``k``-byte strings with the smallest
    hash (the leftmost, if equal). Equal strings have equal seeds at equal places, so it is enough to compare
    strings that share a seed; a seed stands for a run of strings that start one after the other.
-2. *Candidates.* Documents are packed into chunks of about a megabyte. Each chunk sends the distinct hashes of
-   its seeds to the bucket of their leading bits; a seed that is in two documents is a candidate there. The
-   answer is a bit for each seed.
-3. *Suffix sort.* Each chunk sends the text around its candidates, equal ones once, with the smallest id.
-   In a bucket, the suffixes that start at each string of a seed are sorted by mergesort. Two suffixes are
+2. *Candidates.* Documents are packed into chunks of some megabytes. Each chunk sends the distinct hashes of
+   its seeds to the bucket of their leading bits; a seed that is in two documents is a candidate there, and one that
+   many chunks have is a hot one. The answer is two bits for each seed.
+3. *Suffix sort.* Each chunk sends the text around its candidates, equal ones once, with the smallest id, to the seed's
+   bucket. The strings of a hot seed are sent one by one, each to the bucket of its own hash: what stands around a
+   frequent phrase differs, and is spread. A bucket is sorted a slice of hashes at a time.
+   The suffixes that start at each string of a seed are sorted by mergesort. Two suffixes are
    compared by prefix polynomial hashes: a binary search for the longest common extension takes about
    log(length) steps, and then one byte decides. Neighbours with a common extension of ``length`` are equal;
    their bytes are compared once more, so that no hash collision removes anything.
@@ -36,15 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import BATCH, batch_of, pack, rows_of
+from .chunks import BATCH, batch_of, bits_for, pack, rows_of, runs
 from .hashing import mix, powers, prefix_hashes
 from .scratch import save, setting
 
-#: Bytes of text in a bucket.
-BUCKET = 1_000_000
+#: Bytes of text in a bucket, and the bits of a hash that cut a bucket into slices that are sorted together.
+BUCKET, SLICES = 16_000_000, 4
+#: A seed in more chunks than this is hot.
+HOT = 64
 _LOW, _NONE = np.uint64(0xFFFFFFFF), np.uint32(0xFFFFFFFF)
-#: Bytes whose hashes are made together, so that they stay in a processor's cache.
-_STEP = 32_768
+#: Bytes whose hashes are made together, so that they stay in a processor's cache, and those whose seeds are cut out together.
+_STEP, _PART = 32_768, 64 * 32_768
 #: Odd multipliers of the seeds' hashes.
 _ODD = np.random.default_rng(50).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -70,23 +74,28 @@ def seeds(text: np.ndarray, offsets: np.ndarray, nulls: np.ndarray, length: int)
     """Of each seed: its place, the first and last start of its strings, its hash and its document's number."""
     k = seed_size(length)
     w, n = length - k + 1, max(0, len(text) - length + 1)
-    place = np.full(n + 1, _NONE, np.uint32)  # of the seed of the string at each byte
-    for a in range(0, n, _STEP):
-        z = min(n, a + _STEP)
-        least = _seed_hashes(text[a : z + length - 1], slice(0, z - a + w - 1), k) & ~_LOW
-        least |= np.arange(a, a + len(least), dtype=np.uint64)
-        size = 1
-        while 2 * size <= w:
-            least = np.minimum(least[:-size], least[size:])
-            size *= 2
-        place[a:z] = (np.minimum(least[: size - w], least[w - size :]) if size < w else least) & _LOW
-    for a, z, null in zip(offsets[:-1].tolist(), offsets[1:].tolist(), nulls.tolist(), strict=True):  # strings that would cross an end
-        place[a if null else max(a, z - length + 1) : z] = _NONE
-    at = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    stop = np.append(at[1:], n + 1) - 1
-    kept = place[at] != _NONE
-    first, place = at[kept], place[at[kept]].astype(np.int64)
-    return place, first, stop[kept], _seed_hashes(text, place, k), np.searchsorted(offsets, place, "right") - 1
+    found = [np.empty((3, 0), np.int64)]
+    for begin in range(0, n, _PART):
+        end = min(n, begin + _PART)
+        place = np.full(end - begin + 1, _NONE, np.uint32)  # of the seed of the string at each byte
+        for a in range(begin, end, _STEP):
+            z = min(end, a + _STEP)
+            least = _seed_hashes(text[a : z + length - 1], slice(0, z - a + w - 1), k) & ~_LOW
+            least |= np.arange(a, a + len(least), dtype=np.uint64)
+            size = 1
+            while 2 * size <= w:
+                least = np.minimum(least[:-size], least[size:])
+                size *= 2
+            place[a - begin : z - begin] = (np.minimum(least[: size - w], least[w - size :]) if size < w else least) & _LOW
+        for i in range(int(np.searchsorted(offsets, begin, "right")) - 1, int(np.searchsorted(offsets, end))):  # strings that would cross an end
+            a, z = int(offsets[i]), int(offsets[i + 1])
+            place[max(0, (a if nulls[i] else max(a, z - length + 1)) - begin) : max(0, min(z, end) - begin)] = _NONE
+        at = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        stop = np.append(at[1:], end - begin + 1) - 1
+        kept = place[at] != _NONE
+        found.append(np.stack((place[at[kept]].astype(np.int64), at[kept] + begin, stop[kept] + begin)))
+    place, first, last = np.concatenate(found, axis=1)
+    return place, first, last, _seed_hashes(text, place, k), np.searchsorted(offsets, place, "right") - 1
 
 
 class Chunk:
@@ -108,19 +117,30 @@ class Chunk:
         at = np.flatnonzero(new)
         self.entry, ids_ = entry[at], self.id[order]
         self.several = np.minimum.reduceat(ids_, at) != np.maximum.reduceat(ids_, at) if len(at) else np.empty(0, bool)
-        self.cut = np.searchsorted(self.entry >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
-
-    def buckets(self) -> np.ndarray:
-        return np.flatnonzero(self.cut[1:] > self.cut[:-1])
+        self.buckets = runs(self.entry >> np.uint64(32))
 
     def candidates(self, answers: list[tuple[int, bytes]]) -> None:
-        """Keeps the seeds that answers mark, and finds the classes of those with equal text around them."""
-        marked = np.zeros(len(self.entry), bool)
+        """Keeps the seeds that answers mark, those of hot seeds a string at a time, and finds the classes of those with equal text around them."""
+        marked, hot = np.zeros(len(self.entry), bool), np.zeros(len(self.entry), bool)
         for b, bits in answers:
-            a, z = self.cut[b], self.cut[b + 1]
-            marked[a:z] = np.unpackbits(np.frombuffer(bits, np.uint8), count=z - a)
+            a, z = self.buckets[b]
+            both = np.frombuffer(bits, np.uint8).reshape(2, -1)
+            marked[a:z], hot[a:z] = np.unpackbits(both[0], count=z - a), np.unpackbits(both[1], count=z - a)
         kept = np.flatnonzero(marked[self.of])
-        self.place, self.first, self.last, self.hash, self.id = self.place[kept], self.first[kept], self.last[kept], self.hash[kept], self.id[kept]
+        hot = hot[self.of[kept]]
+        strings = np.where(hot, self.last[kept] - self.first[kept] + 1, 1)
+        of = np.repeat(np.arange(len(kept)), strings)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(strings) - strings, strings)
+        kept, hot = kept[of], hot[of]
+        self.place, self.id, self.hash = self.place[kept], self.id[kept], self.hash[kept]
+        self.first = self.first[kept] + nth
+        self.last = np.where(hot, self.first, self.last[kept])
+        own = self.first[hot]
+        key = np.zeros(len(own), np.uint64)
+        for j, word in enumerate(_eights(self.text, own, np.full(len(own), self.length))):
+            key += word * _ODD[j % 60]
+            key ^= key >> np.uint64(29)
+        self.hash[hot] = mix(key)
         self.size = self.last - self.first + self.length
         self.same = classes(self.text, self.first, self.size, self.place - self.first, self.id)
         self.heads = np.flatnonzero(self.same == np.arange(len(kept)))
@@ -258,7 +278,7 @@ def covered(text: np.ndarray, size: np.ndarray, seed_at: np.ndarray, ids: np.nda
 # the steps, as functions of Arrow batches
 
 
-_SEEDS, _MARKS = "bucket int, chunk long, entries binary, several binary", "chunk long, bucket int, bits binary"
+_SEEDS, _MARKS = "bucket long, chunk long, entries binary, several binary", "chunk long, bucket long, bits binary"
 
 
 def _send_seeds(length: int, bits: int):
@@ -266,8 +286,7 @@ def _send_seeds(length: int, bits: int):
         for chunk, ids, nulls, offsets, text in rows_of(batches):
             c = Chunk(ids, nulls, offsets, text, length, bits)
             low = (c.entry & _LOW).astype(np.uint32)
-            cuts = [(int(b), slice(c.cut[b], c.cut[b + 1])) for b in c.buckets()]
-            yield batch_of(_SEEDS, [(b, chunk, low[s].tobytes(), np.packbits(c.several[s]).tobytes()) for b, s in cuts])
+            yield batch_of(_SEEDS, [(b, chunk, low[a:z].tobytes(), np.packbits(c.several[a:z]).tobytes()) for b, (a, z) in c.buckets.items()])
 
     return run
 
@@ -278,16 +297,17 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries = [np.frombuffer(r[2], np.uint32) for r in rows]
         several = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(e)) for r, e in zip(rows, entries, strict=True)]).astype(bool)
         _, of, n = np.unique(np.concatenate(entries), return_inverse=True, return_counts=True)
-        n[of[several]] = 2
+        hot = (n > HOT)[of]
+        n[of[several]] += 1
         marked, at, out = n[of] > 1, 0, []
         for r, e in zip(rows, entries, strict=True):
             if (bits := marked[at : at + len(e)]).any():
-                out.append((r[1], bucket, np.packbits(bits).tobytes()))
+                out.append((r[1], bucket, np.packbits(bits).tobytes() + np.packbits(hot[at : at + len(e)]).tobytes()))
             at += len(e)
         yield batch_of(_MARKS, out)
 
 
-_AROUND, _MASKS = "bucket int, chunk long, n int, around binary", "chunk long, bucket int, bits binary, nth binary"
+_AROUND, _MASKS = "bucket long, chunk long, n int, around binary", "chunk long, bucket long, bits binary, nth binary"
 
 
 def _send_text(length: int, bits: int):
@@ -300,13 +320,14 @@ def _send_text(length: int, bits: int):
                 continue
             zstd = zstandard.ZstdCompressor(level=1)
             bucket = (c.hash[h] >> np.uint64(64 - bits)).astype(np.int64)
+            part = (c.hash[h] >> np.uint64(64 - bits - SLICES)).astype(np.uint8) & np.uint8((1 << SLICES) - 1)
             order = np.argsort(bucket, kind="stable")
             cut = [*np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist(), len(order)]
             i = h[order]
             size = c.size[i]
             ends = np.concatenate(([0], np.cumsum(size)))
             around = c.text[np.repeat(c.first[i] - ends[:-1], size) + np.arange(ends[-1])]
-            columns = [c.id[i], order.astype(np.int32), size.astype(np.uint16), (c.place - c.first)[i].astype(np.uint8)]
+            columns = [c.id[i], order.astype(np.int32), size.astype(np.uint16), (c.place - c.first)[i].astype(np.uint8), part[order]]
             out = []
             for a, z in zip(cut, cut[1:]):
                 sent = b"".join([*(x[a:z].tobytes() for x in columns), around[ends[a] : ends[z]].tobytes()])
@@ -323,9 +344,15 @@ def _sort(length: int):
             columns = []
             for _, _, n, around in rows:
                 around = zstandard.decompress(around)
-                columns.append([np.frombuffer(around, kind, -1 if i == 4 else n, at * n) for i, (kind, at) in enumerate(((np.int64, 0), (np.int32, 8), (np.uint16, 12), (np.uint8, 14), (np.uint8, 15)))])
-            ids, nth, size, seed_at, text = (np.concatenate(x) for x in zip(*columns, strict=True))
-            mask = covered(text, size.astype(np.int64), seed_at.astype(np.int64), ids, length)
+                columns.append([np.frombuffer(around, kind, -1 if i == 5 else n, at * n) for i, (kind, at) in enumerate(((np.int64, 0), (np.int32, 8), (np.uint16, 12), (np.uint8, 14), (np.uint8, 15), (np.uint8, 16)))])
+            ids, nth, size, seed_at, part, text = (np.concatenate(x) for x in zip(*columns, strict=True))
+            size, seed_at = size.astype(np.int64), seed_at.astype(np.int64)
+            start, mask = np.cumsum(size) - size, np.zeros(len(ids), np.uint64)
+            for p in range(1 << SLICES):
+                i = np.flatnonzero(part == p)
+                ends = np.concatenate(([0], np.cumsum(size[i])))
+                own = text[np.repeat(start[i] - ends[:-1], size[i]) + np.arange(ends[-1])]
+                mask[i] = covered(own, size[i], seed_at[i], ids[i], length)
             at, out = 0, []
             for _, chunk, n, _ in rows:
                 s = slice(at, at + n)
@@ -412,10 +439,12 @@ def dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str
     if length < 16:
         raise ValueError("strings of 16 bytes at least")
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *keep)
+    # further columns travel under names of their own
+    others = [F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)]
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), *others)
     chunks = pack(docs, "suffix-chunks")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = min(20, max(8, (total // BUCKET).bit_length()))
+    bits = bits_for(total, BUCKET)
     by_bucket = lambda sent, f, columns: sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(f, columns)
     with setting(spark, BATCH, "16"):
         marks = save(by_bucket(chunks.select("chunk", "ids", "nulls", "offsets", "text").mapInArrow(_send_seeds(length, bits), _SEEDS), _mark, _MARKS), "suffix-marks")
@@ -424,6 +453,6 @@ def dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str
         masks = save(by_bucket(sent, _sort(length), _MASKS), "suffix-masks")
     answers = marks.withColumn("nth", F.lit(None).cast("binary")).unionByName(masks)
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits", "nth")).alias("marks")).hint("shuffle_hash")
-    fields = T._parse_datatype_string(_RESULT).fields + [docs.schema[c] for c in keep]
+    fields = T._parse_datatype_string(_RESULT).fields + docs.schema.fields[2:]
     out = chunks.drop("n_bytes").join(answers, "chunk", "left").mapInArrow(_remove(length, bits, whole_characters), T.StructType(fields))
-    return out.withColumnRenamed("id", id_col)
+    return out.toDF(id_col, *(f.name for f in fields[1 : -len(keep) or None]), *keep)

@@ -52,6 +52,27 @@ def test_random_texts(spark, docs):
     compare(suffix.dedup(docs(rows).repartition(5)), rows)
 
 
+def test_hot_seeds_are_sent_string_by_string(spark, docs, monkeypatch):
+    """A frequent phrase with other text around it in each document, seeds in many chunks, and a text over several parts."""
+    monkeypatch.setattr("inkframe.llm.chunks.CHUNK", 300)
+    monkeypatch.setattr(suffix, "HOT", 2)
+    monkeypatch.setattr(suffix, "_PART", 32_768)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    phrase, tails = word(40), [word(30) for _ in range(5)]
+    rows = [(i, word(rng.randrange(60)) + phrase + rng.choice(tails)[: rng.randrange(30)] + word(40)) for i in range(60)]
+    long = word(70_000)
+    rows += [(100, long), (99, long[20_000:50_000] + word(30)), (101, "x" + long[32_700:32_900])]
+    compare(suffix.dedup(docs(rows).repartition(6)), rows)
+
+
+def test_kept_columns_may_have_any_name(spark):
+    rows = [(1, "a" * 60, "p", 1.5), (2, "a" * 60, "q", None)]
+    got = suffix.dedup(spark.createDataFrame(rows, "doc_id long, text string, id string, `a.b` double"), keep=["id", "a.b"])
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "id", "a.b"]
+    assert sorted((r.doc_id, r.n_removed, r.id, r["a.b"]) for r in got.collect()) == [(1, 0, "p", 1.5), (2, 60, "q", None)]
+
+
 def test_other_lengths_and_none(spark, docs):
     rows = mixed(random.Random(5), 30)
     for length in (16, 90):
