@@ -9,11 +9,11 @@ gives each document the smallest id that its links reach. No link is lost:
    of the first n - ceil(percent * n / 100) + 1 of their shingles in common: their keys. The order puts frequent shingles
    last, so shared passages hardly count. Equal sets are one set, of their smallest document.
 2. *Families.* Each key has a smallest document. Its other documents are compared with that one first, a few hundred of them
-   in a task, and what links is one class from then on. A task replaces the rows of a key by its own smallest document
-   before they are sent, so that a hot key gives a row a task.
-3. *Tiles.* Keys whose documents are still of several classes are cut into tiles by size band (bands are 100 / percent
+   in a task, and what links is one class from then on.
+3. *Tiles.* Keys whose other documents are of several classes stay open. Those with the same smallest other document are a
+   group, of the documents that share such a key with it. Groups are cut into tiles by size band (bands are 100 / percent
    apart, so that links stay in a band or go to the next) and, where a band is too much for a task, by hash. A task has
-   two tiles of a key. A pair is compared at the smallest key that it has in common.
+   two tiles of a group.
 4. *Signatures.* In a comparison, each set sets a bit for the hash of each shingle, in bitmaps as long as their band needs;
    sets x and y whose bitmaps differ in d bits have at most (|x| + |y| - d) / 2 shingles in common. Only pairs that pass
    that bound, and are not yet connected, get an exact intersection of sorted arrays.
@@ -53,7 +53,6 @@ ROWS = 2_000_000
 FAMILY = 256
 #: Bytes of sets in a task.
 TILE = 24_000_000
-NONE = np.iinfo(np.int64).min
 
 
 def shingle_sets(buffer: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -176,48 +175,6 @@ def _select(n: int, percent: int, bits: int):
     return run
 
 
-_KEYS = "key long, doc long, hub long"
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the keys in a task: a row (key, smallest document), and the other documents with that one as hub."""
-    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("hub", pa.int64())])
-    firsts, docs, n = [], [], 0
-
-    def dealt() -> Iterator[pa.RecordBatch]:
-        key, doc, hub, new = _smallest(np.concatenate(firsts), np.concatenate(docs))
-        firsts.clear(), docs.clear()
-        pairs = np.unique(np.stack((doc[~new], hub[~new]), axis=1), axis=0)
-        yield _batch(schema, pairs[:, 0], pairs[:, 0], pairs[:, 1])
-        key, doc = key[new].view(np.int64), doc[new]
-        for at in range(0, len(key), 200_000):
-            k = key[at : at + 200_000]
-            yield _batch(schema, k, doc[at : at + 200_000], np.full(len(k), NONE))
-
-    for batch in batches:
-        for i, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            firsts.append(np.frombuffer(first, np.uint64))
-            docs.append(np.full(len(firsts[-1]), i, np.int64))
-            n += len(firsts[-1])
-            if n > ROWS:
-                yield from dealt()
-                n = 0
-    if firsts:
-        yield from dealt()
-
-
-def _smallest(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by key and document, each pair once: keys, documents, the key's smallest document, and whether the row is the first of its key."""
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    once = np.ones(len(key), bool)
-    once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    key, doc = key[once], doc[once]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    return key, doc, doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else doc, new
-
-
 def _bitmap(s: np.ndarray, bits: int) -> np.ndarray:
     out = np.zeros(bits, bool)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
@@ -238,13 +195,12 @@ def _passes(differ: np.ndarray | int, both: np.ndarray | int, percent: int):
     return (both - differ) // 2 * (100 + percent) >= percent * both
 
 
-def link(ids: list[int], sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, keys: list[np.ndarray] | None = None, key: int = 0) -> list[tuple[int, int]]:
-    """Edges that connect what the links among these sets connect. Sets with equal ids are one class already. side: only pairs
-    between side 0 and side 1 are looked at. keys: only pairs whose smallest common key is this one."""
+def link(ids: list[int], sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that connect what the links among these sets connect. Sets with equal ids are one class already. side: pairs
+    on one side are looked at only if it is side 0."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     ids, sets = [ids[i] for i in order], [sets[i] for i in order]
     side = None if side is None else np.asarray(side)[order]
-    keys = None if keys is None else [keys[i] for i in order]
     sizes = np.array([len(s) for s in sets])
     _, root = np.unique(np.array(ids), return_inverse=True)  # the class of each set; relabelled as classes join
     low = np.searchsorted(sizes, -(-sizes * percent // 100))
@@ -259,15 +215,14 @@ def link(ids: list[int], sets: list[np.ndarray], percent: int, side: np.ndarray
             j = np.arange(low[i], i)
             j = j[root[j] != root[i]]
             if side is not None:
-                j = j[side[j] != side[i]]
+                j = j[(side[j] != side[i]) | (side[j] == 0)]
             if not len(j):
                 continue
             differ = np.bitwise_count(bitmaps[j - below] ^ bitmaps[i - below]).sum(axis=1, dtype=np.int64)
             j = j[_passes(differ, sizes[i] + sizes[j], percent)][::-1]
             while len(j):
                 k = j[0]
-                own = keys is None or np.intersect1d(keys[i], keys[k], assume_unique=True)[:1] == key
-                if own and _links(sets[i], sets[k], percent):
+                if _links(sets[i], sets[k], percent):
                     found.append((ids[i], ids[k]))
                     root[root == root[i]] = root[k]
                     j = j[root[j] != root[k]]
@@ -329,19 +284,22 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, firsts) to a row for each key."""
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
+    """(id, label, n, firsts) to a row for each key."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("label", pa.int64()), ("n", pa.int64())])
     for batch in batches:
-        for i, n, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            key = np.frombuffer(first, np.int64)
-            yield _batch(schema, key, np.full(len(key), i), np.full(len(key), n))
+        firsts = batch.column(3).to_pylist()
+        each = np.array([len(f) // 8 for f in firsts], np.int64)
+        key = np.frombuffer(b"".join(firsts), np.int64)
+        for at in range(0, len(key), 200_000):
+            of = np.repeat(np.arange(len(firsts)), each)[at : at + 200_000]
+            yield _batch(schema, key[at : at + 200_000], *(batch.column(i).to_numpy()[of] for i in range(3)))
 
 
 def _verify(percent: int):
     def edges(group):
-        keys, labels, sides, members, firsts = zip(*group, strict=True)
+        labels, sides, members = zip(*group, strict=True)
         sets, side = [np.frombuffer(m, np.uint64) for m in members], np.array(sides)
-        return link(list(labels), sets, percent, side if side.any() else None, [np.frombuffer(f, np.uint64) for f in firsts], np.int64(keys[0]).view(np.uint64))
+        return link(list(labels), sets, percent, side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, group = None, []
@@ -360,13 +318,14 @@ def _verify(percent: int):
     return run
 
 
+_KEYS = "key long, id long, label long, n long"
+
+
 def _families(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between documents and the smallest document of one of their keys."""
-    keys = save(sets.select("id", "firsts").mapInArrow(_prefixes, _KEYS), "shingle-keys")
-    local = keys.where(F.col("hub") == NONE)
-    hubs = local.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last").select("key", "hub")
-    pairs = keys.where(F.col("hub") != NONE).select("doc", "hub").unionByName(local.drop("hub").join(hubs, "key").where("doc <> hub").select("doc", "hub"))
-    pairs = save(pairs.distinct(), "shingle-pairs")
+    keys = save(sets.select("id", "id", "n", "firsts").toDF("id", "label", "n", "firsts").mapInArrow(_explode, _KEYS).select("key", F.col("id").alias("doc")), "shingle-keys")
+    hubs = keys.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last").select("key", "hub")
+    pairs = save(keys.join(hubs, "key").where("doc <> hub").select("doc", "hub").distinct(), "shingle-pairs")
     counts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / FAMILY).alias("salts"))
     salted = pairs.join(counts, "hub").select("hub", F.pmod(F.xxhash64("doc"), F.col("salts")).alias("salt"), "doc")
     salted = save(salted, "shingle-pairs")
@@ -389,12 +348,18 @@ def _labels(sets: DataFrame, percent: int) -> DataFrame:
     held = save(held.select("id", "label", "n", "members", "firsts"), "shingle-sets-by-class")
     open_keys = held.select("label", "firsts").mapInArrow(_classes, "key long, low long, high long").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key")
     open_keys = save(open_keys, "shingle-open-keys")
-    rows = save(held.select("id", "n", "firsts").mapInArrow(_explode, "key long, id long, n long").join(open_keys, "key"), "shingle-open-rows")
-    tasks = _tiles(rows, percent).join(held.select("id", "label", "members", "firsts"), "id")
-    tasks = tasks.select("task", "key", "label", "side", "members", "firsts").repartition("task").sortWithinPartitions("task")
+    rows = save(held.select("id", "label", "n", "firsts").mapInArrow(_explode, _KEYS).join(open_keys, "key"), "shingle-open-rows")
+    # all have been compared with the smallest document, so that one is no longer looked at
+    smallest = rows.groupBy("key").agg(F.min("id").alias("hub"))
+    rest = rows.join(smallest, "key").where("id <> hub").drop("hub")
+    still = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("id").alias("group")).where("low < high")
+    still = save(still.select("key", "group"), "shingle-still-open")
+    rest = save(rest.join(still, "key").select("group", "id", "n").distinct(), "shingle-open-rows")
+    tasks = _tiles(rest, percent).join(held.select("id", "label", "members"), "id")
+    tasks = tasks.select("task", "label", "side", "members").repartition("task").sortWithinPartitions("task")
     edges = save(tasks.mapInArrow(_verify(percent), "a long, b long"), "shingle-edges")
     second = components(edges)
-    drop(edges), drop(held), drop(open_keys), drop(rows)
+    drop(edges), drop(held), drop(open_keys), drop(rows), drop(still), drop(rest)
     known = first.unionByName(second.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
     joined = known.join(second.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left")
     out = save(joined.select("node", F.coalesce("further", "label").alias("label")), "shingle-labels")
@@ -436,14 +401,15 @@ def similar(df: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id"
 
 
 def _tiles(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: (key, id, n). (task, key, side, id): each two tiles of a key in the same or neighbouring size bands are a task."""
+    """rows: (group, id, n). (task, side, id): each two tiles of a group in the same or neighbouring size bands are a task; where there is one tile
+    of a band and one of the next, the first is compared within itself in the same task."""
     cost = F.lit(64) + 8 * F.col("n")
     band = F.floor(F.log("n") / F.lit(math.log(100.001 / percent))).cast("int")
     rows = rows.withColumn("band", band)
-    counts = rows.groupBy("key", "band").agg(F.ceil(F.sum(cost) * 2 / TILE).cast("int").alias("tiles"))
-    around = counts.select("key", "tiles", F.explode(F.array(*(F.struct((F.col("band") + k).alias("band"), F.lit(-k).alias("at")) for k in (-1, 0, 1)))).alias("x")).select("key", "x.*", "tiles")
-    around = around.groupBy("key", "band").agg(*(F.max(F.when(F.col("at") == k, F.col("tiles"))).alias(c) for k, c in ((-1, "below"), (0, "here"), (1, "above")))).where("here is not null")
-    rows = rows.join(around, ["key", "band"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("here")).cast("int"))
+    counts = rows.groupBy("group", "band").agg(F.ceil(F.sum(cost) * 2 / TILE).cast("int").alias("tiles"))
+    around = counts.select("group", "tiles", F.explode(F.array(*(F.struct((F.col("band") + k).alias("band"), F.lit(-k).alias("at")) for k in (-1, 0, 1)))).alias("x")).select("group", "x.*", "tiles")
+    around = around.groupBy("group", "band").agg(*(F.max(F.when(F.col("at") == k, F.col("tiles"))).alias(c) for k, c in ((-1, "below"), (0, "here"), (1, "above")))).where("here is not null")
+    rows = rows.join(around, ["group", "band"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("here")).cast("int"))
     none = F.array().cast("array<struct<b:int,i:int,c:int,j:int,side:int>>")
 
     def pairs(count: str, make) -> Column:
@@ -453,10 +419,11 @@ def _tiles(rows: DataFrame, percent: int) -> DataFrame:
         return F.struct(b.cast("int").alias("b"), i.cast("int").alias("i"), c.cast("int").alias("c"), j.cast("int").alias("j"), side.cast("int").alias("side"))
 
     b, i = F.col("band"), F.col("i")
+    both = F.coalesce((F.col("here") == 1) & (F.col("above") == 1), F.lit(False))
     tasks = F.concat(
-        pairs("here", lambda j: pair(b, F.least(i, j), b, F.greatest(i, j), F.when(i > j, 1).otherwise(0))),
-        pairs("above", lambda j: pair(b, i, b + 1, j, F.lit(0))),
+        F.when(both, none).otherwise(pairs("here", lambda j: pair(b, F.least(i, j), b, F.greatest(i, j), F.when(i == j, 0).when(i < j, 2).otherwise(1)))),
+        pairs("above", lambda j: pair(b, i, b + 1, j, F.when(both, 0).otherwise(2))),
         pairs("below", lambda j: pair(b - 1, j, b, i, F.lit(1))),
     )
-    tiled = rows.select("key", "id", F.explode(tasks).alias("t"))
-    return tiled.select(F.xxhash64("key", "t.b", "t.i", "t.c", "t.j").alias("task"), "key", "id", F.col("t.side").alias("side"))
+    tiled = rows.select("group", "id", F.explode(tasks).alias("t"))
+    return tiled.select(F.xxhash64("group", "t.b", "t.i", "t.c", "t.j").alias("task"), "id", F.col("t.side").alias("side"))
