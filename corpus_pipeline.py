@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages. Each takes (spark, docs, sf_dir) and returns a DataFrame.
 
 ``run`` writes each stage's result as Parquet to the shared folder and rereads it for the next stage. All stages
-but the last return the columns of ``documents``. Null texts have no letter and go at the first stage; rows with
-null ids take part where no id is needed and otherwise stay.
+but the last return the columns of ``documents``. Null texts have no letter and go at the first stage. Rows are judged one
+by one: those with equal or null ids take part like all others, but that passages of rows with null ids are never taken out.
 """
 
 from __future__ import annotations
@@ -30,10 +30,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, keeps the document with the smallest id; rows that share that id stay with it."""
-    found = jaccard.similar(docs, percent=75, n=5)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(save(gone, "near-duplicates"), "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies, keeps one row, with the smallest id; null ids go last."""
+    rows = save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows-with-numbers")
+    found = jaccard.similar(rows.select("_row", "text"), percent=75, n=5, id_col="_row").select("_row", "component_id")
+    ids = found.join(rows.select("_row", "doc_id"), "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    first = save(ids.groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("component_id", F.col("first._row").alias("stays")), "near-duplicates-first")
+    gone = save(found.join(first, "component_id").where("_row <> stays").select("_row"), "near-duplicates")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,16 +50,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents without an overlap with an item of the benchmark."""
-    found = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"))
-    return decontaminate.clean(docs, save(found, "overlaps")).select(docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts' ids, and the digest of what they decode to."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encode, decode = bpe.encoder(path, public_tokenizers.PATTERN), bpe.decoder(path, public_tokenizers.PATTERN)
-    ids = docs.select("doc_id", "lang", "source", encode("text").alias("ids"))
-    return ids.select("*", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decode("ids"), 256).alias("decoded_sha256"))
+    both = bpe.round_trip(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = docs.select("doc_id", "lang", "source", both("text").alias("found")).select("doc_id", "lang", "source", "found.*")
+    return found.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def _shipped(stage: Callable) -> Callable[[SparkSession, DataFrame, str], DataFrame]:

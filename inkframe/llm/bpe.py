@@ -1,7 +1,7 @@
 """Operator 6: byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 ``encoder(path, pattern)`` and ``decoder(path, pattern)`` make column functions: text to array<int>,
-and array<int> to binary. Long texts are split at places where the pattern can't match across, so that
+and array<int> to binary; ``round_trip(path, pattern)`` makes one that does both, so that no text is encoded twice. Long texts are split at places where the pattern can't match across, so that
 the library never holds more than a bounded piece; the ids are those of the whole text.
 
 Null text: no ids (an empty array); empty text: the same. Null ids decode to no bytes. Ids that are not
@@ -73,16 +73,24 @@ def encode_text(enc, text: str) -> list[np.ndarray]:
     return out
 
 
+def _encode(enc, texts: pa.Array) -> pa.ListArray:
+    offsets, parts = [0], []
+    for text in texts:
+        got = encode_text(enc, text.as_py() or "")
+        parts += got
+        offsets.append(offsets[-1] + sum(map(len, got)))
+    ids = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
+
+
+def _decode(enc, ids: pa.Array) -> pa.Array:
+    return pa.array([enc.decode_bytes(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else b"" for x in ids], pa.binary())
+
+
 def encoder(path: str, pattern: str) -> Callable[[Column], Column]:
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        enc, offsets, parts = encoding(path, pattern), [0], []
-        for text in texts:
-            got = encode_text(enc, text.as_py() or "")
-            parts += got
-            offsets.append(offsets[-1] + sum(map(len, got)))
-        ids = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
+        return _encode(encoding(path, pattern), texts)
 
     return encode
 
@@ -90,7 +98,18 @@ def encoder(path: str, pattern: str) -> Callable[[Column], Column]:
 def decoder(path: str, pattern: str) -> Callable[[Column], Column]:
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
-        enc = encoding(path, pattern)
-        return pa.array([enc.decode_bytes(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else b"" for x in ids], pa.binary())
+        return _decode(encoding(path, pattern), ids)
 
     return decode
+
+
+def round_trip(path: str, pattern: str) -> Callable[[Column], Column]:
+    """Text to its ids and the bytes that these decode to."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        enc = encoding(path, pattern)
+        ids = _encode(enc, texts)
+        return pa.StructArray.from_arrays([ids, _decode(enc, ids)], names=["ids", "decoded"])
+
+    return both

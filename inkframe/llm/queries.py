@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, decontaminate, jaccard, langid, sharding, suffix, urls, warc, wordpiece
-from .scratch import shared_dir, table
+from .scratch import drop_path, save, shared_dir, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +39,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encode, decode = bpe.encoder(path, public_tokenizers.PATTERN), bpe.decoder(path, public_tokenizers.PATTERN)
-    ids = table(spark, sf_dir, "documents").select("doc_id", encode("text").alias("ids"))
-    joined = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(decode("ids"), 256).alias("decoded_sha256"))
+    both = bpe.round_trip(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = table(spark, sf_dir, "documents").select("doc_id", both("text").alias("found")).select("doc_id", "found.*")
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +54,13 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    records = warc.resolve_revisits(warc.read_archives(spark, path))
-    return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_id").cast("long").alias("refers_to"))
+    # the archives are parsed once; what they say without their payloads is kept
+    headers = save(warc.read_archives(spark, path).drop("payload"), "warc-headers")
+    drop_path(spark, path)
+    records = warc.resolve_revisits(headers)
+    return records.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").cast("long").alias("refers_to"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,10 @@ the format asks for, so a lost executor's part is simply written again. ``read_a
 archives as a stream of records, checks the digests of payloads, and joins revisit records to the
 responses that they refer to.
 
+Each record has an id of its own, made of its digest and key, and for rows that repeat both of their number as well; keys are
+kept in the header X-Key. Revisit records name their response's key, and its record id unless that row is repeated.
+A revisit record whose response isn't in the archives stays, without a length.
+
 Null payload: empty. Empty payloads are equal payloads unless min_bytes is 1 or more. Null ids: such a
 record is a response unless a record with an id has the same payload. Rows with the same id and payload
 are all responses. Null url: no target header; line ends in urls are percent-encoded. Further columns
@@ -16,6 +20,7 @@ are dropped. An empty table gives an empty archive.
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 from collections.abc import Iterator
 
@@ -28,7 +33,7 @@ from .scratch import save
 #: Fixed values of the format.
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-PARSED = "record_id string, record_type string, target string, payload_digest string, refers_to_id string, payload binary, payload_bytes long"
+PARSED = "record_id string, record_type string, target string, payload_digest string, refers_to string, key string, refers_to_key string, payload binary, payload_bytes long"
 
 
 def base32(hex_digest: Column) -> Column:
@@ -37,34 +42,49 @@ def base32(hex_digest: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def _urn(*parts: Column) -> Column:
+    h = F.md5(F.concat_ws("|", *parts))
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
+
+
 def resolve(df: DataFrame, min_bytes: int = 0, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
-    """id, url, payload, payload_bytes, payload_digest, and first_id: the id of the response, null in responses."""
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
-    records = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(F.encode(payload, "UTF-8")).alias("digest"))
-    headers = records.select("id", "digest", "payload_bytes").where(F.col("payload_bytes") >= min_bytes)
-    shared = headers.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("first_id").isNotNull()).select("digest", "first_id")
-    shared = save(shared, "warc-shared")  # read from there, Spark knows its size, and may split hot digests
-    joined = records.join(shared, "digest", "left")
+    """id, url, payload, payload_bytes, payload_digest, first_id: the id of the response, null in responses; and the record ids urn and first_urn."""
+    payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit(""))
+    records = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(F.encode(payload, "UTF-8")).alias("digest"))
+    # a row for each digest and id; read from there, Spark knows the sizes, and may split hot digests
+    headers = save(records.groupBy("digest", "id").agg(F.count("*").alias("n"), F.max("payload_bytes").alias("bytes")), "warc-headers")
+    repeated = headers.where("n > 1").select(F.col("digest").alias("repeated_digest"), F.col("id").alias("repeated_id"))
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n"))).alias("first")
+    shared = headers.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(first, F.sum("n").alias("all")).where((F.col("all") > 1) & F.col("first").isNotNull())
+    shared = save(shared.select("digest", F.col("first.id").alias("first_id"), (F.col("first.n") > 1).alias("first_repeats")), "warc-shared")
+    joined = records.join(shared, "digest", "left").join(save(repeated, "warc-repeated"), (F.col("digest") == F.col("repeated_digest")) & F.col("id").eqNullSafe(F.col("repeated_id")), "left")
     first = F.when(~F.col("id").eqNullSafe(F.col("first_id")) & (F.col("payload_bytes") >= min_bytes), F.col("first_id"))
-    return joined.select("id", "url", "payload", "payload_bytes", base32("digest").alias("payload_digest"), first.alias("first_id"))
+    nth = F.when(F.col("repeated_digest").isNotNull(), F.monotonically_increasing_id().cast("string"))
+    own = joined.select("id", "url", "payload", "payload_bytes", "digest", first.alias("first_id"), "first_repeats", nth.alias("nth"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    first_urn = F.when(F.col("first_id").isNotNull() & ~F.col("first_repeats"), _urn(F.col("digest"), text("first_id")))
+    return own.select("id", "url", "payload", "payload_bytes", base32(F.col("digest")).alias("payload_digest"), "first_id", _urn(F.col("digest"), text("id"), F.col("nth")).alias("urn"), first_urn.alias("first_urn"))
 
 
-def write_archives(df: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", **columns) -> None:
-    """Archives of df's records, one a task, in the folder path: gzip files with fresh headers."""
+def write_archives(df: DataFrame, path: str, date: str | None = None, content_type: str = "text/html", **columns) -> None:
+    """Archives of df's records, one a task, in the folder path: gzip files with fresh headers. date: now, if none is given."""
     r = resolve(df, **columns)
-    urn = lambda c: F.concat(F.lit("<urn:record:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     revisit = F.col("first_id").isNotNull()
     target = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     body = F.when(revisit, "").otherwise(F.col("payload"))
     header = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), urn(F.col("id"))),
+        F.concat(F.lit("WARC-Record-ID: "), F.col("urn")),
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), target),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), urn(F.col("first_id")))),
+        F.concat(F.lit("WARC-Refers-To: "), F.col("first_urn")),
         F.when(revisit, F.lit(f"WARC-Profile: {REVISIT_PROFILE}")),
+        F.concat(F.lit("X-Key: "), F.col("id").cast("string")),
+        F.concat(F.lit("X-Refers-To-Key: "), F.col("first_id").cast("string")),
+        F.lit(f"Content-Type: {content_type}"),
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *header), F.lit(END), body)
@@ -103,9 +123,8 @@ class _Records:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target", pa.string()), ("payload_digest", pa.string()), ("refers_to_id", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64())])
+    schema = pa.schema([(c.split()[0], {"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}[c.split()[1]]) for c in PARSED.split(", ")])
     records = _Records()
-    own = lambda urn: urn and (urn.removeprefix("<urn:record:").removesuffix(">") or None)
     for batch in batches:
         rows = []
         for file, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -113,7 +132,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kind, digest = header["WARC-Type"], header["WARC-Payload-Digest"].removeprefix("sha1:")
                 if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                     raise ValueError(f"record {header['WARC-Record-ID']} of {file} isn't what its digest says")
-                rows.append((own(header["WARC-Record-ID"]), kind, header.get("WARC-Target-URI"), digest, own(header.get("WARC-Refers-To")), payload if kind == "response" else None, len(payload) if kind == "response" else None))
+                own = (payload, len(payload)) if kind == "response" else (None, None)
+                rows.append((header["WARC-Record-ID"], kind, header.get("WARC-Target-URI"), digest, header.get("WARC-Refers-To"), header.get("X-Key"), header.get("X-Refers-To-Key"), *own))
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
@@ -124,9 +144,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Joins revisit records to the responses that they refer to: they get their payload's length, and its payload if the caller keeps that column."""
-    responses = records.where("record_type = 'response' and record_id is not null").select(F.col("record_id").alias("refers_to_id"), F.col("payload_digest").alias("found_digest"), F.col("payload_bytes").alias("found_bytes")).dropDuplicates(["refers_to_id", "found_digest"])
-    responses = save(responses, "warc-responses")
-    revisits = records.where("record_type = 'revisit'").join(responses, "refers_to_id", "left").where(F.col("found_digest").eqNullSafe(F.col("payload_digest")))
-    keep = ["record_id", "record_type", "target", "payload_digest", "refers_to_id", "payload_bytes"]
-    return records.where("record_type = 'response'").select(*keep).unionByName(revisits.withColumn("payload_bytes", F.col("found_bytes")).select(*keep))
+    """Joins revisit records by digest and key to the responses that they refer to, and gives them their payload's length. found:
+    whether the response is there; without it the length stays null."""
+    responses = records.where("record_type = 'response' and key is not null").groupBy("payload_digest", F.col("key").alias("refers_to_key")).agg(F.max("payload_bytes").alias("found_bytes"))
+    revisits = records.where("record_type = 'revisit'").join(save(responses, "warc-responses"), ["payload_digest", "refers_to_key"], "left")
+    keep = ["record_id", "record_type", "target", "payload_digest", "key", "refers_to_key"]
+    whole = records.where("record_type = 'response'").select(*keep, "payload_bytes", F.lit(True).alias("found"))
+    return whole.unionByName(revisits.select(*keep, F.col("found_bytes").alias("payload_bytes"), F.col("found_bytes").isNotNull().alias("found")))

@@ -1,6 +1,7 @@
 """Operator 7 against planted overlaps."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -33,21 +34,86 @@ def planted():
     return docs, [(i, " ".join(w).title()) for i, w in items], want
 
 
-def test_planted_overlaps_are_found(spark, docs, planted, monkeypatch):
+def test_planted_overlaps_are_found(spark, docs, planted):
     rows, items, want = planted
     rows = [*rows, (500, None), (501, ""), (None, items[3][1]), (502, items[98 - 68][1] + " x"), (7, items[4][1]), (7, items[4][1])]
-    test = spark.createDataFrame([(*i, 1) for i in [*items, (None, None), (77, "")]], "item_id long, text string, doc_id int")
-    for block in (decontaminate.BLOCK, 200):
-        monkeypatch.setattr(decontaminate, "BLOCK", block)
-        out = decontaminate.overlaps(docs(rows), test).collect()
-        got = {(r.doc_id, r.item_id) for r in out}
-        assert got == want | {(None, 3), (7, 4)}
-        assert sum((r.doc_id, r.item_id) == (7, 4) for r in out) == 2
-        by = {i: t for i, t in rows}
-        for r in out:
-            if r.doc_id not in (None, 7):
-                found = by[r.doc_id].encode()[r.doc_start : r.doc_stop].decode().split(", ")
-                assert len(found) == r.n_words and r.n_equal >= 0.75 * r.n_words
+    test = spark.createDataFrame([(*i, 1) for i in [*items, (None, None), (77, ""), (1004, items[4][1].lower())]], "item_id long, text string, doc_id int")
+    out = decontaminate.overlaps(docs(rows), test).collect()
+    got = {(r.doc_id, r.item_id) for r in out}
+    assert got == want | {(None, 3), (7, 4), (502, 98)}
+    assert sum((r.doc_id, r.item_id) == (7, 4) for r in out) == 2
+    assert {r.n_items for r in out if r.item_id == 4} == {2} and {r.n_items for r in out if r.item_id != 4} == {1}
+    by = {i: t for i, t in rows}
+    for r in out:
+        if r.doc_id not in (None, 7, 502):
+            found = by[r.doc_id].encode()[r.doc_start : r.doc_stop].decode().split(", ")
+            assert len(found) == r.n_words and r.n_equal >= 0.75 * r.n_words
+
+
+def brute(rows, items, least_item=5):
+    """Every document and item, at every diagonal and place at which a mask fits word for word."""
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    number = {}
+    hashed = lambda ws: np.array([number.setdefault(w, len(number) + 1) for w in ws], np.uint64)
+    masks = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
+    out = []
+    for d, text in rows:
+        h = hashed(words(text))
+        for i, t in items:
+            item = hashed(words(t))
+            if len(item) < max(1, least_item):
+                continue
+            pair = decontaminate.Pair(item, 13, 0.8, 0.75)
+            for diagonal in range(-len(h), len(item) + 1):
+                for at in range(len(h)):
+                    place = at + diagonal
+                    if len(item) < decontaminate.SHORT:
+                        fits = place == 0 and h[at : at + len(item)].tolist() == item.tolist()
+                    else:
+                        fits = 0 <= place and any(place + m[-1] < len(item) and at + m[-1] < len(h) and all(h[at + j] == item[place + j] for j in m) for m in masks)
+                    if fits:
+                        pair.hit(h, diagonal, at)
+            if pair.best:
+                out.append((d, i, *pair.best))
+    return sorted(out, key=lambda r: (r[0] is None, r))
+
+
+def test_against_brute_force(spark, docs):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["the", "of", "é", "x1", "A", "b", "c", "d"])
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 3, 5, 6, 7, 8, 12, 20])))) for i in range(14)]
+    items = list({t.lower(): (i, t) for i, t in items[::-1]}.values())
+    rows = []
+    for d in range(60):
+        text = [word() for _ in range(rng.randrange(40))]
+        copied = rng.choice(items)[1].split(" ")
+        for k in range(len(copied)):
+            if rng.random() < 0.15:
+                copied[k] = word()
+        rows.append((d if d % 7 else None, "; ".join(text[:9] + copied + text[9:])))
+    test = spark.createDataFrame(items, "item_id long, text string")
+    for least in (1, 5):
+        out = decontaminate.overlaps(docs(rows).repartition(3), test, least_item=least).collect()
+        got = sorted(((r.doc_id, r.item_id, r.n_words, r.n_equal, r.item_start) for r in out), key=lambda r: (r[0] is None, r))
+        want = [(d, i, n, e, at) for d, i, n, e, _, at in brute(rows, items, least)]
+        assert got == sorted(want, key=lambda r: (r[0] is None, r)) and got
+
+
+def test_two_of_fourteen_words(spark, docs):
+    """The fifth and tenth word of fourteen changed; six words copied as they are; a very long text."""
+    item = [f"w{i}" for i in range(14)]
+    changed = [w if i not in (4, 9) else "other" for i, w in enumerate(item)]
+    rows = [(1, " ".join(changed)), (2, "so a b c d e f it is"), (3, " ".join(f"z{i}" for i in range(1_000_000)) + " " + " ".join(item))]
+    test = spark.createDataFrame([(1, " ".join(item)), (2, "a b c d e f")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.n_words, r.n_equal) for r in decontaminate.overlaps(docs(rows), test).collect()) == [(1, 1, 14, 12), (2, 2, 6, 6), (3, 1, 14, 14)]
+
+
+def test_rows_are_cleaned_whatever_their_ids(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, item, 1), (None, "fine", 2), (5, "fine too", 3), (5, f"a {item} b", 4), (6, None, 5)]
+    test = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int")
+    assert sorted(r._row for r in decontaminate.clean(df, test).collect()) == [2, 3, 5]
 
 
 def test_none(spark, docs):
@@ -57,8 +123,6 @@ def test_none(spark, docs):
 
 
 def test_query_finds_whole_items(spark, sf):
-    import re
-
     words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
     items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     rows = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -96,15 +160,24 @@ def test_substitutions_at_fixed_places_are_found(length):
     patterns = [every(n, first) for n in (4, 5, 6, 9) for first in range(n)]
     patterns += [[int(i not in (a, b)) for i in range(length)] for a in range(1, min(length, 9) - 1) for b in range(a, min(length, 9) - 1)]
     hashed = lambda ws: np.array([hash(w) & (1 << 63) - 1 for w in ws], np.uint64)
-    test = decontaminate.items(np.array([1]), [hashed(words)])
-    known = np.ones(1, bool)
     for equal in patterns:
         if not accepted(equal):
             continue
         h = hashed([f"x{rng.random()}" for _ in range(5)] + [w if e else f"y{rng.random()}" for w, e in zip(words, equal)] + ["z"])
-        found = decontaminate.hits(h, np.array([0, len(h)]), test, known)
-        got = decontaminate.find(h, found.get(0, []), test, 13, 0.8, 0.75, 8)
-        assert got and got[0][1:] == (length, sum(equal), 5, 0), equal
+        assert search(h, hashed(words)) == (length, sum(equal), 5, 0), equal
+
+
+def search(h, item):
+    """A document's and an item's words, by seeds."""
+    by_seed = {}
+    for k in range(len(decontaminate.MASKS)):
+        for place, s in enumerate(decontaminate.seeds(item, k).tolist()):
+            by_seed.setdefault(s, []).append(place)
+    hits = sorted({(place - at, at) for k in range(len(decontaminate.MASKS)) for at, s in enumerate(decontaminate.seeds(h, k).tolist()) for place in by_seed.get(s, ())})
+    pair = decontaminate.Pair(item, 13, 0.8, 0.75)
+    for diagonal, at in hits:
+        pair.hit(h, diagonal, at)
+    return pair.best
 
 
 def longest(equal, least):
@@ -120,15 +193,11 @@ def test_no_overlap_is_lost_to_a_look_elsewhere(share):
         equal = [int(rng.random() >= share) for _ in range(length)]
         words = np.arange(1, length + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         h = np.where(equal, words, words + np.uint64(1))
-        test = decontaminate.items(np.array([1]), [words])
-        found = decontaminate.hits(h, np.array([0, length]), test, np.ones(1, bool)).get(0, [])
-        want = longest(equal, 13)
-        for order in (found, found[::-1]):
-            got = decontaminate.find(h, order, test, 13, 0.8, 0.75, 8)
-            assert bool(got) >= bool(want)
-            if got:
-                _, n, n_equal, at, place = got[0]
-                assert n >= want and at == place and n_equal == sum(equal[at : at + n]) >= 0.75 * n and equal[at] and equal[at + n - 1]
+        want, got = longest(equal, 13), search(h, words)
+        assert bool(got) >= bool(want)
+        if got:
+            n, n_equal, at, place = got
+            assert n >= want and at == place and n_equal == sum(equal[at : at + n]) >= 0.75 * n and equal[at] and equal[at + n - 1]
 
 
 def test_longest_stretch():

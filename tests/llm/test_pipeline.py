@@ -71,12 +71,12 @@ def test_tokens_decode_to_the_text(stages):
 
 def test_odd_rows(spark, sf):
     text = "the quick brown fox jumps over the lazy dog and runs away " * 3
-    rows = [(1, text, None, None, 1), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, "42 !!", "en", "s", 5), (5, text, "en", None, 1), (None, text + " x", "en", "s", 9), (6, "é" * 300, "fr", "s", 300), (7, "a b " + "é" * 299, "fr", "s", 300)]
+    rows = [(1, text, None, None, 1), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, "42 !!", "en", "s", 5), (5, text, "en", None, 1), (None, text + " x", "en", "s", 9), (6, "é" * 300, "fr", "s", 300), (7, "a b " + "é" * 299, "fr", "s", 300), (None, "nothing here was said before by the others", "en", "s", 9)]
     docs = spark.createDataFrame(rows, SCHEMA)
     for _, stage in p.STAGES:
         docs = p.save(stage(spark, docs, sf), "odd")
     got = docs.collect()
-    assert {r.doc_id for r in got} == {1, None, 6, 7}
+    assert sorted(str(r.doc_id) for r in got) == ["1", "6", "7", "None"]
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in p.STAGES:
         empty = p.save(stage(spark, empty, sf), "none")

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections import defaultdict
@@ -23,17 +24,26 @@ def archive(spark, rows, **options):
 def test_archives_round_trip(spark):
     path = archive(spark, PAGES)
     records = warc.read_archives(spark, path).collect()
-    assert len(records) == len(PAGES)
-    by = {r.record_id: r for r in records if r.record_id}
-    assert by["5"].record_type == "revisit" and by["5"].refers_to_id == "2" and by["5"].target == "http://a/%0D%0A"
-    assert by["9"].refers_to_id == "1" and by["1"].payload == b""
+    assert len(records) == len(PAGES) == len({r.record_id for r in records})
+    assert all(re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", r.record_id) for r in records)
+    by = {r.key: r for r in records if r.key}
+    assert by["5"].record_type == "revisit" and by["5"].refers_to_key == "2" and by["5"].target == "http://a/%0D%0A"
+    assert by["5"].refers_to is None  # the response is a repeated row
+    assert by["9"].refers_to_key == "1" and by["9"].refers_to == by["1"].record_id and by["1"].payload == b""
     for i, _, html in PAGES:
         if i in (7, 8, 3, 11):
             assert bytes(by[str(i)].payload) == html.encode()
-    assert sorted(r.record_type for r in records if not r.record_id) == ["response", "revisit"]
-    out = {(r.record_id, r.record_type): r for r in warc.resolve_revisits(warc.read_archives(spark, path)).collect()}
-    assert out["5", "revisit"].payload_bytes == 1 and out["9", "revisit"].payload_bytes == 0
-    assert len([k for k in out]) == len({(r.record_id, r.record_type) for r in records})
+    assert sorted(r.record_type for r in records if not r.key) == ["response", "revisit"]
+    out = warc.resolve_revisits(warc.read_archives(spark, path)).collect()
+    assert len(out) == len(PAGES) and all(r.found for r in out)
+    sizes = {r.key: r.payload_bytes for r in out if r.record_type == "revisit"}
+    assert sizes["5"] == 1 and sizes["9"] == 0
+
+
+def test_revisits_without_their_response_stay(spark):
+    records = warc.read_archives(spark, archive(spark, PAGES[:4])).where("key <> '1' or key is null")
+    lost = [r for r in warc.resolve_revisits(records).collect() if not r.found]
+    assert [(r.key, r.refers_to_key, r.payload_bytes) for r in lost] == [("9", "1", None)]
 
 
 def test_archives_hold_whole_records(spark):
@@ -45,7 +55,7 @@ def test_archives_hold_whole_records(spark):
 
 
 def test_min_bytes_and_empty(spark):
-    kinds = {r.record_id: r.record_type for r in warc.read_archives(spark, archive(spark, PAGES[:4], min_bytes=1)).collect()}
+    kinds = {r.key: r.record_type for r in warc.read_archives(spark, archive(spark, PAGES[:4], min_bytes=1)).collect()}
     assert kinds["9"] == kinds["1"] == "response" and kinds["5"] == "revisit"
     assert warc.resolve_revisits(warc.read_archives(spark, archive(spark, []))).count() == 0
 
