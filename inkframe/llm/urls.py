@@ -2,6 +2,8 @@
 
 ``judge`` gives each page the verdict of the longest rule that fits its URL. A rule is (verdict, host and path),
 as in ("block", "example.org/es/"); it fits its host and all subdomains, if the URL's path starts with its path.
+Rules are a table, however long: each URL is joined by the ends of its host and, for the lengths that rules of such a host
+have, the starts of its path. Of equally long rules that fit the first counts; of equal rules likewise.
 
 Pages that no rule fits get the verdict of their host. The rules' verdicts are the seeds: a host is trusted
 and blocked by the shares of its pages that rules allow and block. Over the edges between hosts (links in the
@@ -17,7 +19,7 @@ their own. An empty table gives no rows. Further columns are dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import save
@@ -27,8 +29,6 @@ URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'<>\s]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Rules that are looked at for each page, one after the other.
-MOST_RULES = 1_000
 #: Rounds between two tables that cut the lineage.
 KEPT = 4
 
@@ -43,17 +43,30 @@ def _split(rule: str) -> tuple[str, str]:
     return host, slash + path
 
 
-def rule_of(rules: list[tuple[str, str]], host: Column, path: Column) -> Column:
-    """The longest rule that fits as struct(rule, verdict), else null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{MOST_RULES} rules at most")
-    out = None
-    for verdict, rule in sorted(rules, key=lambda r: -len(r[1])):
-        h, p = _split(rule)
-        fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
-        found = F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))
-        out = F.when(fits, found) if out is None else out.when(fits, found)
-    return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
+def rules_table(spark: SparkSession, rules: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """(host, path, rule, verdict, nth), each host and path once. rules: pairs of verdict and rule, or a table of such columns
+    (and nth, if their order matters)."""
+    if isinstance(rules, DataFrame):
+        rows = rules.select("verdict", "rule", F.col("nth").cast("long") if "nth" in rules.columns else F.monotonically_increasing_id().alias("nth"))
+    else:
+        rows = spark.createDataFrame([(v, r, i) for i, (v, r) in enumerate(rules)], "verdict string, rule string, nth long")
+    host = F.substring_index("rule", "/", 1)
+    rows = rows.select(host.alias("host"), F.substring(F.col("rule"), F.length(host) + 1, F.length("rule")).alias("path"), "rule", "verdict", "nth")
+    return rows.groupBy("host", "path").agg(F.min(F.struct("nth", "rule", "verdict")).alias("r")).select("host", "path", "r.rule", "r.verdict", "r.nth")
+
+
+def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls: (host, path). (host, path, rule, verdict) of those that a rule fits, each once."""
+    lengths = rules.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))
+    labels = F.split("host", r"\.", -1)
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    known = urls.where("host <> ''").distinct().select("host", "path", F.explode(ends).alias("end"))
+    # few hosts have rules, so most ends go here; a rule may only be as long as the path
+    known = known.join(lengths.withColumnRenamed("host", "end"), "end").select("host", "path", "end", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    known = known.withColumn("start", F.substring(F.col("path"), F.lit(1), F.col("n")))
+    fits = known.join(rules.select(F.col("host").alias("end"), F.col("path").alias("start"), "rule", "verdict", "nth"), ["end", "start"])
+    best = fits.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("least"), "nth", "rule", "verdict")).alias("r"))
+    return best.select("host", "path", "r.rule", "r.verdict")
 
 
 def edges(pages: DataFrame) -> DataFrame:
@@ -83,17 +96,19 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return rank.groupBy("host").agg(pick(True).alias("trust_score"), pick(False).alias("distrust_score")).withColumnsRenamed({"trust_score": "trust", "distrust_score": "distrust"})
 
 
-def judge(df: DataFrame, rules: list[tuple[str, str]] = RULES, threshold: float = 1.0, damping: float = 0.85, rounds: int = 8, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(df: DataFrame, rules: list[tuple[str, str]] | DataFrame = RULES, threshold: float = 1.0, damping: float = 0.85, rounds: int = 8, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row for each row of df: id, host, path, rule, verdict, and the host's trust and distrust."""
-    host, path = host_and_path(F.col(url_col))
-    pages = df.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
-    ruled = pages.select("id", "host", "path", rule_of(rules, F.col("host"), F.col("path")).alias("r")).select("id", "host", "path", "r.*")
+    host, path = host_and_path(F.col(f"`{url_col}`"))
+    pages = df.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path"), F.col(f"`{html_col}`").alias("html"))
+    urls = pages.select("id", "host", "path")
+    found = save(ruled(urls.select("host", "path"), rules_table(df.sparkSession, rules)), "ruled-urls")
+    judged = urls.join(found, ["host", "path"], "left")
     share = lambda v: (F.count(F.when(F.col("verdict") == v, 1)) / F.count("*")).cast("double")
-    seeds = save(ruled.groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked")), "host-shares")
+    seeds = save(judged.groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked")), "host-shares")
     links = save(edges(pages), "host-links")
     scores = save(propagate(links, seeds.where("trusted > 0 or blocked > 0"), damping, rounds), "host-scores")
     none = F.lit(0.0)
-    out = ruled.join(scores, "host", "left").select("id", "host", "path", "rule", "verdict", F.coalesce("trust", none).alias("trust"), F.coalesce("distrust", none).alias("distrust"))
+    out = judged.join(scores, "host", "left").select("id", "host", "path", "rule", "verdict", F.coalesce("trust", none).alias("trust"), F.coalesce("distrust", none).alias("distrust"))
     own = F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "trust", "distrust")
 

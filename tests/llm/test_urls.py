@@ -94,3 +94,17 @@ def test_sql_says_the_same():
 def test_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     assert sorted((tuple(r) for r in queries.op4_url_filter(spark, sf).collect()), key=str) == plain(rows)
+
+
+def test_a_hundred_thousand_rules(spark):
+    """The longest of many rules, of one host with many paths and of many hosts; very long urls; the first of equal rules."""
+    rules = [("block", f"hot.org/{i}/") for i in range(50_000)] + [("allow", f"h{i}.net/") for i in range(50_000)] + [("allow", "hot.org/7/good"), ("block", "org/"), ("allow", "org/"), ("allow", "x.h5.net/a"), ("block", "xx.h5.net/")]
+    pages = [(i, f"http://www.hot.org/{i * 3}/x{'y' * (i % 5)}", None) for i in range(2_000)] + [(3_000, "https://hot.org/7/good/1", None), (3_001, "http://a.x.h5.net/abc", None), (3_002, "http://h49999.net/" + "p" * 300_000, None), (3_003, "http://hot.org", None), (3_004, "http://xx.h5.net/", None), (3_005, "http://other.org/1", None)]
+    df = spark.createDataFrame([(*p, "v") for p in pages], "page_id long, url string, html string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(df, rules).collect()}
+    assert len(got) == len(pages)
+    assert all(got[i] == (f"hot.org/{3 * i}/", "block") for i in range(2_000))
+    assert got[3_000] == ("hot.org/7/good", "allow") and got[3_001] == ("x.h5.net/a", "allow") and got[3_002] == ("h49999.net/", "allow")
+    assert got[3_003][0] is None and got[3_004] == ("xx.h5.net/", "block") and got[3_005] == ("org/", "block")
+    table = spark.createDataFrame(rules, "verdict string, rule string")
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.judge(df, table).collect()}.keys() == got.keys()
