@@ -91,6 +91,12 @@ def test_shards(spark, docs):
     check_shards(rows, sharding.shard(docs(rows), shards=7, rows_a_range=50).collect(), 7)
 
 
+def test_equal_rows_and_long_texts(spark, docs):
+    """A third of all rows has the same text and no id; ranges are few."""
+    rows = [(None, "the same")] * 700 + [(i, f"t{i}") for i in range(1_300)] + [(5_000, "x" * 2_000_000)]
+    check_shards(rows, sharding.shard(docs(rows).repartition(5), shards=6, rows_a_range=20).collect(), 6)
+
+
 def test_shards_of_little(spark, docs):
     assert sharding.shard(docs([])).collect() == []
     assert [(r.slot, r.doc_id) for r in sharding.shard(docs([(1, "a")])).collect()] == [(0, 1)]
