@@ -1,10 +1,12 @@
 """Operator 2: language identification of mixed-language text.
 
 ``train`` counts, over all labelled rows, the character trigrams of words and the scripts of letters by
-language. ``predict`` gives each word of a whole text a score for each language: the sum of the
+language. Words are runs of letters and combining marks with a letter in them. ``predict`` gives each word of a whole text a score for each language: the sum of the
 logarithms of its trigrams' probabilities. The script of a word (a table of code point ranges) narrows the
 candidates to the languages that use it. Viterbi's algorithm over the words, with a penalty for each
-switch of language, then labels spans; the language with the most letters is the text's.
+switch of language, then labels spans; the language with the most letters is the text's. Its score is the share of
+all letters that are in its spans, in words of a script that a learned language uses: a text in a script that was never
+learned gets the likeliest language, with score 0.
 
 The model has a fixed number of counts for each language, so its size depends on the number of languages
 only. Viterbi's recursion runs over all texts of a batch at once; long texts are cut into stretches whose best
@@ -12,11 +14,13 @@ paths between each two languages are found side by side and then chained, which
 
 Null text and text without a letter: ``und``, score 0, no spans. Rows with null labels are not learned from.
 With nothing learned every text is ``und``. Ties go to the first language in order. Words have no length
-limit. Repeated rows and ids that are null or equal are rows of their own.
+limit. Repeated rows and ids that are null or equal are rows of their own. Columns of the names that ``predict`` adds are
+replaced; all others stay as they are.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -61,6 +65,8 @@ USES = 0.002
 #: Characters of texts that are looked at together, and words of a stretch.
 PART, STRETCH = 3_000_000, 256
 UNKNOWN = "und"
+#: More labels than this aren't languages: the model's size would have no bound.
+MOST_LABELS = 1_000
 
 
 class Model(NamedTuple):
@@ -70,9 +76,10 @@ class Model(NamedTuple):
 
 
 @cache
-def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: whether it is a letter, its lower case, its script (0: another)."""
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: whether it is a letter, whether a combining mark, its lower case, its script (0: another)."""
     letter = np.array([chr(i).isalpha() for i in range(0x110000)])
+    mark = np.array([unicodedata.category(chr(i))[0] == "M" for i in range(0x110000)])
     lower = np.arange(0x110000, dtype=np.uint32)
     for i in np.flatnonzero(letter).tolist():
         if len(c := chr(i).lower()) == 1:
@@ -81,14 +88,15 @@ def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k, (_, *ranges) in enumerate(SCRIPTS):
         for a, b in ranges:
             script[a : b + 1] = k + 1
-    return letter, lower, script
+    return letter, mark, lower, script
 
 
 class Words(NamedTuple):
-    """Of some texts: the letters' slots and scripts, and by word its first letter, end, place in characters and text."""
+    """Of some texts: the letters' and marks' slots and scripts, and by word its script, first letter, size, place in characters and text."""
 
     slot: np.ndarray
     script: np.ndarray
+    of_word: np.ndarray
     first: np.ndarray
     size: np.ndarray
     place: np.ndarray
@@ -96,13 +104,13 @@ class Words(NamedTuple):
 
 
 def words(texts: list[str | None]) -> Words:
-    letter, lower, script = _characters()
+    letter, mark, lower, script = _characters()
     joined = "\n".join(t or "" for t in texts) + "\n"
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t or "") + 1 for t in texts])
-    is_letter = letter[c]
-    at = np.flatnonzero(is_letter)
-    low = np.where(is_letter, lower[c], 0)
+    inside = letter[c] | mark[c]
+    at = np.flatnonzero(inside)
+    low = np.where(inside, lower[c], 0)
     before, after = np.where(at > 0, low[at - 1], 0), low[at + 1]  # the last is a line end
     h = before * np.uint32(0x9E3779B1) + low[at] * np.uint32(0x85EBCA77) + after * np.uint32(0xC2B2AE3D)
     h ^= h >> np.uint32(15)
@@ -110,9 +118,18 @@ def words(texts: list[str | None]) -> Words:
     new = np.ones(len(at), bool)
     new[1:] = np.diff(at) > 1
     first = np.flatnonzero(new)
-    place = at[first]
+    size = np.diff(first, append=len(at))
+    letters = np.append(np.flatnonzero(letter[c[at]]), len(at))
+    leading = letters[np.searchsorted(letters, first)]
+    real = leading < first + size  # runs of marks alone aren't words
+    held = np.repeat(real, size)
+    of_word = script[c[at[leading[real]]]]
+    size, place, at = size[real], at[first[real]], at[held]
+    own = script[c[at]]
+    own = np.where(mark[c[at]] & (own == 0), np.repeat(of_word, size), own)  # marks of all scripts go with their word
     text = np.searchsorted(ends, place, "right")
-    return Words((h >> np.uint32(16)).astype(np.uint16), script[c[at]], first, np.diff(first, append=len(at)), place - (ends - [len(t or "") + 1 for t in texts])[text], text)
+    starts = ends - [len(t or "") + 1 for t in texts]
+    return Words((h[held] >> np.uint32(16)).astype(np.uint16), own, of_word, np.cumsum(size) - size, size, place - starts[text] if len(text) else place, text)
 
 
 def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -146,8 +163,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(df: DataFrame, text_col: str = "text", label_col: str = "lang") -> Model:
-    """Learns from all rows with a label. The driver gets SLOTS counts a language at most."""
-    rows = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    """Learns from all rows with a label. The driver gets SLOTS counts for each of MOST_LABELS languages at most."""
+    label, text = F.col(f"`{label_col}`").cast("string"), F.col(f"`{text_col}`")
+    rows = df.where(label.isNotNull() & text.isNotNull()).select(label.alias("label"), text.alias("text"))
+    if rows.select("label").distinct().limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels: {label_col} isn't a column of languages")
     found = rows.mapInArrow(_count, "label string, slot int, n long").groupBy("label", "slot").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(found["label"].to_pylist()))
     counts = np.zeros((len(languages), SLOTS + len(SCRIPTS) + 1))
@@ -163,7 +183,7 @@ def word_scores(w: Words, model: Model) -> np.ndarray:
     s = np.empty((len(w.first), len(model.languages)), np.float32)
     for k in range(len(model.languages)):
         s[:, k] = np.add.reduceat(model.scores[k][w.slot], w.first)
-    uses = model.uses[:, w.script[w.first]].T
+    uses = model.uses[:, w.of_word].T
     s = np.where(uses | ~uses.any(axis=1, keepdims=True), s, np.float32(-1e6))
     return s - s.max(axis=1, keepdims=True)
 
@@ -264,7 +284,8 @@ def label(texts: list[str | None], model: Model, penalty: float) -> tuple[list[s
     letters = np.bincount(w.text * m + best, w.size, minlength=len(texts) * m).reshape(-1, m)
     top = letters.argmax(axis=1)
     total = letters.sum(axis=1)
-    score = np.where(total > 0, letters.max(axis=1) / np.maximum(total, 1), 0.0)
+    known = np.bincount(w.text * m + best, w.size * model.uses[:, w.of_word].any(axis=0), minlength=len(texts) * m).reshape(-1, m)
+    score = np.where(total > 0, known[np.arange(len(texts)), top] / np.maximum(total, 1), 0.0)
     new = np.ones(len(best), bool)
     new[1:] = (best[1:] != best[:-1]) | (w.text[1:] != w.text[:-1])
     a = np.flatnonzero(new)
@@ -290,6 +311,9 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", penalty: float
         spans = pa.concat_arrays(spans) if spans else pa.array([], pa.list_(_SPAN))
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64()), spans], names=["lang_pred", "score", "spans"])
 
-    found = run(F.col(text_col))
     kept = [c for c in df.columns if c not in ("lang_pred", "score", "spans")]
-    return df.select(*kept, found.alias("_found")).select(*kept, "_found.lang_pred", "_found.score", "_found.spans")
+    found = "_found"
+    while found in kept:
+        found += "_"
+    kept = [F.col(f"`{c}`") for c in kept]
+    return df.select(*kept, run(F.col(f"`{text_col}`")).alias(found)).select(*kept, f"{found}.lang_pred", f"{found}.score", f"{found}.spans")

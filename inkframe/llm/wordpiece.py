@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .bpe import BEFORE_SPACE, pieces
 
 WORD = re.compile(r"\w+|[^\w\s]")
-#: Entries of a worker's memo of words; it starts anew beyond that.
-MEMO = 200_000
+#: Entries of a worker's memo of words, and characters of a word that goes there; it starts anew beyond that.
+MEMO, SHORT = 200_000, 64
 COUNTS = "struct<n_words: bigint, n_tokens: bigint, n_unknown: bigint>"
 
 
@@ -117,10 +117,12 @@ def count_text(automaton: Automaton, memo: dict[str, tuple[int, int]], text: str
         for word, n in Counter(WORD.findall(piece)).items():
             k = memo.get(word)
             if k is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
                 covered = automaton.count(word)
-                k = memo[word] = (covered, 0) if covered else automaton.cover(word)
+                k = (covered, 0) if covered else automaton.cover(word)
+                if len(word) <= SHORT:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[word] = k
             n_words += n
             n_tokens += n * k[0]
             n_unknown += n * k[1]

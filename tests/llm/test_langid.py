@@ -1,9 +1,14 @@
 """Operator 2: held-out accuracy, and the Viterbi recursion against all paths' best."""
 
+import math
+import unicodedata
 import zlib
+from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkframe.llm import langid, queries
 
@@ -65,6 +70,85 @@ def test_nothing_learned_and_no_rows(spark, docs):
     assert langid.predict(docs([]), none).collect() == []
 
 
+def test_marks_unlearned_scripts_and_any_columns(spark, model):
+    rows = [(1, "αβγ δεζ", "a", 1.0), (2, "e\u0301te\u0301 \u0301", "b", None), (3, "\u0301\u0302", "c", 2.0), (4, "bada αβγδ", None, 3.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _found string, `a.b` double")
+    out = langid.predict(df, model).collect()
+    assert [(r.doc_id, r._found, r["a.b"]) for r in out] == [(i, f, x) for i, _, f, x in rows]
+    assert out[0].score == 0 and out[0].lang_pred in TEXTS  # no script of a learned language
+    assert [(s.start, s.stop) for s in out[1].spans] == [(0, 5)] and out[1].score == 1
+    assert out[2].lang_pred == "und" and out[3].score == 0.5
+    many = spark.range(langid.MOST_LABELS + 1).select(F.lit("x").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError, match="labels"):
+        langid.train(many)
+
+
+def plain(rows, learned, penalty=9.0):
+    """The whole query, a word at a time: rows and learned are (text, lang)."""
+    script = lambda c: next((k + 1 for k, (_, *r) in enumerate(langid.SCRIPTS) if any(a <= ord(c) <= b for a, b in r)), 0)
+    is_mark = lambda c: unicodedata.category(c)[0] == "M"
+
+    @cache
+    def slots(word):
+        low = [0, *(ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in word), 0]
+        out = []
+        for a, b, c in zip(low, low[1:], low[2:]):
+            h = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % (1 << 32)
+            h ^= h >> 15
+            out.append(h * 0x2C1B3C6D % (1 << 32) >> 16)
+        return out
+
+    def words(text):
+        out, run = [], ""
+        for c in (text or "") + " ":
+            if c.isalpha() or is_mark(c):
+                run += c
+            else:
+                out += [run] if any(x.isalpha() for x in run) else []
+                run = ""
+        return out
+
+    first = lambda word: script(next(c for c in word if c.isalpha()))
+    counts, scripts = defaultdict(Counter), defaultdict(Counter)
+    for text, lang in learned:
+        for w in words(text):
+            counts[lang].update(slots(w))
+            scripts[lang].update(first(w) if is_mark(c) and not script(c) else script(c) for c in w)
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) + 0.02 * langid.SLOTS for x in langs}
+    uses = {x: {k for k, n in scripts[x].items() if n >= langid.USES * sum(scripts[x].values())} for x in langs}
+
+    @cache
+    def scores(word):
+        own = [sum(math.log((counts[x][s] + 0.02) / total[x]) for s in slots(word)) for x in langs]
+        fits = [first(word) in uses[x] for x in langs]
+        return [v if f or not any(fits) else -1e6 for v, f in zip(own, fits)]
+
+    out = []
+    for text, _ in rows:
+        ws = words(text)
+        if not ws:
+            out.append(("und", 0.0))
+            continue
+        path = best_path(np.array([scores(w) for w in ws]), penalty)[1]
+        letters, known = Counter(), Counter()
+        for w, k in zip(ws, path):
+            letters[k] += len(w)
+            known[k] += len(w) * any(first(w) in uses[x] for x in langs)
+        top = min(letters, key=lambda k: (-letters[k], k))
+        out.append((langs[top], known[top] / sum(letters.values())))
+    return out
+
+
+def test_query_against_a_plain_version(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    held = lambda r: zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+    want = plain([(r.text, r.lang) for r in rows], [(r.text, r.lang) for r in rows if not held(r) and r.lang and r.text])
+    got = {r.doc_id: r for r in queries.op2_language_id(spark, sf).collect()}
+    for r, (lang, score) in zip(rows, want, strict=True):
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 1e-9, r.doc_id
+
+
 def test_query_is_right_on_held_out_rows(spark, sf):
     got = {r.doc_id: r for r in queries.op2_language_id(spark, sf).collect()}
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()
