@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, jaccard, langid, sharding, suffix, urls, warc, wordpiece
+from . import ann, bpe, decontaminate, jaccard, langid, oracles, sharding, suffix, urls, warc, wordpiece
 from .scratch import drop_path, save, shared_dir, table
 
 
@@ -81,4 +81,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": urls.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": oracles.SUFFIX_DEDUP, "op3_ngram_jaccard": oracles.NGRAM_JACCARD, "op4_url_filter": urls.oracle(), "op9_warc": oracles.WARC}

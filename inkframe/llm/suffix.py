@@ -7,11 +7,11 @@ document with a smaller id. Strings are judged on the input; matches never cross
    hash (the leftmost, if equal). Equal strings have equal seeds at equal places, so it is enough to compare
    strings that share a seed; a seed stands for a run of strings that start one after the other.
 2. *Candidates.* Documents are packed into chunks of some megabytes. Each chunk sends the distinct hashes of
-   its seeds to the bucket of their leading bits; a seed that is in two documents is a candidate there, and one that
-   many chunks have is a hot one. The answer is two bits for each seed.
+   its seeds to the bucket of their leading bits, and how many different texts they stand in; a seed that is in two
+   documents is a candidate there, and one that stands in very many texts is a hot one. The answer is two bits for each seed.
 3. *Suffix sort.* Each chunk sends the text around its candidates, equal ones once, with the smallest id, to the seed's
-   bucket. The strings of a hot seed are sent one by one, each to the bucket of its own hash: what stands around a
-   frequent phrase differs, and is spread. A bucket is sorted a slice of hashes at a time.
+   bucket. The strings of a hot seed are sent eight at a time, by the place of the seed in them, to the bucket of the hash of
+   what all eight have in common: so the texts around a frequent phrase are spread. A bucket is sorted a slice of hashes at a time.
    The suffixes that start at each string of a seed are sorted by mergesort. Two suffixes are
    compared by prefix polynomial hashes: a binary search for the longest common extension takes about
    log(length) steps, and then one byte decides. Neighbours with a common extension of ``length`` are equal;
@@ -44,8 +44,8 @@ from .scratch import save, setting
 
 #: Bytes of text in a bucket, and the bits of a hash that cut a bucket into slices that are sorted together.
 BUCKET, SLICES = 16_000_000, 4
-#: A seed in more chunks than this is hot.
-HOT = 64
+#: A seed in more different texts than this is hot; its strings are sent so many at a time.
+HOT, CLASS = 4_096, 8
 _LOW, _NONE = np.uint64(0xFFFFFFFF), np.uint32(0xFFFFFFFF)
 #: Bytes whose hashes are made together, so that they stay in a processor's cache, and those whose seeds are cut out together.
 _STEP, _PART = 32_768, 64 * 32_768
@@ -119,8 +119,18 @@ class Chunk:
         self.several = np.minimum.reduceat(ids_, at) != np.maximum.reduceat(ids_, at) if len(at) else np.empty(0, bool)
         self.buckets = runs(self.entry >> np.uint64(32))
 
+    def contexts(self) -> np.ndarray:
+        """In how many different texts each seed stands, by size and both ends."""
+        if not len(self.entry):
+            return np.empty(0, np.int64)
+        eight = np.ndarray((max(0, len(self.text) - 7),), "<u8", self.text, strides=(1,))
+        key = mix(eight[self.first] * _ODD[1] + eight[self.last + self.length - 8] * _ODD[2] + (self.last - self.first + 256 * (self.place - self.first)).astype(np.uint64))
+        order = np.lexsort((key, self.of))
+        of, key = self.of[order], key[order]
+        return np.bincount(of[np.concatenate(([True], (of[1:] != of[:-1]) | (key[1:] != key[:-1])))])
+
     def candidates(self, answers: list[tuple[int, bytes]]) -> None:
-        """Keeps the seeds that answers mark, those of hot seeds a string at a time, and finds the classes of those with equal text around them."""
+        """Keeps the seeds that answers mark, with the strings of hot ones in classes, and finds those with equal text around them."""
         marked, hot = np.zeros(len(self.entry), bool), np.zeros(len(self.entry), bool)
         for b, bits in answers:
             a, z = self.buckets[b]
@@ -128,16 +138,18 @@ class Chunk:
             marked[a:z], hot[a:z] = np.unpackbits(both[0], count=z - a), np.unpackbits(both[1], count=z - a)
         kept = np.flatnonzero(marked[self.of])
         hot = hot[self.of[kept]]
-        strings = np.where(hot, self.last[kept] - self.first[kept] + 1, 1)
-        of = np.repeat(np.arange(len(kept)), strings)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(strings) - strings, strings)
+        place, first, last = self.place[kept], self.first[kept], self.last[kept]
+        lowest = (place - last) // CLASS
+        n = np.where(hot, (place - first) // CLASS - lowest + 1, 1)
+        of = np.repeat(np.arange(len(kept)), n)
+        edge = place[of] - CLASS * (lowest[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))  # the last start of the class
         kept, hot = kept[of], hot[of]
         self.place, self.id, self.hash = self.place[kept], self.id[kept], self.hash[kept]
-        self.first = self.first[kept] + nth
-        self.last = np.where(hot, self.first, self.last[kept])
-        own = self.first[hot]
-        key = np.zeros(len(own), np.uint64)
-        for j, word in enumerate(_eights(self.text, own, np.full(len(own), self.length))):
+        self.first = np.where(hot, np.maximum(self.first[kept], edge - CLASS + 1), self.first[kept])
+        self.last = np.where(hot, np.minimum(self.last[kept], edge), self.last[kept])
+        edge = edge[hot]  # all strings of the class have the bytes from here on in common
+        key = np.zeros(len(edge), np.uint64)
+        for j, word in enumerate(_eights(self.text, edge, np.full(len(edge), self.length - CLASS + 1))):
             key += word * _ODD[j % 60]
             key ^= key >> np.uint64(29)
         self.hash[hot] = mix(key)
@@ -278,15 +290,16 @@ def covered(text: np.ndarray, size: np.ndarray, seed_at: np.ndarray, ids: np.nda
 # the steps, as functions of Arrow batches
 
 
-_SEEDS, _MARKS = "bucket long, chunk long, entries binary, several binary", "chunk long, bucket long, bits binary"
+_SEEDS, _MARKS = "bucket long, chunk long, entries binary, several binary, contexts binary", "chunk long, bucket long, bits binary"
 
 
 def _send_seeds(length: int, bits: int):
     def run(batches):
         for chunk, ids, nulls, offsets, text in rows_of(batches):
             c = Chunk(ids, nulls, offsets, text, length, bits)
-            low = (c.entry & _LOW).astype(np.uint32)
-            yield batch_of(_SEEDS, [(b, chunk, low[a:z].tobytes(), np.packbits(c.several[a:z]).tobytes()) for b, (a, z) in c.buckets.items()])
+            low, n = (c.entry & _LOW).astype(np.uint32), c.contexts()
+            more = n > 1
+            yield batch_of(_SEEDS, [(b, chunk, low[a:z].tobytes(), np.packbits(c.several[a:z]).tobytes(), np.packbits(more[a:z]).tobytes() + n[a:z][more[a:z]].astype(np.uint32).tobytes()) for b, (a, z) in c.buckets.items()])
 
     return run
 
@@ -297,7 +310,12 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries = [np.frombuffer(r[2], np.uint32) for r in rows]
         several = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(e)) for r, e in zip(rows, entries, strict=True)]).astype(bool)
         _, of, n = np.unique(np.concatenate(entries), return_inverse=True, return_counts=True)
-        hot = (n > HOT)[of]
+        texts = []
+        for r, e in zip(rows, entries, strict=True):
+            own, size = np.ones(len(e), np.int64), -(-len(e) // 8)
+            own[np.unpackbits(np.frombuffer(r[4], np.uint8, size), count=len(e)).astype(bool)] = np.frombuffer(r[4][size:], np.uint32)
+            texts.append(own)
+        hot = (np.bincount(of, np.concatenate(texts)) > HOT)[of]
         n[of[several]] += 1
         marked, at, out = n[of] > 1, 0, []
         for r, e in zip(rows, entries, strict=True):

@@ -52,7 +52,7 @@ def test_random_texts(spark, docs):
     compare(suffix.dedup(docs(rows).repartition(5)), rows)
 
 
-def test_hot_seeds_are_sent_string_by_string(spark, docs, monkeypatch):
+def test_hot_seeds_are_sent_in_classes(spark, docs, monkeypatch):
     """A frequent phrase with other text around it in each document, seeds in many chunks, and a text over several parts."""
     monkeypatch.setattr("inkframe.llm.chunks.CHUNK", 300)
     monkeypatch.setattr(suffix, "HOT", 2)
@@ -64,6 +64,9 @@ def test_hot_seeds_are_sent_string_by_string(spark, docs, monkeypatch):
     long = word(70_000)
     rows += [(100, long), (99, long[20_000:50_000] + word(30)), (101, "x" + long[32_700:32_900])]
     compare(suffix.dedup(docs(rows).repartition(6)), rows)
+    monkeypatch.setattr(suffix, "HOT", 0)
+    for length in (16, 50, 90):
+        compare(suffix.dedup(docs(rows).repartition(3), length=length), rows, length)
 
 
 def test_kept_columns_may_have_any_name(spark):
