@@ -43,7 +43,7 @@ from .hashing import mix, powers, prefix_hashes
 from .scratch import save, setting
 
 #: Bytes of text in a bucket, and the bits of a hash that cut a bucket into slices that are sorted together.
-BUCKET, SLICES = 16_000_000, 4
+BUCKET, SLICES = 8_000_000, 5
 #: A seed in more different texts than this is hot; its strings are sent so many at a time.
 HOT, CLASS = 4_096, 8
 _LOW, _NONE = np.uint64(0xFFFFFFFF), np.uint32(0xFFFFFFFF)
@@ -364,6 +364,7 @@ def _sort(length: int):
                 around = zstandard.decompress(around)
                 columns.append([np.frombuffer(around, kind, -1 if i == 5 else n, at * n) for i, (kind, at) in enumerate(((np.int64, 0), (np.int32, 8), (np.uint16, 12), (np.uint8, 14), (np.uint8, 15), (np.uint8, 16)))])
             ids, nth, size, seed_at, part, text = (np.concatenate(x) for x in zip(*columns, strict=True))
+            del columns, around
             size, seed_at = size.astype(np.int64), seed_at.astype(np.int64)
             start, mask = np.cumsum(size) - size, np.zeros(len(ids), np.uint64)
             for p in range(1 << SLICES):
