@@ -10,8 +10,8 @@ document with a smaller id. Strings are judged on the input; matches never cross
    its seeds to the bucket of their leading bits, and how many different texts they stand in; a seed that is in two
    documents is a candidate there, and one that stands in very many texts is a hot one. The answer is two bits for each seed.
 3. *Suffix sort.* Each chunk sends the text around its candidates, equal ones once, with the smallest id, to the seed's
-   bucket. The strings of a hot seed are sent eight at a time, by the place of the seed in them, to the bucket of the hash of
-   what all eight have in common: so the texts around a frequent phrase are spread. A bucket is sorted a slice of hashes at a time.
+   bucket. The strings of a hot seed are sent one by one, each to the bucket of its own hash: so the texts around a frequent
+   phrase are spread, and what is the same everywhere is sent once a chunk. A bucket is sorted a slice of hashes at a time.
    The suffixes that start at each string of a seed are sorted by mergesort. Two suffixes are
    compared by prefix polynomial hashes: a binary search for the longest common extension takes about
    log(length) steps, and then one byte decides. Neighbours with a common extension of ``length`` are equal;
@@ -44,8 +44,8 @@ from .scratch import save, setting
 
 #: Bytes of text in a bucket, and the bits of a hash that cut a bucket into slices that are sorted together.
 BUCKET, SLICES = 8_000_000, 5
-#: A seed in more different texts than this is hot; its strings are sent so many at a time.
-HOT, CLASS = 4_096, 8
+#: A seed in more different texts than this is hot.
+HOT = 4_096
 _LOW, _NONE = np.uint64(0xFFFFFFFF), np.uint32(0xFFFFFFFF)
 #: Bytes whose hashes are made together, so that they stay in a processor's cache, and those whose seeds are cut out together.
 _STEP, _PART = 32_768, 64 * 32_768
@@ -130,7 +130,7 @@ class Chunk:
         return np.bincount(of[np.concatenate(([True], (of[1:] != of[:-1]) | (key[1:] != key[:-1])))])
 
     def candidates(self, answers: list[tuple[int, bytes]]) -> None:
-        """Keeps the seeds that answers mark, with the strings of hot ones in classes, and finds those with equal text around them."""
+        """Keeps the seeds that answers mark, hot ones a string at a time, and finds those with equal text around them."""
         marked, hot = np.zeros(len(self.entry), bool), np.zeros(len(self.entry), bool)
         for b, bits in answers:
             a, z = self.buckets[b]
@@ -138,18 +138,16 @@ class Chunk:
             marked[a:z], hot[a:z] = np.unpackbits(both[0], count=z - a), np.unpackbits(both[1], count=z - a)
         kept = np.flatnonzero(marked[self.of])
         hot = hot[self.of[kept]]
-        place, first, last = self.place[kept], self.first[kept], self.last[kept]
-        lowest = (place - last) // CLASS
-        n = np.where(hot, (place - first) // CLASS - lowest + 1, 1)
+        n = np.where(hot, self.last[kept] - self.first[kept] + 1, 1)
         of = np.repeat(np.arange(len(kept)), n)
-        edge = place[of] - CLASS * (lowest[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))  # the last start of the class
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
         kept, hot = kept[of], hot[of]
         self.place, self.id, self.hash = self.place[kept], self.id[kept], self.hash[kept]
-        self.first = np.where(hot, np.maximum(self.first[kept], edge - CLASS + 1), self.first[kept])
-        self.last = np.where(hot, np.minimum(self.last[kept], edge), self.last[kept])
-        edge = edge[hot]  # all strings of the class have the bytes from here on in common
-        key = np.zeros(len(edge), np.uint64)
-        for j, word in enumerate(_eights(self.text, edge, np.full(len(edge), self.length - CLASS + 1))):
+        self.first = self.first[kept] + nth
+        self.last = np.where(hot, self.first, self.last[kept])
+        own = self.first[hot]
+        key = np.zeros(len(own), np.uint64)
+        for j, word in enumerate(_eights(self.text, own, np.full(len(own), self.length))):
             key += word * _ODD[j % 60]
             key ^= key >> np.uint64(29)
         self.hash[hot] = mix(key)
