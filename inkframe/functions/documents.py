@@ -76,9 +76,13 @@ def scalar(text: str, grammar: str, mode: str = "compat") -> Scalar:
     raise ValueError(f"parse error: {text}")
 
 
+def place(text: str, at: int) -> str:
+    """Line and column of a place in a text, from 1."""
+    return f"line {text.count(chr(10), 0, at) + 1}, column {at - text.rfind(chr(10), 0, at)}"
+
+
 def parse_bracketed(text: str):
-    text = text.strip("\ufeff \t\r\n")
-    if not text:
+    if not text.strip("\ufeff \t\r\n"):
         return {}
     string, bare, space = re.compile(r'"(?:[^"\\\x00-\x1f\x7f-\x9f]|\\.)*"'), re.compile(r"[^\s,\[\]{}\"]+"), re.compile(r"[\s\ufeff]*")
     skip = lambda at: space.match(text, at).end()
@@ -91,15 +95,18 @@ def parse_bracketed(text: str):
         if opened not in ("{", "["):
             m = (string if opened == '"' else bare).match(text, at)
             if not m:
-                raise ValueError(f"parse error: value at {at}")
-            return scalar(m[0], "number"), m.end()
+                raise ValueError(f"parse error: value at {place(text, at)}")
+            try:
+                return scalar(m[0], "number"), m.end()
+            except ValueError as e:
+                raise ValueError(f"{e} at {place(text, at)}") from None
         out, close, first = ({}, "}", True) if opened == "{" else ([], "]", True)
         at = skip(at + 1)
         while not (first and text[at : at + 1] == close):
             if opened == "{":
                 m = string.match(text, at)
                 if not m or text[skip(m.end()) : skip(m.end()) + 1] != ":":
-                    raise ValueError(f"parse error: key at {at}")
+                    raise ValueError(f"parse error: key at {place(text, at)}")
                 out[json.loads(m[0])], at = value(skip(m.end()) + 1, depth + 1)
             else:
                 item, at = value(at, depth + 1)
@@ -108,13 +115,13 @@ def parse_bracketed(text: str):
             if text[at : at + 1] == close:
                 break
             if text[at : at + 1] != ",":
-                raise ValueError(f"parse error: comma at {at}")
+                raise ValueError(f"parse error: comma at {place(text, at)}")
             at = skip(at + 1)
         return out, at + 1
 
     out, at = value(0, 0)
-    if at != len(text):
-        raise ValueError(f"parse error: text after the end at {at}")
+    if skip(at) != len(text):
+        raise ValueError(f"parse error: text after the end at {place(text, skip(at))}")
     return out
 
 
@@ -158,6 +165,11 @@ def parse_indented(text: str, mode: str = "compat"):
             return rows, i
         if m[3]:
             return [unit(c) for c in split_cells(m[3], delimiter)], i
+        if depth < 0 and not (i < len(lines) and re.match("-( |$)", lines[i][1])):
+            rows = [[unit(c) for c in split_cells(line, delimiter)] for _, line in lines[i:]]
+            if exact not in (None, len(rows)) or exact is None and not rows:
+                raise ValueError("validate error: number of rows")
+            return rows, len(lines)
         if i < len(lines) and lines[i][0] > depth:
             return block(i, lines[i][0])
         return [], i
@@ -268,13 +280,13 @@ def render_indented(node, delimiter: str = ",", indent: int = 2) -> str:
                 entry(k2, v2, depth + 1, " " * ((depth + 1) * indent))
 
     if isinstance(node, Scalar):
-        return cell(node)
-    if isinstance(node, dict):
+        out.append(cell(node))
+    elif isinstance(node, dict):
         for k, v in node.items():
             entry(k, v, 0, "")
     else:
         items("", node, 0, "")
-    return "\n".join(out) + "\n" * isinstance(node, dict)
+    return "".join(line + "\n" for line in out)
 
 
 def parse_any(text: str, mode: str = "compat"):
@@ -284,16 +296,21 @@ def parse_any(text: str, mode: str = "compat"):
     return parse_bracketed(text) if start.startswith("{") or start.startswith("[") and not _HEADER.fullmatch(line) else parse_indented(text, mode)
 
 
-def _udf(f: Callable[[str], str], on_error: str):
+def _udf(operation: str, source: str, parse: Callable, render: Callable, on_error: str):
+    """An error says what was being done, whether the text was read or written, and of which syntax the text is."""
+
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
+            phase = "parse"
             try:
-                out.append(None if t is None else f(t))
-            except (ValueError, RecursionError):
+                node = None if t is None else parse(t)
+                phase = "serialize"
+                out.append(None if t is None else render(node))
+            except (ValueError, RecursionError) as e:
                 if on_error == "fail":
-                    raise
+                    raise ValueError(f"transcode error: {operation}, {phase}, {source}: {e}") from e
                 out.append(None)
         return pa.array(out, pa.string())
 
@@ -302,13 +319,13 @@ def _udf(f: Callable[[str], str], on_error: str):
 
 def bracketed_to_indented(c: Column, delimiter: str = ",", indent: int = 2, on_error: str = "fail") -> Column:
     """Transcodes documents; strict. Null stays null; with on_error="null" so does what can't be read."""
-    return _udf(lambda t: render_indented(parse_bracketed(t), delimiter, indent), on_error)(c)
+    return _udf("bracketed_to_indented", "bracketed", parse_bracketed, lambda n: render_indented(n, delimiter, indent), on_error)(c)
 
 
 def indented_to_bracketed(c: Column, mode: str = "compat", on_error: str = "fail") -> Column:
-    return _udf(lambda t: render_bracketed(parse_indented(t, mode)), on_error)(c)
+    return _udf("indented_to_bracketed", "indented", lambda t: parse_indented(t, mode), render_bracketed, on_error)(c)
 
 
 def canonical(c: Column, mode: str = "compat", on_error: str = "fail") -> Column:
     """Either syntax to the bracket syntax."""
-    return _udf(lambda t: render_bracketed(parse_any(t, mode)), on_error)(c)
+    return _udf("canonical", "any", lambda t: parse_any(t, mode), render_bracketed, on_error)(c)

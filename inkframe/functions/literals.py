@@ -133,6 +133,18 @@ def micros_of_datetime(text: Column) -> tuple[Column, Column]:
     return local.try_cast("timestamp_ntz"), F.when(offset.startswith("-"), -minutes).otherwise(minutes)
 
 
+def uuid_bytes(text: Column) -> Column:
+    """The 16 bytes of a uuid's text; null if it isn't one."""
+    return F.when(F.concat(F.lit("uuid("), text, F.lit(")")).rlike(UUID), F.unhex(F.replace(text, F.lit("-"), F.lit(""))))
+
+
+def time_micros(text: Column) -> Column:
+    """Microseconds of the day of a time's text; null if it isn't one."""
+    part = lambda a: F.substring(text, a, 2).cast("long")
+    fraction = F.rpad(F.substring(text, F.lit(10), F.length(text)), 6, "0").cast("long")
+    return F.when(text.rlike(TIME), ((part(1) * 60 + part(4)) * 60 + part(7)) * 1_000_000 + fraction)
+
+
 def kind_of(field: T.StructField) -> str:
     """The literal kind that a declared field takes."""
     typed, t = (field.metadata or {}).get(TYPED), field.dataType

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,18 +30,52 @@ def quote_indented(c: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit("serialize error: control character in a string")).cast("string")).otherwise(F.concat(F.lit('"'), out, F.lit('"')))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _digits(size: Column) -> Column:
+    """Of a finite double above 0: the fewest digits m and a power q, so that m * 10^q reads back as the same double. Java before 19
+    may write a digit or two too many: they are dropped where what is left reads back as the same double."""
+
+    def first(text: Column) -> Column:
+        mantissa, power = F.substring_index(text, "E", 1), F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
+        return F.struct(F.regexp_replace(mantissa, r"\.", "").cast("decimal(38,0)").alias("m"), (power - F.length(F.substring_index(mantissa, ".", -1))).alias("q"))
+
+    def shorter(d: Column) -> Column:
+        less = F.struct(F.floor((d["m"] + 5) / 10).cast("decimal(38,0)").alias("m"), (d["q"] + 1).alias("q"))
+        return _let(less, lambda x: F.when(F.concat(x["m"].cast("string"), F.lit("E"), x["q"].cast("string")).try_cast("double") == size, x).otherwise(d))
+
+    def trimmed(d: Column) -> Column:
+        digits = d["m"].cast("string")
+        kept = F.regexp_replace(digits, r"(?<=.)0+$", "")
+        return F.struct(kept.alias("m"), (d["q"] + F.length(digits) - F.length(kept)).alias("q"))
+
+    return _let(_let(_let(_let(size.cast("string"), first), shorter), shorter), trimmed)
+
+
+def _plain_or_exponent(size: Column, d: Column) -> Column:
+    m, q, n = d["m"], d["q"], F.length(d["m"])
+    point = n + q  # digits in front of it
+    plain = (
+        F.when(q >= 0, F.concat(m, F.repeat(F.lit("0"), q), F.lit(".0")))
+        .when(point > 0, F.concat(F.substring(m, F.lit(1), point), F.lit("."), F.substring(m, point + 1, n)))
+        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), m))
+    )
+    exponent = F.concat(F.substring(m, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(m, F.lit(2), n))).otherwise(""), F.lit("e"), (point - 1).cast("string"))
+    return F.when((size >= 1e-5) & (size < 1e16), plain).otherwise(exponent)
+
+
 def render_float(c: Column) -> Column:
     """Shortest digits that read back as the same double; plain from 1e-5 to 1e16, else with an exponent; nan, inf, -inf."""
     c = c.cast("double")
     size, text = F.abs(c), c.cast("string")
-    plain = lambda scale: F.regexp_replace(F.regexp_replace(c.cast(f"decimal(38,{scale})").cast("string"), "0+$", ""), r"\.$", ".0")
     return (
         F.when(F.isnan(c), "nan")
         .when(size == F.lit(float("inf")), F.when(c > 0, "inf").otherwise("-inf"))
-        .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), text)
-        .when((size >= 1e7) & (size < 1e16), plain(12))
-        .when((size >= 1e-5) & (size < 1e-3), plain(27))
-        .otherwise(F.lower(F.regexp_replace(text, r"\.0E", "E")))
+        .when((size == 0) | ((size >= 1e-3) & (size < 1e7) & (F.length(text) < 17)), text)  # so few digits are the shortest
+        .otherwise(F.concat(F.when(c < 0, "-").otherwise(""), _let(size, lambda x: _let(_digits(x), lambda d: _plain_or_exponent(x, d)))))
     )
 
 
@@ -50,11 +85,28 @@ def _fraction(c: Column) -> Column:
     return F.when(f == "000000", "").when(f.endswith("000"), F.concat(F.lit("."), F.substring(f, 1, 3))).otherwise(F.concat(F.lit("."), f))
 
 
+def uuid_text(c: Column) -> Column:
+    """16 bytes as the text of a uuid; other lengths are an error."""
+    h = F.lower(F.hex(c))
+    text = F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    return F.when(F.octet_length(c) == 16, text).when(c.isNotNull(), F.raise_error(F.lit("arrow error: a uuid has 16 bytes")).cast("string"))
+
+
+def time_text(micros: Column) -> Column:
+    """Microseconds of a day as hours, minutes, seconds, and a fraction without zeros at its end; beyond a day an error."""
+    part = lambda unit, most: F.lpad(F.pmod(F.floor(micros / unit), F.lit(most)).cast("string"), 2, "0")
+    fraction = F.regexp_replace(F.concat(F.lit("."), F.lpad(F.pmod(micros, F.lit(1_000_000)).cast("string"), 6, "0")), r"\.?0+$", "")
+    text = F.concat(part(3_600_000_000, 24), F.lit(":"), part(60_000_000, 60), F.lit(":"), part(1_000_000, 60), fraction)
+    return F.when((micros >= 0) & (micros < 86_400_000_000), text).when(micros.isNotNull(), F.raise_error(F.lit("arrow error: a time of day beyond the day")).cast("string"))
+
+
 def render_cell(c: Column, field: T.StructField, syntax: str = "indented", binary_format: str = "hex") -> Column:
     """The literal of a flat value; null is the keyword."""
     kind, typed = field.dataType, (field.metadata or {}).get(TYPED)
     if typed == "uuid":
-        out = F.concat(F.lit("uuid("), F.lower(c), F.lit(")"))
+        out = F.concat(F.lit("uuid("), uuid_text(c) if isinstance(kind, T.BinaryType) else F.lower(c), F.lit(")"))
+    elif typed == "time" and isinstance(kind, T.IntegralType):
+        out = time_text(c)
     elif typed == "time":
         out = F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     elif isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):

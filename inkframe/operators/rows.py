@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.literals import mask, read, unescape_bracketed
-from ..functions.render import IDENTIFIER
+from ..functions.render import IDENTIFIER, write_key
 
 #: A table's header: count (or *), delimiter and names.
 HEADER = re.compile(r"\[(\d*|\*)(,|\t|\\?\||\\t)?\]\{(.*)\}:\s*")
@@ -127,8 +127,8 @@ def inline_array(text: Column, delimiter: str = ",") -> Column:
     return F.when(F.trim(body) == "", F.array().cast("array<string>")).otherwise(split_row(body, delimiter))
 
 
-def check_count(rows: DataFrame, count: int | None) -> DataFrame:
-    """Fails at once if a table with an exact count has another number of rows; this counts the rows."""
-    if count is not None and (n := rows.count()) != count:
-        raise ValueError(f"validate error: {count} rows expected, found {n}")
-    return rows
+def embedded_table(text: Column, key: str) -> Column:
+    """The lines of the table that stands under a key of the outermost block of an indented document, without its header; null if there is none."""
+    block = F.regexp_extract(text, rf"(?:^|\n){re.escape(write_key(key))}\[[^\]\n]*\]\{{[^\n]*\}}:[ \r]*\n((?:[ ]+[^\n]*(?:\n|$)|[ \r]*\n)*)", 1)
+    lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(F.regexp_replace(x, "\r$", ""))), lambda x: x != "")
+    return F.when(text.rlike(rf"(?:^|\n){re.escape(write_key(key))}\[[^\]\n]*\]\{{[^\n]*\}}:"), lines)

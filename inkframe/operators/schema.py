@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,16 +43,56 @@ def declare(fields: Mapping[str, str] | list[tuple[str, str]]) -> T.StructType:
     return T.StructType(out)
 
 
+def to_arrow_schema(schema: T.StructType) -> pa.Schema:
+    """Uuids are 16 bytes with a mark of their own, times are microseconds of the day, zoned times are UTC."""
+    simple = [(T.BooleanType, pa.bool_()), (T.IntegralType, pa.int64()), (T.FloatType, pa.float64()), (T.DoubleType, pa.float64()), (T.DateType, pa.date32()), (T.TimestampNTZType, pa.timestamp("us")), (T.TimestampType, pa.timestamp("us", "UTC")), (T.BinaryType, pa.binary()), (T.StringType, pa.string())]
+    out = []
+    for f in schema.fields:
+        typed = (f.metadata or {}).get(TYPED)
+        if typed == "uuid":
+            kind = pa.binary(16)
+        elif typed == "time":
+            kind = pa.time64("us")
+        elif isinstance(f.dataType, T.DecimalType):
+            kind = pa.decimal128(f.dataType.precision, f.dataType.scale)
+        else:
+            kind = next((a for cls, a in simple if isinstance(f.dataType, cls)), None)
+        if kind is None:
+            raise ValueError(f"arrow error: {f.name} is {f.dataType.simpleString()}")
+        out.append(pa.field(f.name, kind, f.nullable, {TYPED: typed} if typed else None))
+    return pa.schema(out)
+
+
+def from_arrow_schema(schema: pa.Schema) -> T.StructType:
+    """What ``to_arrow_schema`` came from; other Arrow types are an error."""
+    fields = []
+    for f in schema:
+        t, mark = f.type, ((f.metadata or {}).get(TYPED.encode()) or b"").decode()
+        if pa.types.is_decimal(t):
+            kind = f"decimal({t.precision},{t.scale})"
+        elif pa.types.is_timestamp(t) and t.unit == "us" and t.tz in (None, "UTC"):
+            kind = "datetime" if t.tz else "datetime_naive"
+        elif t == pa.binary(16) and mark == "uuid":
+            kind = "uuid"
+        else:
+            kind = {pa.string(): "string", pa.int64(): "int", pa.float64(): "float", pa.bool_(): "bool", pa.date32(): "date", pa.time64("us"): "time", pa.binary(): "binary"}.get(t)
+        if kind is None:
+            raise ValueError(f"arrow error: {f.name} is {t}")
+        fields.append((f.name, kind + "?" * f.nullable))
+    return declare(fields)
+
+
 def check_compatible(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """df, if its columns are the schema's: names, order and types. Integers and decimals may be narrower."""
+    """df with the schema's columns in its order: names and types must be the same. Integers and decimals may be narrower."""
 
     def fits(have: T.DataType, want: T.DataType) -> bool:
         if isinstance(have, T.DecimalType) and isinstance(want, T.DecimalType):
             return have.scale <= want.scale and have.precision - have.scale <= want.precision - want.scale
         return have == want or isinstance(have, T.IntegralType) and isinstance(want, T.LongType) or isinstance(have, T.FloatType) and isinstance(want, T.DoubleType)
 
-    if df.columns != schema.names:
+    if sorted(df.columns) != sorted(schema.names):
         raise ValueError(f"schema error: columns {df.columns}, expected {schema.names}")
+    df = df.select(*(f"`{name}`" for name in schema.names))
     for have, want in zip(df.schema, schema, strict=True):
         if not fits(have.dataType, want.dataType):
             raise ValueError(f"schema error: {want.name} is {have.dataType.simpleString()}, expected {want.dataType.simpleString()}")

@@ -10,14 +10,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import documents
-from ..functions.literals import detect_format, mask, parse_unit, safe_int, typed
-from ..functions.render import quote_bracketed, render_cell, object_of, table_header, line_of
-from ..operators.rows import inline_array, objects_of_array, object_rows, line_rows
+from ..functions.codecs import Codec, Codecs
+from ..functions.literals import detect_format, mask, parse_unit, safe_int, time_micros, typed, uuid_bytes
+from ..functions.render import line_of, object_of, quote_bracketed, render_cell, table_header
+from ..operators.rows import embedded_table, inline_array, line_rows, object_rows, objects_of_array
 from ..operators.schema import declare, entries, merge
-from ..sources.text import read_objects, read_lines, write_objects, write_lines
-from ..streaming.text import stream_lines
+from ..sources.text import read_lines, read_objects, read_text, write_lines, write_objects
+from ..streaming.text import stream_lines, stream_objects, writer_lines, writer_objects
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAT = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels"]
@@ -42,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if it has fewer splits than there are: a large table has more, and isn't shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def through_lines(df: DataFrame, delimiter: str = ",") -> DataFrame:
@@ -57,7 +59,10 @@ def through_objects(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see. Where spark.checkpoint.dir is unset, a local session uses its warehouse; a cluster fails."""
     given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(given or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/text-{uuid.uuid4().hex}"
 
 
@@ -94,12 +99,42 @@ def objects_files(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")
 def object_lists_file(spark, sf_dir):
-    """Lines that are bracketed lists of objects."""
+    """Files that are bracketed lists, read by many tasks."""
     df, path = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), scratch(spark)
-    rows = df.select(object_of(df).alias("obj"))
-    lists = rows.groupBy(F.pmod(F.xxhash64("obj"), F.lit(8))).agg(F.collect_list("obj").alias("o")).select(F.concat(F.lit("["), F.array_join("o", ", "), F.lit("]")).alias("value"))
-    lists.write.text(path, lineSep="\n")
-    return object_rows(spark.read.text(path).select(F.explode(objects_of_array(F.col("value"))).alias("obj")), F.col("obj"), df.schema)
+    write_objects(df, path, layout="list")
+    return read_objects(spark, path, df.schema, layout="list")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def object_array_files(spark, sf_dir):
+    """The same files, each read whole and found to be lists by their first lines."""
+    df, path = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), scratch(spark)
+    write_objects(df, path, layout="list")
+    return read_text(spark, path)
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def multi_header_files(spark, sf_dir):
+    """A folder to which two writers added files, with other delimiters and each with the counts of its own rows."""
+    df, path = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), scratch(spark)
+    write_lines(df.where("o_orderkey % 2 = 0").repartition(3), f"{path}/even", ",", exact=True)
+    write_lines(df.where("o_orderkey % 2 = 1").repartition(2, "o_custkey"), f"{path}/odd", "|", exact=True)
+    return read_lines(spark, f"{path}/*", df.schema)
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def read_text_of_lines(spark, sf_dir):
+    df, path = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), scratch(spark)
+    write_lines(df, path, "\t")
+    return read_text(spark, path, df.schema)
+
+
+@query("SELECT 0 AS n, '[0]{c_custkey,c_name}:' AS line")
+def empty_table_file(spark, sf_dir):
+    df, path = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), scratch(spark)
+    write_lines(df.where(F.lit(False)), path)
+    n = read_lines(spark, path, df.schema).count()
+    return spark.read.text(path).select(F.lit(n).cast("int").alias("n"), F.col("value").alias("line"))
 
 
 @query("SELECT fmt, count(*) AS n FROM (SELECT 'indented' AS fmt FROM orders UNION ALL SELECT 'bracketed' FROM orders UNION ALL SELECT 'typed_unit' FROM orders) GROUP BY fmt")
@@ -262,11 +297,11 @@ def inline_array_explode(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem")
 def embedded_table_explode(spark, sf_dir):
-    """A nested document for each line, with a table in it: read whole, and the table's rows taken out."""
+    """A nested document for each line, with a table in it, whose lines are taken out."""
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    doc = F.concat(F.lit("meta:\n  n: 1\nrows[1]{l_orderkey,l_partkey,l_quantity}:\n  "), line_of(df), F.lit("\n"))
-    inner = F.regexp_extract(documents.indented_to_bracketed(doc), r'"rows": (\[.*\])\}$', 1)
-    return object_rows(df.select(F.explode(objects_of_array(inner)).alias("obj")), F.col("obj"), df.schema)
+    docs = spread(df).select(F.concat(F.lit("meta:\n  n: 1\nrows[1]{l_orderkey,l_partkey,l_quantity}:\n  "), line_of(df), F.lit("\n")).alias("doc"))
+    lines = docs.select(F.explode(embedded_table(F.col("doc"), "rows")).alias("line"))
+    return line_rows(lines, F.col("line"), df.schema)
 
 
 @query("""SELECT c_custkey, 'c_custkey: ' || c_custkey || chr(10) || 'c_name: "' || c_name || '"' || chr(10) AS txt FROM customer""")
@@ -325,3 +360,97 @@ def stream_events_hourly(spark, sf_dir):
     out = f"{path}-out"
     hours.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{path}-state").queryName(name).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
+
+
+def streamed(spark: SparkSession, stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Runs a query over a stream until no file is left, each batch in place of its own folder."""
+    out = f"{path}-out"
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1")
+def stream_objects_hourly(spark, sf_dir):
+    """Events written as objects and read as a stream."""
+    df, path = table(spark, sf_dir, "events").select("event_id", "ts"), scratch(spark)
+    write_objects(df, path)
+    hours = stream_objects(spark, path, df.schema).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
+    return streamed(spark, hours, path, "complete")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def stream_writer_lines(spark, sf_dir):
+    """A stream of lines written as a folder of lines by another stream, with its columns in the schema's order."""
+    df, path = table(spark, sf_dir, "events").select("event_id", "event_type", "value"), scratch(spark)
+    write_lines(df, f"{path}-in")
+    rows = stream_lines(spark, f"{path}-in", df.schema).select("value", "event_id", "event_type")
+    writer_lines(rows, path, df.schema, "|").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return read_lines(spark, f"{path}/*", df.schema)
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def stream_writer_objects(spark, sf_dir):
+    df, path = table(spark, sf_dir, "events").select("event_id", "event_type", "value"), scratch(spark)
+    write_objects(df, f"{path}-in")
+    rows = stream_objects(spark, f"{path}-in", df.schema)
+    writer_objects(rows, path, df.schema).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return read_objects(spark, path, df.schema)
+
+
+@query("""SELECT o_orderkey, '[2|]: ' || o_orderkey || '|' || o_custkey || chr(10) AS txt FROM orders""")
+def render_root_list_pipe(spark, sf_dir):
+    df = table(spark, sf_dir, "orders")
+    return df.select("o_orderkey", documents.bracketed_to_indented(F.format_string("[%d, %d]", "o_orderkey", "o_custkey"), "|").alias("txt"))
+
+
+@query("""SELECT n_nationkey, '[[' || n_nationkey || ', "' || n_name || '"], [' || n_regionkey || ', null]]' AS txt FROM nation""")
+def rows_of_lists(spark, sf_dir):
+    """A table without names: its rows are lists."""
+    text = F.format_string("[2]:\n%d, %s\n%d, null\n", "n_nationkey", "n_name", "n_regionkey")
+    return table(spark, sf_dir, "nation").select("n_nationkey", documents.indented_to_bracketed(text).alias("txt"))
+
+
+@query("""SELECT c_custkey, '{"k": ' || c_custkey || ', "tags": ["' || c_mktsegment || '"]}' AS txt FROM customer""")
+def canonical_documents(spark, sf_dir):
+    """Documents of either syntax, by what their first line says."""
+    indented = F.format_string('k: %d\ntags[1]: "%s"\n', "c_custkey", "c_mktsegment")
+    bracketed = F.format_string(' {"k": %d,\n"tags": ["%s"]}', "c_custkey", "c_mktsegment")
+    text = F.when(F.col("c_custkey") % 2 == 0, indented).otherwise(bracketed)
+    return table(spark, sf_dir, "customer").select("c_custkey", documents.canonical(text).alias("txt"))
+
+
+@query("SELECT o_orderkey, o_totalprice > 100000 AS big, CASE WHEN o_totalprice > 100000 THEN 'true' ELSE 'false' END AS lit FROM orders")
+def boolean_cells(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") > 100000).alias("big"))
+    lit = cell(df, "big")
+    rows = line_rows(df.select("o_orderkey", lit.alias("lit")), F.col("lit"), declare({"big": "bool"}), keep=["o_orderkey", "lit"])
+    return rows.select("o_orderkey", "big", "lit")
+
+
+@query("SELECT c_custkey, substr(md5(c_name),1,8) || '-' || substr(md5(c_name),9,4) || '-' || substr(md5(c_name),13,4) || '-' || substr(md5(c_name),17,4) || '-' || substr(md5(c_name),21,12) AS u, md5(c_name) AS b FROM customer")
+def uuid_bytes_both_ways(spark, sf_dir):
+    """The 16 bytes of uuids rendered as literals, read as text, and turned into bytes."""
+    field = declare({"u": "uuid"})["u"]
+    raw = table(spark, sf_dir, "customer").select("c_custkey", F.unhex(F.md5("c_name")).alias("u"))
+    binary = T.StructField("u", T.BinaryType(), True, field.metadata)
+    read = line_rows(raw, render_cell(F.col("u"), binary), T.StructType([field]), keep=["c_custkey"])
+    return read.select("c_custkey", "u", F.lower(F.hex(uuid_bytes(F.col("u")))).alias("b"))
+
+
+@query("SELECT event_id, epoch_us(ts) % 86400000000 AS micros FROM events")
+def time_of_day_micros(spark, sf_dir):
+    """Times of day from microseconds to literals and back."""
+    field = declare({"t": "time"})["t"]
+    df = table(spark, sf_dir, "events").select("event_id", time_micros(F.date_format("ts", "HH:mm:ss.SSSSSS")).alias("t"))
+    text = line_rows(df, render_cell(F.col("t"), T.StructField("t", T.LongType(), True, field.metadata)), T.StructType([field]), keep=["event_id"])
+    return text.select("event_id", time_micros(F.col("t")).alias("micros"))
+
+
+@query("SELECT p_partkey, p_retailprice * 100 AS p_retailprice, 'x' || p_name AS p_name FROM part")
+def codecs_by_kind(spark, sf_dir):
+    """A reader's own codecs for kinds, over those for all uses."""
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_name")
+    shared = Codecs({"float": Codec(decode=lambda c: c * 100), "string": Codec(decode=F.upper)})
+    own = shared.snapshot({"string": Codec(decode=lambda c: F.concat(F.lit("x"), c))})
+    return own.decode(through_lines(df), df.schema)
