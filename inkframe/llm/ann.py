@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .scratch import drop, save
 
-DIMENSIONS, SAMPLE, LEAF = 24, 100_000, 48
+DIMENSIONS, SAMPLE, LEAF = 32, 100_000, 48
 #: Rows of a part of the index, and the least number of parts.
 ROWS, LEAST_PARTS = 8_192, 8
 #: Cells that a query first looks at, and points there for each neighbour wanted.
@@ -275,7 +275,7 @@ def _takes_part(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, number) & F.exists(vector, lambda v: v != 0)
 
 
-def neighbours(df: DataFrame, is_query: Column, k: int = 20, confidence: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def neighbours(df: DataFrame, is_query: Column, k: int = 20, confidence: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score, verified): the k nearest found of each row that is_query holds for, among all rows
     with other ids. verified, at rank 1: the number of rows whose product with the query was made, counted again where it was made again."""
     spark = df.sparkSession
