@@ -95,7 +95,8 @@ def seeds(text: np.ndarray, offsets: np.ndarray, nulls: np.ndarray, length: int)
         kept = place[at] != _NONE
         found.append(np.stack((place[at[kept]].astype(np.int64), at[kept] + begin, stop[kept] + begin)))
     place, first, last = np.concatenate(found, axis=1)
-    return place, first, last, _seed_hashes(text, place, k), np.searchsorted(offsets, place, "right") - 1
+    # seeds have small hashes, as they are the smallest of many: mixed once more, they fill all buckets alike
+    return place, first, last, mix(_seed_hashes(text, place, k)), np.searchsorted(offsets, place, "right") - 1
 
 
 class Chunk:
