@@ -13,7 +13,7 @@ gives each document the smallest id that its links reach. No link is lost:
 3. *Tiles.* Keys whose other documents are of several classes stay open. Those with the same smallest other document are a
    group, of the documents that share such a key with it. Groups are cut into tiles by size band (bands are 100 / percent
    apart, so that links stay in a band or go to the next) and, where a band is too much for a task, by hash. A task has
-   two tiles of a group.
+   two tiles of a group. The documents of a group's largest class have tiles of their own, which meet those of other classes only.
 4. *Signatures.* In a comparison, each set sets a bit for the hash of each shingle, in bitmaps as long as their band needs;
    sets x and y whose bitmaps differ in d bits have at most (|x| + |y| - d) / 2 shingles in common. Only pairs that pass
    that bound, and are not yet connected, get an exact intersection of sorted arrays.
@@ -354,7 +354,9 @@ def _labels(sets: DataFrame, percent: int) -> DataFrame:
     rest = rows.join(smallest, "key").where("id <> hub").drop("hub")
     still = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("id").alias("group")).where("low < high")
     still = save(still.select("key", "group"), "shingle-still-open")
-    rest = save(rest.join(still, "key").select("group", "id", "n").distinct(), "shingle-open-rows")
+    rest = rest.join(still, "key").select("group", "id", "label", "n").distinct()
+    largest = rest.groupBy("group", "label").agg(F.count("*").alias("c")).groupBy("group").agg(F.max(F.struct("c", "label")).alias("m")).select("group", F.col("m.label").alias("largest"))
+    rest = save(rest.join(largest, "group").select("group", "id", "n", (F.col("label") == F.col("largest")).alias("main")), "shingle-open-rows")
     tasks = _tiles(rest, percent).join(held.select("id", "label", "members"), "id")
     tasks = tasks.select("task", "label", "side", "members").repartition("task").sortWithinPartitions("task")
     edges = save(tasks.mapInArrow(_verify(percent), "a long, b long"), "shingle-edges")
@@ -401,11 +403,12 @@ def similar(df: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id"
 
 
 def _tiles(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: (group, id, n). (task, side, id): each two tiles of a group in the same or neighbouring size bands are a task; where there is one tile
-    of a band and one of the next, the first is compared within itself in the same task."""
+    """rows: (group, id, n, main). (task, side, id): of rows that aren't main, each two tiles of a group in the same or neighbouring size bands are a task; where there is one tile
+    of a band and one of the next, the first is compared within itself in the same task. Main rows meet the others of their and both next bands."""
     cost = F.lit(64) + 8 * F.col("n")
     band = F.floor(F.log("n") / F.lit(math.log(100.001 / percent))).cast("int")
-    rows = rows.withColumn("band", band)
+    every = rows.withColumn("band", band)
+    rows = every.where("not main")
     counts = rows.groupBy("group", "band").agg(F.ceil(F.sum(cost) * 2 / TILE).cast("int").alias("tiles"))
     around = counts.select("group", "tiles", F.explode(F.array(*(F.struct((F.col("band") + k).alias("band"), F.lit(-k).alias("at")) for k in (-1, 0, 1)))).alias("x")).select("group", "x.*", "tiles")
     around = around.groupBy("group", "band").agg(*(F.max(F.when(F.col("at") == k, F.col("tiles"))).alias(c) for k, c in ((-1, "below"), (0, "here"), (1, "above")))).where("here is not null")
@@ -426,4 +429,19 @@ def _tiles(rows: DataFrame, percent: int) -> DataFrame:
         pairs("below", lambda j: pair(b - 1, j, b, i, F.lit(1))),
     )
     tiled = rows.select("group", "id", F.explode(tasks).alias("t"))
-    return tiled.select(F.xxhash64("group", "t.b", "t.i", "t.c", "t.j").alias("task"), "id", F.col("t.side").alias("side"))
+    tiled = tiled.select(F.xxhash64("group", "t.b", "t.i", "t.c", "t.j").alias("task"), "id", F.col("t.side").alias("side"))
+
+    # main rows, in tiles of FAMILY rows, with the tiles of the others
+    main = every.where("main")
+    size = F.greatest(F.ceil(F.sum(cost) * 2 / TILE), F.ceil(F.count("*") / FAMILY)).cast("int")
+    tiles = {True: main.groupBy("group", "band").agg(size.alias("tiles")), False: counts}
+
+    def met(own: DataFrame, which: bool) -> DataFrame:
+        """Rows with their own tile, and each tile that they meet in the other rows' bands."""
+        own = own.join(tiles[which], ["group", "band"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).drop("tiles")
+        near = tiles[not which].select("group", F.col("band").alias("other"), "tiles", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"))
+        return own.join(near, ["group", "band"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+
+    both = [met(main, True).select("id", F.lit(1).alias("side"), F.xxhash64(F.lit(1), "group", "band", "i", "other", "j").alias("task"))]
+    both.append(met(rows, False).select("id", F.lit(2).alias("side"), F.xxhash64(F.lit(1), "group", "other", "j", "band", "i").alias("task")))
+    return tiled.unionByName(both[0]).unionByName(both[1])
