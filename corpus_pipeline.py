@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkframe.llm import bpe, decontaminate, jaccard, langid, suffix
-from inkframe.llm.scratch import save, table
+from inkframe.llm.scratch import drop, save, table
 from inkframe.session import ship
 
 #: A text goes if less of its letters are in one language.
@@ -82,5 +82,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, save(stage(spark, docs, sf_dir), f"stage-{name}")
+        if hasattr(before, "saved_path"):
+            drop(before)
     return docs
