@@ -348,6 +348,9 @@ def _labels(sets: DataFrame, percent: int) -> DataFrame:
     held = save(held.select("id", "label", "n", "members", "firsts"), "shingle-sets-by-class")
     open_keys = held.select("label", "firsts").mapInArrow(_classes, "key long, low long, high long").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key")
     open_keys = save(open_keys, "shingle-open-keys")
+    if open_keys.isEmpty():
+        drop(held), drop(open_keys)
+        return first
     rows = save(held.select("id", "label", "n", "firsts").mapInArrow(_explode, _KEYS).join(open_keys, "key"), "shingle-open-rows")
     # all have been compared with the smallest document, so that one is no longer looked at
     smallest = rows.groupBy("key").agg(F.min("id").alias("hub"))
