@@ -150,7 +150,7 @@ def kind_of(field: T.StructField) -> str:
     typed, t = (field.metadata or {}).get(TYPED), field.dataType
     if typed:
         return typed
-    kinds = [(T.BooleanType, "bool"), (T.IntegralType, "int"), (T.DecimalType, "decimal"), (T.FractionalType, "float"), (T.DateType, "date"), (T.TimestampNTZType, "datetime_naive"), (T.TimestampType, "datetime"), (T.BinaryType, "binary"), (T.StringType, "string")]
+    kinds = [(T.BooleanType, "bool"), (T.IntegralType, "int"), (T.DecimalType, "decimal"), (T.FractionalType, "float"), (T.DateType, "date"), (T.TimestampNTZType, "datetime_naive"), (T.TimestampType, "datetime"), (T.BinaryType, "binary"), (T.TimeType, "time"), (T.StringType, "string")]
     for cls, kind in kinds:
         if isinstance(t, cls):
             return kind

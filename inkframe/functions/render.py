@@ -117,6 +117,8 @@ def render_cell(c: Column, field: T.StructField, syntax: str = "indented", binar
         out = render_float(c)
     elif isinstance(kind, T.DecimalType):
         out = F.concat(c.cast("string"), F.lit("m"))
+    elif isinstance(kind, T.TimeType):
+        out = c.cast("string")  # without zeros at the end
     elif isinstance(kind, T.DateType):
         out = F.date_format(c, "yyyy-MM-dd")
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):

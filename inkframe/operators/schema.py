@@ -51,7 +51,7 @@ def to_arrow_schema(schema: T.StructType) -> pa.Schema:
         typed = (f.metadata or {}).get(TYPED)
         if typed == "uuid":
             kind = pa.binary(16)
-        elif typed == "time":
+        elif typed == "time" or isinstance(f.dataType, T.TimeType):
             kind = pa.time64("us")
         elif isinstance(f.dataType, T.DecimalType):
             kind = pa.decimal128(f.dataType.precision, f.dataType.scale)

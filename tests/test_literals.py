@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from inkframe.functions import documents
 from inkframe.functions.codecs import Codec, Codecs
 from inkframe.functions.literals import detect_format, kind_of, mask, parse_number, parse_unit, read, safe_int, time_micros, typed, uuid_bytes
-from inkframe.functions.render import quote_bracketed, quote_indented, render_float, table_header, time_text, uuid_text
+from inkframe.functions.render import line_of, quote_bracketed, quote_indented, render_float, table_header, time_text, uuid_text
 from inkframe.operators.rows import header, objects_of_array, split_row, object_rows, line_rows
 from inkframe.operators.schema import check_compatible, declare, entries, from_arrow_schema, infer, to_arrow_schema
 from inkframe.sources.text import read_lines, read_objects, read_text, write_lines, write_objects
@@ -210,6 +210,20 @@ def test_uuids_and_times_of_day(spark):
         one.select(time_text(F.lit(86_400_000_000))).collect()
 
 
+def test_times_as_a_type(spark):
+    """Spark's own time type, where the session has it switched on."""
+    old = spark.conf.get("spark.sql.timeType.enabled", None)
+    spark.conf.set("spark.sql.timeType.enabled", "true")
+    try:
+        df = spark.sql("select time'01:02:03.5' as t union all select time'23:59:59.000001' union all select cast(null as time(6))")
+        lines = df.select(line_of(df).alias("line"))
+        assert sorted(r.line for r in lines.collect()) == ["01:02:03.5", "23:59:59.000001", "null"]
+        back = line_rows(lines, F.col("line"), df.schema)
+        assert back.schema["t"].dataType == df.schema["t"].dataType and back.exceptAll(df).isEmpty() and back.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.timeType.enabled") if old is None else spark.conf.set("spark.sql.timeType.enabled", old)
+
+
 def test_arrow_schemas():
     schema = declare({"s": "string", "i": "int?", "f": "float", "b": "bool", "d": "decimal(10,2)?", "day": "date", "t": "time", "z": "datetime?", "n": "datetime_naive", "u": "uuid", "x": "binary"})
     arrow = to_arrow_schema(schema)
