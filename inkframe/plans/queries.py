@@ -16,7 +16,7 @@ from ..functions import documents
 from ..functions.codecs import Codec, Codecs
 from ..functions.literals import detect_format, mask, parse_unit, safe_int, time_micros, typed, uuid_bytes
 from ..functions.render import line_of, object_of, quote_bracketed, render_cell, table_header
-from ..operators.rows import embedded_table, inline_array, line_rows, object_rows, objects_of_array
+from ..operators.rows import embedded_table, inline_array, line_rows, object_rows
 from ..operators.schema import declare, entries, merge
 from ..sources.text import read_lines, read_objects, read_text, write_lines, write_objects
 from ..streaming.text import stream_lines, stream_objects, writer_lines, writer_objects

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.literals import detect_format, unit
 from ..functions.render import line_of, object_of, table_header
 from ..operators.rows import header, line_rows, object_rows, objects_of_array, split_row
-from ..operators.schema import check_compatible, entries, infer, merge  # noqa: F401
+from ..operators.schema import check_compatible, entries, infer
 
 #: No literal has this character, so a line is one field of the writer.
 _NEVER = "\x03"
