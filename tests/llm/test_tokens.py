@@ -5,7 +5,6 @@ import random
 
 import public_tokenizers
 import regex
-from pyspark.sql import functions as F
 
 from inkframe.llm import bpe, queries, wordpiece
 
