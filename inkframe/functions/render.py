@@ -39,20 +39,20 @@ def _digits(size: Column) -> Column:
     """Of a finite double above 0: the fewest digits m and a power q, so that m * 10^q reads back as the same double. Java before 19
     may write a digit or two too many: they are dropped where what is left reads back as the same double."""
 
-    def first(text: Column) -> Column:
-        mantissa, power = F.substring_index(text, "E", 1), F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-        return F.struct(F.regexp_replace(mantissa, r"\.", "").cast("decimal(38,0)").alias("m"), (power - F.length(F.substring_index(mantissa, ".", -1))).alias("q"))
+    text = size.cast("string")
+    mantissa, power = F.substring_index(text, "E", 1), F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
+    given = F.struct(F.regexp_replace(mantissa, r"\.", "").cast("decimal(38,0)").alias("m"), (power - F.length(F.substring_index(mantissa, ".", -1))).alias("q"))
 
-    def shorter(d: Column) -> Column:
-        less = F.struct(F.floor((d["m"] + 5) / 10).cast("decimal(38,0)").alias("m"), (d["q"] + 1).alias("q"))
-        return _let(less, lambda x: F.when(F.concat(x["m"].cast("string"), F.lit("E"), x["q"].cast("string")).try_cast("double") == size, x).otherwise(d))
+    def fewest(d: Column) -> Column:
+        less = [F.struct(F.floor((d["m"] + half) / 10**k).cast("decimal(38,0)").alias("m"), (d["q"] + k).alias("q")) for k in (1, 2) for half in (0, 5 * 10 ** (k - 1))]
+        return F.element_at(F.filter(F.array(d, *less), lambda x: F.concat(x["m"].cast("string"), F.lit("E"), x["q"].cast("string")).try_cast("double") == size), -1)
 
     def trimmed(d: Column) -> Column:
         digits = d["m"].cast("string")
         kept = F.regexp_replace(digits, r"(?<=.)0+$", "")
         return F.struct(kept.alias("m"), (d["q"] + F.length(digits) - F.length(kept)).alias("q"))
 
-    return _let(_let(_let(_let(size.cast("string"), first), shorter), shorter), trimmed)
+    return _let(_let(given, fewest), trimmed)
 
 
 def _plain_or_exponent(size: Column, d: Column) -> Column:
@@ -75,7 +75,7 @@ def render_float(c: Column) -> Column:
         F.when(F.isnan(c), "nan")
         .when(size == F.lit(float("inf")), F.when(c > 0, "inf").otherwise("-inf"))
         .when((size == 0) | ((size >= 1e-3) & (size < 1e7) & (F.length(text) < 17)), text)  # so few digits are the shortest
-        .otherwise(F.concat(F.when(c < 0, "-").otherwise(""), _let(size, lambda x: _let(_digits(x), lambda d: _plain_or_exponent(x, d)))))
+        .otherwise(F.concat(F.when(c < 0, "-").otherwise(""), _let(_digits(size), lambda d: _plain_or_exponent(size, d))))
     )
 
 
