@@ -1,4 +1,4 @@
-"""Documents packed into chunks of about four megabytes, a row each, that tasks hash and compare as a whole.
+"""Documents packed into chunks of about two megabytes, a row each, that tasks hash and compare as a whole.
 
 A step that asks something of all documents sends rows keyed by (bucket, chunk), and its answers go back to the
 chunks by a join. Chunks are written once, so they and their numbers stay the same when a task runs again.
@@ -17,7 +17,7 @@ from .hashing import parts
 from .scratch import save, setting
 
 #: Bytes of text in a chunk.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 CHUNKS = "chunk long, ids binary, nulls binary, offsets binary, text binary, others binary, n_bytes long"
 #: Rows of these tables are large: few of them in an Arrow batch.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

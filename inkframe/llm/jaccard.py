@@ -380,7 +380,7 @@ def similar(df: DataFrame, percent: int = 75, n: int = 5, id_col: str = "doc_id"
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = bits_for(total, BUCKET)
     texts = chunks.select("chunk", "ids", "nulls", "offsets", "text")
-    with setting(spark, BATCH, "16"):
+    with setting(spark, BATCH, "8"):
         sent = texts.mapInArrow(_send_entries(n, bits), _ENTRIES)
         levels = save(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, _LEVELS), "shingle-levels")
         answers = levels.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "levels")).alias("answers")).hint("shuffle_hash")

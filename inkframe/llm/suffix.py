@@ -464,7 +464,7 @@ def dedup(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = bits_for(total, BUCKET)
     by_bucket = lambda sent, f, columns: sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(f, columns)
-    with setting(spark, BATCH, "16"):
+    with setting(spark, BATCH, "8"):
         marks = save(by_bucket(chunks.select("chunk", "ids", "nulls", "offsets", "text").mapInArrow(_send_seeds(length, bits), _SEEDS), _mark, _MARKS), "suffix-marks")
         asked = marks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks")).hint("shuffle_hash")
         sent = chunks.select("chunk", "ids", "nulls", "offsets", "text").join(asked, "chunk").mapInArrow(_send_text(length, bits), _AROUND)
