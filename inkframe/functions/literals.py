@@ -241,11 +241,12 @@ def detect_format(text: Column) -> Column:
 
 
 def safe_int(c: Column, overflow: str = "error") -> Column:
-    """An integer as a double where it is exact (up to 2^53 - 1); beyond, an error, nan, or text as the caller says."""
+    """An integer (or a decimal without a fraction, for products beyond 2^63) as a double where it is exact (up to 2^53 - 1);
+    beyond, an error, nan, or text as the caller says. Null stays null."""
     most = (1 << 53) - 1
-    inside = F.abs(c) <= most
+    inside = (c >= -most) & (c <= most)  # there is no abs of the least bigint
     if overflow == "nan":
-        return F.when(inside, c.cast("double")).otherwise(F.lit(float("nan")))
+        return F.when(inside, c.cast("double")).when(c.isNotNull(), F.lit(float("nan")))
     if overflow == "string":
-        return F.when(inside, c.cast("double").cast("bigint").cast("string")).otherwise(c.cast("string"))
-    return F.when(inside, c.cast("double")).otherwise(F.raise_error(F.lit("integer beyond 2^53")).cast("double"))
+        return c.cast("string")
+    return F.when(inside, c.cast("double")).when(c.isNotNull(), F.raise_error(F.lit("integer beyond 2^53")).cast("double"))

@@ -323,7 +323,8 @@ def props_object_parse(spark, sf_dir):
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey * 9007199254740 > 9007199254740991 THEN CAST('nan' AS DOUBLE) ELSE CAST(o_orderkey * 9007199254740 AS DOUBLE) END AS v FROM orders")
 def codec_safe_int_nan(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", safe_int(F.col("o_orderkey") * F.lit(9007199254740), "nan").alias("v"))
+    product = F.col("o_orderkey").cast("decimal(19,0)") * F.lit(9007199254740)  # beyond 2^63 where keys pass 1,024,000
+    return table(spark, sf_dir, "orders").select("o_orderkey", safe_int(product, "nan").alias("v"))
 
 
 @query("SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), 'null') AS cell FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

@@ -365,3 +365,11 @@ def test_integers_beyond_doubles(spark):
     assert spark.range(1).select(safe_int(big, "string"), F.isnan(safe_int(big, "nan")), safe_int(F.lit(5))).first() == ("9007199254740993", True, 5.0)
     with pytest.raises(Exception, match="beyond"):
         spark.range(1).select(safe_int(big)).collect()
+
+
+def test_safe_int_at_the_ends(spark):
+    ends = spark.createDataFrame([(-(1 << 63),), ((1 << 63) - 1,), (-((1 << 53) - 1),), (None,)], "c long")
+    got = ends.select(safe_int(F.col("c"), "nan").alias("v"), safe_int(F.col("c"), "string").alias("s")).collect()
+    assert [str(r.v) for r in got] == ["nan", "nan", "-9007199254740991.0", "None"]
+    assert [r.s for r in got] == ["-9223372036854775808", "9223372036854775807", "-9007199254740991", None]
+    assert ends.where("c is null").select(safe_int(F.col("c"))).first()[0] is None

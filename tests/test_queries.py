@@ -29,3 +29,12 @@ def test_query(spark, sf, duck, name):
     names = sorted(df.columns)
     want = duck.execute(f"select {', '.join(names)} from ({ORACLE_SQL[name]})")
     assert plain(df.select(names).collect()) == plain(want.fetchall())
+
+
+def test_codec_safe_int_nan_of_large_keys(spark, tmp_path):
+    """Keys whose product doesn't fit 64 bits, as larger tables have them."""
+    keys = [0, 1, 1000, 1001, 1_024_000, 1_024_001, 9_000_000, (1 << 63) - 1, None]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.v for r in QUERIES["codec_safe_int_nan"](spark, str(tmp_path)).collect()}
+    want = {k: k if k is None else k * 9007199254740.0 if k <= 1000 else math.nan for k in keys}
+    assert {k: str(v) for k, v in got.items()} == {k: str(v) for k, v in want.items()}
