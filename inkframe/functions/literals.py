@@ -35,6 +35,17 @@ NOT_BARE = rf"^(?s:null|true|false|nan|[+-]?inf|(?:uuid|hex|b64)\(.*\)|.*T.*:.*|
 #: Stand for an escaped backslash and quote while a line is split: raw control characters are errors in strings.
 SLASH, QUOTE = "\x01", "\x02"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
+_DAY = r"(?!0000)\d{4}-(?:(?:0[1-9]|1[0-2])-(?:0[1-9]|1\d|2[0-8])|(?:0[13-9]|1[0-2])-(?:29|30)|(?:0[13578]|1[02])-31)"
+#: What is a plain literal of a kind in both grammars, so that a cast reads it; other kinds have bare tokens.
+PLAIN = {
+    "string": r'"[^"\\\x00-\x1f\x7f-\x9f]*+"',
+    "bool": "true|false",
+    "int": r"0|-?[1-9]\d{0,17}+",  # as many digits as always fit
+    "float": r"-?(?:0|[1-9]\d*+)\.\d++(?:e-?\d++)?|nan|-?inf",
+    "date": _DAY,
+    "datetime_naive": rf"{_DAY}T(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d{{1,6}}+)?",
+}
+BARE = r'[^"\\,|\[\]{}\s\x00-\x1f\x7f-\x9f]++'
 PARSED = "struct<kind:string,value:string,error:string>"
 
 
@@ -195,41 +206,64 @@ def typed(parsed: Column, field: T.StructField, on_error: str = "fail") -> Colum
     return _checked(F.when(kind == want, out), kind == "null", F.coalesce(parsed["error"], kind, F.lit("nothing")), field, on_error)
 
 
-def read(c: Column, field: T.StructField, grammar: str = "unit", mode: str = "compat", on_error: str = "fail") -> Column:
-    """``typed`` of ``unit`` or ``number`` (by grammar) of a trimmed, masked cell, with the shapes of the declared kind only:
-    a projection of many fields stays small enough to be compiled. A missing cell is null, and an error where null isn't allowed."""
+def plain(field: T.StructField) -> str:
+    """The shape of plain literals of a field, and of null."""
+    want = kind_of(field)
+    digits = {"tinyint": 2, "smallint": 4, "int": 9}.get(field.dataType.simpleString(), 18)
+    return "null|" + PLAIN.get(want, BARE).replace("{0,17}", f"{{0,{digits - 1}}}" if want == "int" else "{0,17}")
+
+
+def found(c: Column, field: T.StructField, grammar: str = "unit", mode: str = "compat", known: Column | None = None) -> Column:
+    """A trimmed, masked cell as the declared type, with the shapes of its kind only: a projection of many fields stays small
+    enough to be compiled. Null if it is anything else. known: whether it has the shape ``plain`` of its field, and need not be looked at again."""
     want, t, number_like = kind_of(field), field.dataType, grammar == "number"
     if want == "string":
         quoted = c.startswith('"') & (F.locate('"', c, 2) == F.length(c))
-        found = F.when(quoted, unescape_bracketed(c) if number_like else unescape_indented(c))
+        out = F.when(quoted, unescape_bracketed(c) if number_like else unescape_indented(c))
         if not number_like:
-            found = found.when(c == "", c)
+            out = out.when(c == "", c)
             if mode == "compat":
                 number_ = c.rlike(INT_G2) & F.replace(c, F.lit("_"), F.lit("")).try_cast("bigint").isNotNull()
-                found = found.when(~c.rlike(NOT_BARE) & ~number_, _unmask(c))
+                out = out.when(~c.rlike(NOT_BARE) & ~number_, _unmask(c))
     elif want == "bool":
-        found = F.when(c == "true", True).when(c == "false", False)
+        out = F.when(c == "true", True).when(c == "false", False)
     elif want == "int":
         good = c.rlike(INT_G1) & (c != "-0") if number_like else c.rlike(INT_G2)
-        found = F.when(good, F.replace(c, F.lit("_"), F.lit("")).try_cast(t))
+        out = F.when(good, F.replace(c, F.lit("_"), F.lit("")).try_cast(t))
     elif want == "float":
-        found = F.when(c.isin("nan", "inf", "+inf", "-inf") | (c.rlike(FLOAT_G1 if number_like else FLOAT_G2) & ~c.rlike(INT_G2)), c.try_cast(t))
+        out = F.when(c.isin("nan", "inf", "+inf", "-inf") | (c.rlike(FLOAT_G1 if number_like else FLOAT_G2) & ~c.rlike(INT_G2)), c.try_cast(t))
     elif want == "decimal":
-        found = F.when(c.rlike(DECIMAL) & ~c.rlike(MINUS_ZERO), _decimal(F.regexp_replace(c, "^\\+|m$", ""), t))
+        out = F.when(c.rlike(DECIMAL) & ~c.rlike(MINUS_ZERO), _decimal(F.regexp_replace(c, "^\\+|m$", ""), t))
     elif want == "date":
-        found = F.when(c.rlike(DATE) & ~c.startswith("0000"), c.try_cast("date"))
+        out = F.when(c.rlike(DATE) & ~c.startswith("0000"), c.try_cast("date"))
     elif want == "time":
-        found = F.when(c.rlike(TIME), c)
+        out = F.when(c.rlike(TIME), c)
     elif want == "uuid":
-        found = F.when(c.rlike(UUID), F.substring(c, 6, 36))
+        out = F.when(c.rlike(UUID), F.substring(c, 6, 36))
     elif want == "binary":
         inner = F.substring(c, F.lit(5), F.length(c) - 5)
-        found = F.when(c.rlike(HEX), F.unhex(inner)).when(c.rlike(B64), F.unbase64(inner))
+        out = F.when(c.rlike(HEX), F.unhex(inner)).when(c.rlike(B64), F.unbase64(inner))
     else:
         zoned = c.rlike(ZONED)
         real = c.rlike(DATETIME) & ~c.startswith("0000")
-        found = F.when(real & zoned, _instant(c)) if want == "datetime" else F.when(real & ~zoned, c.try_cast("timestamp_ntz"))
-    return _checked(found.cast(t), c.isNull() | (c == "null") if number_like else c == "null", F.coalesce(_unmask(c), F.lit("nothing")), field, on_error)
+        out = F.when(real & zoned, _instant(c)) if want == "datetime" else F.when(real & ~zoned, c.try_cast("timestamp_ntz"))
+    if known is not None and want in PLAIN:
+        quick = F.substring(c, F.lit(2), F.length(c) - 2) if want == "string" else c == "true" if want == "bool" else c.try_cast(t)
+        out = F.when(known, F.when(c != "null", quick.cast(t))).otherwise(out)
+    return out.cast(t)
+
+
+def checked(value: Column, c: Column, field: T.StructField, grammar: str = "unit", on_error: str = "fail") -> Column:
+    """What was ``found`` in a cell, a column as it is named twice; else null for a null or missing cell, where null is allowed,
+    and an error."""
+    null = c.isNull() | (c == "null") if grammar == "number" else c == "null"
+    none = F.lit(None).cast(field.dataType)
+    return F.when(value.isNotNull(), value).otherwise(_checked(none, null, F.coalesce(_unmask(c), F.lit("nothing")), field, on_error))
+
+
+def read(c: Column, field: T.StructField, grammar: str = "unit", mode: str = "compat", on_error: str = "fail") -> Column:
+    """``typed`` of ``unit`` or ``number`` (by grammar) of a trimmed, masked cell."""
+    return checked(found(c, field, grammar, mode), c, field, grammar, on_error)
 
 
 def detect_format(text: Column) -> Column:

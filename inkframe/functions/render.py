@@ -18,7 +18,7 @@ TYPED = "typed"  # the field metadata that tells uuid and time from other string
 def quote_bracketed(c: Column) -> Column:
     """A JSON string: the short escapes, and \\u00XX for other control characters."""
     text = F.to_json(F.array(c))
-    return F.substring(text, F.lit(2), F.length(text) - 2)
+    return F.when(c.rlike(r'[\x00-\x1f"\\]'), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
 
 
 def quote_indented(c: Column) -> Column:
@@ -27,7 +27,8 @@ def quote_indented(c: Column) -> Column:
     for raw, escape in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         out = F.replace(out, F.lit(raw), F.lit(escape))
     bad = c.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
-    return F.when(bad, F.raise_error(F.lit("serialize error: control character in a string")).cast("string")).otherwise(F.concat(F.lit('"'), out, F.lit('"')))
+    escaped = F.when(bad, F.raise_error(F.lit("serialize error: control character in a string")).cast("string")).otherwise(F.concat(F.lit('"'), out, F.lit('"')))
+    return F.when(c.rlike(r'[\x00-\x1f"\\\x7f-\x9f]'), escaped).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -79,10 +80,9 @@ def render_float(c: Column) -> Column:
     )
 
 
-def _fraction(c: Column) -> Column:
-    """Of a second: none, three or six digits."""
-    f = F.date_format(c, "SSSSSS")
-    return F.when(f == "000000", "").when(f.endswith("000"), F.concat(F.lit("."), F.substring(f, 1, 3))).otherwise(F.concat(F.lit("."), f))
+def _moment(c: Column) -> Column:
+    """Date and time; of a second none, three or six digits. It is formatted once."""
+    return F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"(?:\.000000|000)$", "")
 
 
 def uuid_text(c: Column) -> Column:
@@ -122,7 +122,7 @@ def render_cell(c: Column, field: T.StructField, syntax: str = "indented", binar
     elif isinstance(kind, T.DateType):
         out = F.date_format(c, "yyyy-MM-dd")
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        out = F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), _fraction(c), F.lit("Z" if isinstance(kind, T.TimestampType) else ""))
+        out = F.concat(_moment(c), F.lit("Z")) if isinstance(kind, T.TimestampType) else _moment(c)
     elif isinstance(kind, T.BinaryType):
         out = F.concat(F.lit("hex("), F.lower(F.hex(c)), F.lit(")")) if binary_format == "hex" else F.concat(F.lit("b64("), F.base64(c), F.lit(")"))
     elif isinstance(kind, T.NullType):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.literals import mask, read, unescape_bracketed
+from ..functions.literals import checked, found, mask, plain, unescape_bracketed
 from ..functions.render import IDENTIFIER, write_key
 
 #: A table's header: count (or *), delimiter and names.
@@ -45,22 +45,42 @@ def _cells(masked: Column, delimiter: str, controls: str = "") -> Column:
     return F.when(masked.rlike(line(d)), F.split(F.substring(masked, F.lit(1), last), d)).when(masked.rlike(line("")), F.regexp_extract_all(masked, F.lit(rf'([^"{d}]*+(?:{_STRING}[^"{d}]*+)*+){d}'), F.lit(1)))
 
 
+#: Between the cells of a plain row: no text that can be read has it.
+_BETWEEN = "\x03"
+
+
+def plain_line(shapes: Sequence[str], delimiter: str) -> str:
+    """The shape of a line whose cells have these shapes, a group each."""
+    return rf"\A *+{rf' *+{re.escape(delimiter)} *+'.join(f'({shape})' for shape in shapes)} *+\z"
+
+
+def _with_plain(df: DataFrame, text: str, shape: str, n: int, keep: Sequence[str]) -> DataFrame:
+    """The kept columns, text, and _plain: the n groups of a shape that fits the whole text, from the second place on; null
+    if it doesn't fit. It is looked at once."""
+    marked = F.regexp_replace(text, shape, "".join(f"{_BETWEEN}${i + 1}" for i in range(n)))
+    found = df.select(*keep, text, F.when(~F.col(text).contains(_BETWEEN), F.split(marked, _BETWEEN)).alias("_plain"))
+    return found.select(*keep, text, F.when(F.size("_plain") == n + 1, F.col("_plain")).alias("_plain"))
+
+
 def _finish(cells: DataFrame, schema: T.StructType, grammar: str, mode: str, on_error: str, keep: Sequence[str]) -> DataFrame:
-    """cells: the kept columns, and a trimmed literal for each field. Each step is a projection of its own, so that
+    """cells: the kept columns, _known, and a trimmed literal for each field. Each step is a projection of its own, so that
     nothing is parsed twice: Spark doesn't merge projections of what is used several times."""
-    return cells.select(*keep, *(read(F.col(f"_c{i}"), f, grammar, mode, on_error).alias(f.name, metadata=f.metadata or {}) for i, f in enumerate(schema.fields)))
+    values = cells.select(*keep, *(c for i, f in enumerate(schema.fields) for c in (f"_c{i}", found(F.col(f"_c{i}"), f, grammar, mode, F.col("_known")).alias(f"_v{i}"))))
+    return values.select(*keep, *(checked(F.col(f"_v{i}"), F.col(f"_c{i}"), f, grammar, on_error).alias(f.name, metadata=f.metadata or {}) for i, f in enumerate(schema.fields)))
 
 
 def line_rows(df: DataFrame, line: Column, schema: T.StructType, delimiter: str = ",", mode: str = "compat", on_error: str = "fail", keep: Sequence[str] = ()) -> DataFrame:
-    """The columns of a table's lines; every line must have a cell for each field. keep: columns of df that stay."""
+    """The columns of a table's lines; every line must have a cell for each field. keep: columns of df that stay. Lines of
+    plain literals are taken apart by one pattern; all others cell by cell, with the same result."""
     n = len(schema.fields)
-    lines = df.select(*keep, line.alias("_line")).select(*keep, "_line", F.concat(mask(F.col("_line")), F.lit(delimiter)).alias("_masked"))
-    lines = lines.select(*keep, "_line", F.when(~F.col("_line").rlike("[\x01\x02]"), _cells(F.col("_masked"), delimiter, _CONTROLS)).alias("_cells"))
+    lines = _with_plain(df.select(*keep, line.alias("_line")), "_line", plain_line([plain(f) for f in schema.fields], delimiter), n, keep)
+    other = F.col("_plain").isNull()
+    lines = lines.select(*keep, "_line", "_plain", F.when(other, F.concat(mask(F.col("_line")), F.lit(delimiter))).alias("_masked"))
+    lines = lines.select(*keep, "_line", "_plain", F.when(other & ~F.col("_line").rlike("[\x01\x02]"), _cells(F.col("_masked"), delimiter, _CONTROLS)).alias("_cells"))
     wrong = F.raise_error(F.concat(F.lit(f"parse error: {n} cells expected: "), "_line")).cast("array<string>") if on_error == "fail" else F.lit(None).cast("array<string>")
     good = F.coalesce(F.size("_cells") == n, F.lit(False))
-    lines = lines.select(*keep, F.when(good, F.col("_cells")).otherwise(wrong).alias("_cells"))
-    missing = F.lit(None).cast("array<string>")
-    cells = lines.select(*keep, *(F.trim(F.get(F.coalesce("_cells", missing), F.lit(i))).alias(f"_c{i}") for i in range(n)))
+    lines = lines.select(*keep, "_plain", F.when(other, F.when(good, F.col("_cells")).otherwise(wrong)).alias("_cells"))
+    cells = lines.select(*keep, (~other).alias("_known"), *(F.coalesce(F.get("_plain", F.lit(i + 1)), F.trim(F.get("_cells", F.lit(i)))).alias(f"_c{i}") for i in range(n)))
     return _finish(cells, schema, "unit", mode, on_error, keep)
 
 
@@ -80,34 +100,30 @@ def with_entries(df: DataFrame, obj: Column, keep: Sequence[str] = ()) -> DataFr
     return out.select(*keep, "_obj", keys.alias("_keys"), values.alias("_values"))
 
 
-def _in_order(names: Sequence[str]) -> str:
-    """Objects with these names in this order and no comma in a string: the group is what is between the braces."""
-    pair = lambda name: rf'"{name}" *+: *+(?:"[^",]*+"|[^",\[\]{{}}\s]++) *+'
-    return rf"^ *+\{{( *+{', *+'.join(map(pair, names))})\}} *+$"
-
-
 def object_rows(df: DataFrame, obj: Column, schema: T.StructType, mode: str = "compat", on_error: str = "fail", keep: Sequence[str] = ()) -> DataFrame:
     """The columns of flat objects, by name: missing names are null, and of equal names the last counts; other names are
-    skipped, or an error in strict mode. Objects whose names are the schema's in its order are split at commas; all others
-    are taken apart entry by entry, with the same result."""
+    skipped, or an error in strict mode. Objects of plain literals whose names are the schema's in its order are taken apart
+    by one pattern; all others entry by entry, with the same result."""
     n, names = len(schema.fields), F.array(*map(F.lit, schema.names))
-    out = df.select(*keep, obj.alias("_obj")).select(*keep, "_obj", mask(F.col("_obj")).alias("_masked"))
-    plain = n and all(re.fullmatch(IDENTIFIER, name) for name in schema.names)
-    out = out.withColumn("_body", F.coalesce(F.regexp_extract("_masked", _in_order(schema.names), 1), F.lit("")) if plain else F.lit(""))
-    other = F.col("_body") == ""
+    out = df.select(*keep, obj.alias("_obj"))
+    if n and all(re.fullmatch(IDENTIFIER, name) for name in schema.names):
+        pairs = " *+, *+".join(rf'"{f.name}" *+: *+({plain(f)})' for f in schema.fields)
+        out = _with_plain(out, "_obj", rf"\A *+\{{ *+{pairs} *+\}} *+\z", n, keep)
+    else:
+        out = out.select(*keep, "_obj", F.lit(None).cast("array<string>").alias("_plain"))
+    other = F.col("_plain").isNull()
+    out = out.select(*keep, "_obj", "_plain", F.when(other, mask(F.col("_obj"))).alias("_masked"))
     keys, values = _entries(F.col("_masked"))
-    pairs = out.select(*keep, "_obj", F.when(~other, F.split("_body", ",")).alias("_pieces"), F.when(other, keys).alias("_keys"), F.when(other, values).alias("_values"))
+    pairs = out.select(*keep, "_obj", "_plain", F.when(other, keys).alias("_keys"), F.when(other, values).alias("_values"))
     good = F.col("_keys").isNotNull()
     if mode == "strict":
         good = good & (F.size(F.array_except("_keys", names)) == 0)
     wrong = F.raise_error(F.concat(F.lit("parse error: not a flat object of the schema: "), F.coalesce("_obj", F.lit("null")))).cast("array<string>") if on_error == "fail" else F.lit(None).cast("array<string>")
     # reversed, so that the first place of a name is its last value
-    own = F.when(F.col("_pieces").isNull(), F.reverse(F.when(F.coalesce(good, F.lit(False)), F.col("_keys")).otherwise(wrong)))
-    pairs = pairs.select(*keep, "_pieces", own.alias("_keys"), F.reverse("_values").alias("_values"))
+    own = F.when(other, F.reverse(F.when(F.coalesce(good, F.lit(False)), F.col("_keys")).otherwise(wrong)))
+    pairs = pairs.select(*keep, "_plain", own.alias("_keys"), F.reverse("_values").alias("_values"))
     at = lambda name: F.nullif(F.array_position("_keys", name), F.lit(0))
-    pieces = pairs.select(*keep, "_keys", "_values", *(F.get("_pieces", F.lit(i)).alias(f"_piece{i}") for i in range(n)))
-    value = lambda piece: F.substring(piece, F.locate(":", piece) + 1, F.length(piece))
-    cells = pieces.select(*keep, *(F.trim(F.when(F.col(f"_piece{i}").isNotNull(), value(F.col(f"_piece{i}"))).otherwise(F.get("_values", (at(f.name) - 1).cast("int")))).alias(f"_c{i}") for i, f in enumerate(schema.fields)))
+    cells = pairs.select(*keep, (~other).alias("_known"), *(F.coalesce(F.get("_plain", F.lit(i + 1)), F.trim(F.get("_values", (at(f.name) - 1).cast("int")))).alias(f"_c{i}") for i, f in enumerate(schema.fields)))
     return _finish(cells, schema, "number", mode, on_error, keep) if n else pairs.select(*keep)
 
 

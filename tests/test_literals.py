@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from inkframe.functions import documents
 from inkframe.functions.codecs import Codec, Codecs
-from inkframe.functions.literals import detect_format, kind_of, mask, parse_number, parse_unit, read, safe_int, time_micros, typed, uuid_bytes
+from inkframe.functions.literals import detect_format, found, kind_of, mask, parse_number, parse_unit, read, safe_int, time_micros, typed, uuid_bytes
 from inkframe.functions.render import line_of, quote_bracketed, quote_indented, render_float, table_header, time_text, uuid_text
 from inkframe.operators.rows import header, objects_of_array, split_row, object_rows, line_rows
 from inkframe.operators.schema import check_compatible, declare, entries, from_arrow_schema, infer, to_arrow_schema
@@ -373,3 +373,37 @@ def test_safe_int_at_the_ends(spark):
     assert [str(r.v) for r in got] == ["nan", "nan", "-9007199254740991.0", "None"]
     assert [r.s for r in got] == ["-9223372036854775808", "9223372036854775807", "-9007199254740991", None]
     assert ends.where("c is null").select(safe_int(F.col("c"))).first()[0] is None
+
+
+PLAIN_OR_NOT = {
+    "string": ['"a"', '""', '"a, b"', '"a|b"', r'"a\"b"', r'"a\\b"', r'"a\tb"', '"é"', '"\x7f"', '"null"', "null", "bare", "", "12"],
+    "int": ["0", "-0", "7", "-7", "+7", "007", "1_000", "999999999999999999", "9223372036854775807", "9223372036854775808", "null", "1.5", "x", ""],
+    "float": ["0.0", "-0.0", "1.5", "1.5e-7", "1.5E7", "01.5", "1.", ".5", "1e5", "nan", "inf", "-inf", "+inf", "NaN", "null", "1", "1.5d"],
+    "bool": ["true", "false", "True", "null", '"true"'],
+    "date": ["2024-02-29", "2023-02-29", "2024-02-30", "2024-04-31", "2024-12-31", "0000-01-01", "2024-13-01", "null"],
+    "datetime_naive": ["2024-02-29T23:59:59.5", "2023-02-29T00:00:00", "2024-01-31T24:00:00", "2024-01-31T00:00:00.1234567", "2024-01-31T00:00:00Z", "2024-01-31 00:00:00", "null"],
+    "decimal(5,2)": ["1.25m", "-0m", "1.255m", "1m", "1", "null"],
+    "time": ["10:00:00", "25:00:00", "null"],
+}
+
+
+@pytest.mark.parametrize("delimiter", [",", "|", "\t"])
+@pytest.mark.parametrize("kind", PLAIN_OR_NOT)
+def test_plain_rows_read_as_others(spark, kind, delimiter):
+    """Each cell beside a plain one and beside one that makes the row be read cell by cell, as 1_0 and a further name do."""
+    schema, texts = declare({"a": f"{kind}?", "b": "int?"}), PLAIN_OR_NOT[kind]
+    between = {",": ", ", "|": "|", "\t": "\t"}[delimiter]
+    frame = spark.createDataFrame([(i, b, f"{text}{between}{b}", f'{{"a": {text}, "b": {b}}}') for i, text in enumerate(texts) for b in ("10", "1_0")], "i int, other string, line string, obj string")
+    lines = line_rows(frame, F.col("line"), schema, delimiter, on_error="null", keep=["i", "other"])
+    # the bracketed grammar has groups of three digits only
+    objects = object_rows(frame.withColumn("obj", F.replace("obj", F.lit("1_0}"), F.lit('10, "c": 0}'))), F.col("obj"), schema, on_error="null", keep=["i", "other"])
+    for rows in (lines, objects):
+        by = {(r.i, r.other): (str(r.a), r.b) for r in rows.collect()}
+        assert [texts[i] for i in range(len(texts)) if by[i, "10"] != by[i, "1_0"]] == []
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "float", "date", "datetime_naive"])
+def test_plain_cells_are_not_matched_again(spark, kind):
+    field, cell = declare({"a": f"{kind}?"})["a"], spark.range(1).select(F.col("id").cast("string").alias("c"))
+    plans = [cell.select(found(F.col("c"), field, grammar, known=F.lit(True)).alias("v"))._jdf.queryExecution().optimizedPlan().toString() for grammar in ("unit", "number")]
+    assert ["RLIKE" in plan or "locate" in plan for plan in plans] == [False, False]
