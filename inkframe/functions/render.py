@@ -76,7 +76,7 @@ def render_float(c: Column) -> Column:
         F.when(F.isnan(c), "nan")
         .when(size == F.lit(float("inf")), F.when(c > 0, "inf").otherwise("-inf"))
         .when((size == 0) | ((size >= 1e-3) & (size < 1e7) & (F.length(text) < 17)), text)  # so few digits are the shortest
-        .otherwise(F.concat(F.when(c < 0, "-").otherwise(""), _let(_digits(size), lambda d: _plain_or_exponent(size, d))))
+        .when(c.isNotNull(), F.concat(F.when(c < 0, "-").otherwise(""), _let(_digits(size), lambda d: _plain_or_exponent(size, d))))
     )
 
 

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.literals import detect_format, unit
+from ..functions.literals import PLAIN, detect_format, unit
 from ..functions.render import line_of, object_of, table_header
-from ..operators.rows import header, line_rows, object_rows, objects_of_array, split_row
-from ..operators.schema import check_compatible, entries, infer
+from ..operators.rows import header, line_rows, object_rows, objects_of_array, plain_line, split_row
+from ..operators.schema import check_compatible, entries, infer, merge
 
 #: No literal has this character, so a line is one field of the writer.
 _NEVER = "\x03"
@@ -27,6 +27,8 @@ _NEVER = "\x03"
 _HEADER = r"^\s*\[(\*|\d*)([^\]]*\]\{.*\}:)\s*$"
 #: Different headers, but for their counts, that the files of a folder may have.
 MOST_HEADERS = 100
+#: Lines from which types are supposed, before all lines are looked at.
+FIRST_LINES = 1000
 
 
 def _framed(first: Callable[[int], str], last: str | None, join: str, counts: dict[int, int] | None = None):
@@ -97,11 +99,23 @@ def headers(lines: DataFrame) -> DataFrame:
     return numbered.groupBy("file_path").agg(F.min_by("value", "place").alias("header"))
 
 
-def infer_lines(lines: DataFrame, names: list[str], delimiter: str, mode: str) -> T.StructType:
-    """By one aggregation over all cells."""
+def _line_entries(lines: DataFrame, names: list[str], delimiter: str, mode: str) -> DataFrame:
     rows = lines.select(F.posexplode(split_row(F.col("value"), delimiter)).alias("pos", "cell")).select("pos", F.trim("cell").alias("cell"))
     named = F.element_at(F.array(*map(F.lit, names)), F.col("pos") + 1)
-    return infer(rows.select(F.lit(0).alias("row"), "pos", named.alias("field"), unit(F.col("cell"), mode).alias("p")).select("row", "pos", "field", "p.*"))
+    return rows.select(F.lit(0).alias("row"), "pos", named.alias("field"), unit(F.col("cell"), mode).alias("p")).select("row", "pos", "field", "p.*")
+
+
+def infer_lines(lines: DataFrame, names: list[str], delimiter: str, mode: str) -> T.StructType:
+    """By all cells. The kinds of some lines are supposed for all; a line that one pattern shows to have plain literals of
+    these kinds, or nulls, adds nothing to them, and the others are aggregated cell by cell."""
+    some = merge(_line_entries(lines.limit(FIRST_LINES), names, delimiter, mode)).select(F.col("first.pos").alias("pos"), "field", "kind").collect()
+    kinds = {r.field: r.kind for r in some}
+    if any(name not in kinds for name in names):
+        return infer(_line_entries(lines, names, delimiter, mode))
+    shape = plain_line([f"null|{PLAIN[kinds[name]]}" if kinds[name] in PLAIN else "null" for name in names], delimiter)
+    others = _line_entries(lines.where(~F.col("value").rlike(shape)), names, delimiter, mode)
+    known = lines.sparkSession.createDataFrame([(0, r.pos, r.field, r.kind) for r in some], "row int, pos int, field string, kind string")
+    return infer(others.unionByName(known, allowMissingColumns=True))
 
 
 def read_lines(spark: SparkSession, path: str, schema: T.StructType | None = None, mode: str = "compat", on_error: str = "fail") -> DataFrame:
@@ -110,7 +124,9 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType | None = Non
     lines = _lines(spark, path)
     first = headers(lines)
     own = first.select("file_path", "header", F.regexp_extract("header", _HEADER, 1).alias("count"), F.regexp_extract("header", _HEADER, 2).alias("rest"))
-    found = [r.rest or r.header for r in own.select("rest", F.when(F.col("rest") == "", F.col("header")).alias("header")).distinct().limit(MOST_HEADERS + 1).collect()]
+    grouped = own.groupBy("rest", F.when(F.col("rest") == "", F.col("header")).alias("bad")).agg(F.min("header").alias("least"), F.max("header").alias("most"), F.bool_or(F.col("count") != "*").alias("exact"))
+    groups = grouped.limit(MOST_HEADERS + 1).collect()
+    found = [r.rest or r.bad for r in groups]
     if not found:
         return spark.createDataFrame([], schema or T.StructType())
     parsed = {rest: header(f"[0{rest}") for rest in found}
@@ -121,7 +137,7 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType | None = Non
         if other != (schema.names if schema else names):
             raise ValueError(f"schema error: columns {other}, expected {schema.names if schema else names}")
     counted = own.select("file_path", "header", "rest", F.when(F.col("count") != "*", F.coalesce(F.col("count").try_cast("long"), F.lit(0))).alias("expected"))
-    exact = not counted.where("expected is not null").isEmpty()
+    exact = any(r.exact for r in groups)
     if exact:
         rows_of = lines.groupBy("file_path").agg((F.count("*") - 1).alias("n"))
         wrong = F.raise_error(F.concat(F.lit("validate error: "), F.col("expected").cast("string"), F.lit(" rows expected, found "), F.col("n").cast("string"), F.lit(" in "), "file_path")).cast("string")
@@ -130,7 +146,10 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType | None = Non
         if not checked.where("expected > 0 and n = 0").isEmpty():
             raise ValueError("validate error: rows expected, found 0")
         counted = checked.select("file_path", "header", "rest")
-    rows = lines.select("file_path", "value").join(counted.select("file_path", "header", "rest"), "file_path").where(F.col("value") != F.col("header"))
+    if len(groups) == 1 and groups[0].least == groups[0].most and not exact:  # the same header in all files, found once
+        rows = lines.select("value").where(F.col("value") != groups[0].least)
+    else:
+        rows = lines.select("file_path", "value").join(counted.select("file_path", "header", "rest"), "file_path").where(F.col("value") != F.col("header"))
     if not exact and rows.isEmpty():
         raise ValueError("validate error: [*] needs a row")
     out = None

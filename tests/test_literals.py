@@ -20,6 +20,7 @@ from inkframe.functions.literals import detect_format, found, kind_of, mask, par
 from inkframe.functions.render import line_of, quote_bracketed, quote_indented, render_float, table_header, time_text, uuid_text
 from inkframe.operators.rows import header, objects_of_array, split_row, object_rows, line_rows
 from inkframe.operators.schema import check_compatible, declare, entries, from_arrow_schema, infer, to_arrow_schema
+from inkframe.sources import text as sources
 from inkframe.sources.text import read_lines, read_objects, read_text, write_lines, write_objects
 
 ERROR = "error"
@@ -407,3 +408,25 @@ def test_plain_cells_are_not_matched_again(spark, kind):
     field, cell = declare({"a": f"{kind}?"})["a"], spark.range(1).select(F.col("id").cast("string").alias("c"))
     plans = [cell.select(found(F.col("c"), field, grammar, known=F.lit(True)).alias("v"))._jdf.queryExecution().optimizedPlan().toString() for grammar in ("unit", "number")]
     assert ["RLIKE" in plan or "locate" in plan for plan in plans] == [False, False]
+
+
+def test_inference_skips_lines_of_supposed_kinds(spark, tmp_path, monkeypatch):
+    """Only lines that aren't plain literals of the kinds of the first ones are taken apart cell by cell."""
+    rows = [(i, f"n{i}", i / 4) for i in range(3000)] + [(5000, 'say "x"', float("inf")), (5001, None, None)]
+    frame = spark.createDataFrame(rows, "a long, b string, c double").coalesce(1)
+    write_lines(frame, f"{tmp_path}/t", "|")
+    taken, entries = [], sources._line_entries
+    monkeypatch.setattr(sources, "_line_entries", lambda lines, *args: taken.append(lines) or entries(lines, *args))
+    back = read_lines(spark, f"{tmp_path}/t")
+    assert [lines.count() for lines in taken] == [1000, 1]
+    assert [f.dataType.simpleString() for f in back.schema] == ["bigint", "string", "double"]
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+def test_inference_sees_kinds_behind_the_first_lines(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "x.txt").write_text("[*]{a,b}:\n" + "1, null\n" * 2000 + "null, 2024-01-31\n")
+    assert [f.dataType.simpleString() for f in read_lines(spark, f"{tmp_path}/t").schema] == ["bigint", "date"]
+    (tmp_path / "t" / "y.txt").write_text("[*]{a,b}:\n" + "1, null\n" * 2000 + "1.5m, null\n")
+    with pytest.raises(Exception, match="mixes decimal, int"):
+        read_lines(spark, f"{tmp_path}/t")
